@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_formatting
+from .langid import op1_language_id
 from .packing import op6_packing
+from .quality import op10_quality_classifier
 from .urls import op5_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {"op2_chat_formatting": OP2_SQL}
