@@ -6,6 +6,7 @@ from .chat import OP2_SQL, op2_chat_formatting
 from .langid import op1_language_id
 from .packing import op6_packing
 from .quality import op10_quality_classifier
+from .simhash import op8_simhash_dedup
 from .urls import op5_url_filter
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
