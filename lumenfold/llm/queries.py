@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_formatting
 from .langid import op1_language_id
+from .lines import op4_line_dedup
 from .packing import op6_packing
 from .quality import op10_quality_classifier
 from .simhash import op8_simhash_dedup
@@ -12,6 +13,7 @@ from .urls import op5_url_filter
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
