@@ -8,6 +8,7 @@ from .lines import op4_line_dedup
 from .packing import op6_packing
 from .quality import op10_quality_classifier
 from .simhash import op8_simhash_dedup
+from .topk import OP9_SQL, op9_exact_topk
 from .urls import op5_url_filter
 
 QUERIES = {
@@ -17,7 +18,8 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES = {"op2_chat_formatting": OP2_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}
