@@ -10,10 +10,12 @@ from .quality import op10_quality_classifier
 from .simhash import op8_simhash_dedup
 from .topk import OP9_SQL, op9_exact_topk
 from .urls import op5_url_filter
+from .vectors import OP3_SQL, op3_embedding_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}
