@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .chat import OP2_SQL, op2_chat_formatting
 from .langid import op1_language_id
 from .lines import op4_line_dedup
@@ -19,9 +20,10 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES = {"op3_embedding_dedup": OP3_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL}
