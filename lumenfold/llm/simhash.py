@@ -188,19 +188,32 @@ def _run_ids(b: pd.DataFrame) -> np.ndarray:
 
 
 def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """Add component_id: the smallest doc_id reachable over links of at most `distance` bits.
+    """Add component_id, the smallest doc_id reachable over links of at most `distance` bits, and
+    component_root, a fingerprint that stands for the component.
 
     prints: doc_id and fingerprint (not null) of each document, written, as it is read twice.
     Repeated rows share their component; a null doc_id is never the smallest, and a component of
-    null ids alone has a null component_id. A column named component_id is replaced.
+    null ids alone has a null component_id. Columns of these names are replaced.
     """
     classes = materialize(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("least")), "classes")
     joined = materialize(near_edges(classes.select("fingerprint"), distance).distinct(), "near")
     parts = connected_components(joined, "a", "b").withColumnRenamed("node", "fingerprint")
     rooted = classes.join(parts, "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id"), "named")
-    return prints.drop("component_id").join(named, "fingerprint")
+    named = materialize(rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id", F.col("root").alias("component_root")), "named")
+    return prints.drop("component_id", "component_root").join(named, "fingerprint")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: the smallest doc_id (nulls last),
+    then the smallest hash of the text, then the smallest row. Columns must be orderable."""
+    keyed = fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), "fingerprint")
+    groups = near_duplicates(materialize(keyed, "prints"), distance=distance)
+    first = groups.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__th")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("text").alias("__key"))
+    held = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
+    return held.groupBy("doc_id", "__key").agg(F.min("doc").alias("doc")).select("doc.*")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
