@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import detection
+
 FLAGSHIP = "det_prf1_multi_iou"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (detection,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
