@@ -70,14 +70,13 @@ def detection_counts(
     pred = F.filter(F.coalesce(F.col("pred"), F.array().cast(samples.schema["pred"].dataType)), lambda p: p["box"].isNotNull())
     rows = samples.withColumn("gt", gt).withColumn("pred", pred)
     rows = rows.withColumn("__m", score_matrix(F.col("gt"), F.col("pred"), box_score(mode, F.col("gt"))))
+    # the explode ends the projection, so that the matrix is computed once for all thresholds
     grid = F.array(*[F.lit(t) for t in thresholds])
-    rows = rows.select(
-        *keep, F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"),
-        F.explode(F.transform(grid, lambda t: F.struct(t.alias("iou"), n_matched(F.col("__m"), t).alias("matches")))).alias("__r"),
-    )
+    rows = rows.select(*keep, F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), "__m", F.explode(grid).alias("iou"))
     none = F.lit(0.0) if mode == "by_category" else F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)
     ratio = lambda n: F.when(F.col("n_gt") == 0, none).when(F.col("n_pred") == 0, 0.0).otherwise(F.col("matches") / F.col(n))
-    return rows.select(*keep, "__r.iou", "__r.matches", "n_gt", "n_pred").withColumn("recall", ratio("n_gt")).withColumn("precision", ratio("n_pred"))
+    rows = rows.select(*keep, "iou", n_matched(F.col("__m"), F.col("iou")).alias("matches"), "n_gt", "n_pred")
+    return rows.withColumn("recall", ratio("n_gt")).withColumn("precision", ratio("n_pred"))
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -126,8 +125,13 @@ def oks(gt: Column, pred: Column, size: Column, sigma: float = 0.025) -> Column:
         d2 = F.pow(g["x"] - p["x"], F.lit(2.0)) + F.pow(g["y"] - p["y"], F.lit(2.0))
         return F.exp(F.try_divide(-d2, F.lit(2 * sigma * sigma) * size))
 
-    got = F.filter(F.transform(gt, of), lambda v: v.isNotNull())
-    return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda s, v: s + v) / F.size(got)).otherwise(F.lit(0.0))
+    # one fold, as an expression used twice would be computed twice
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.transform(gt, of), start,
+        lambda a, v: F.struct((a["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (a["n"] + v.isNotNull().cast("int")).alias("n")),
+        lambda a: F.coalesce(F.try_divide(a["s"], a["n"]), F.lit(0.0)),
+    )
 
 
 def best_pairs(matrix: Column) -> Column:

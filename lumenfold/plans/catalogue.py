@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, scoring
 
 FLAGSHIP = "det_prf1_multi_iou"
-MODULES = (detection,)
+MODULES = (detection, scoring)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
