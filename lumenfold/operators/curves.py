@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import boxes
+from .matching import _taken, let
 
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 #: Area ranges, ends included.
@@ -28,9 +29,7 @@ def _fold(options: Column, threshold: Column) -> Column:
                 (o["v"] >= threshold) & (o["crowd"] | ~F.array_contains(acc["used"], i)), F.struct(o["counted"].alias("counted"), o["v"].alias("v"), i.alias("i"))
             ),
         )
-        best = F.coalesce(F.array_max(open_)["i"], F.lit(-1))
-        used = F.when(best >= 0, F.array_append(acc["used"], best)).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.array_append(acc["out"], best).alias("out"))
+        return let(F.coalesce(F.array_max(open_)["i"], F.lit(-1)), lambda best: _taken(acc, best))
 
     return F.aggregate(options, start, step, lambda acc: acc["out"])
 
@@ -86,7 +85,8 @@ def average_precision(matches: DataFrame, npos: DataFrame, thresholds: Sequence[
     """
     key = ["cat", "area", "iou"]
     run = Window.partitionBy(*key).orderBy(F.desc("score"), "image", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    rest = Window.partitionBy(*key).orderBy(F.desc("score"), "image", "rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the far end, as a frame that shrinks from the front costs the square of its rows
+    rest = Window.partitionBy(*key).orderBy(F.asc("score"), F.desc("image"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     m = matches.join(npos, ["cat", "area"])
     m = m.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
     m = m.withColumn("envelope", F.max(F.col("ctp") / (F.col("ctp") + F.col("cfp"))).over(rest))

@@ -22,6 +22,18 @@ def score_matrix(gt: Column, pred: Column, score: Callable[[Column, Column], Col
     return F.transform(gt, lambda g: F.transform(pred, lambda p: score(g, p)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being computed once however often the body uses it: Spark computes an
+    expression inside a lambda anew at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _taken(acc: Column, best: Column) -> Column:
+    """The state of a fold after a match with `best` (-1: none)."""
+    used = F.when(best >= 0, F.array_append(acc["used"], best)).otherwise(acc["used"])
+    return F.named_struct(F.lit("used"), used, F.lit("out"), F.array_append(acc["out"], best))
+
+
 def greedy(matrix: Column, threshold: Column) -> Column:
     """Pred matched to each gt in turn (-1: none): the best unused one of at least the threshold and
     above 0; the first of equals."""
@@ -31,9 +43,7 @@ def greedy(matrix: Column, threshold: Column) -> Column:
         open_ = F.transform(
             row, lambda v, i: F.when((v > 0) & (v >= threshold) & ~F.array_contains(acc["used"], i), F.struct(v.alias("v"), (-i).alias("i")))
         )
-        best = F.coalesce(-F.array_max(open_)["i"], F.lit(-1))
-        used = F.when(best >= 0, F.array_append(acc["used"], best)).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.array_append(acc["out"], best).alias("out"))
+        return let(F.coalesce(-F.array_max(open_)["i"], F.lit(-1)), lambda best: _taken(acc, best))
 
     return F.aggregate(matrix, start, step, lambda acc: acc["out"])
 
@@ -142,7 +152,7 @@ def best_pairs(matrix: Column) -> Column:
 
     def step(acc: Column, c: Column) -> Column:
         free = ~F.array_contains(acc["gi"], c["i"]) & ~F.array_contains(acc["pj"], c["j"])
-        grown = lambda n, v: F.when(free, F.array_append(acc[n], v)).otherwise(acc[n])
-        return F.struct(grown("gi", c["i"]).alias("gi"), grown("pj", c["j"]).alias("pj"), grown("out", -c["v"]).alias("out"))
+        taken = F.named_struct(F.lit("gi"), F.array_append(acc["gi"], c["i"]), F.lit("pj"), F.array_append(acc["pj"], c["j"]), F.lit("out"), F.array_append(acc["out"], -c["v"]))
+        return F.when(free, taken).otherwise(acc)
 
     return F.aggregate(F.array_sort(cells), start, step, lambda acc: acc["out"])
