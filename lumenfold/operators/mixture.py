@@ -122,7 +122,7 @@ def nearby(frames: DataFrame, radius: int, k: int, seed: str | int) -> DataFrame
     """For each frame up to k others of its sequence within the radius, by hash: (seq, frame, near)."""
     a = frames.select("seq", "frame")
     shift = F.explode(F.array(*[F.lit(d) for d in range(-radius, radius + 1) if d]))
-    cand = a.withColumn("near", F.col("frame") + shift).join(a.select("seq", F.col("frame").alias("near")).distinct(), ["seq", "near"])
+    cand = a.withColumn("__d", shift).select("seq", "frame", (F.col("frame") + F.col("__d")).alias("near")).join(a.select("seq", F.col("frame").alias("near")).distinct(), ["seq", "near"])
     pick = F.slice(F.array_sort(F.collect_list(F.struct(digest(seed, "seq", "frame", "near").alias("h"), "near"))), 1, k)
     return cand.groupBy("seq", "frame").agg(F.transform(pick, lambda p: p["near"]).alias("near"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, scoring
+from . import corpus, detection, scoring
 
 FLAGSHIP = "det_prf1_multi_iou"
-MODULES = (detection, scoring)
+MODULES = (detection, scoring, corpus)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
