@@ -18,10 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import ship, table
+from .common import Generations, regrouped, ship, table
 
-#: Distinct words contracted by one query; words a worker keeps, beyond which it starts anew;
-#: characters of text handled at once.
+#: Distinct words contracted by one query, words a worker keeps, bytes of text handled at once.
 QUERY_WORDS, KEEP, SLICE_CHARS = 200_000, 400_000, 8_000_000
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -77,7 +76,7 @@ class Coder:
         self._load("merges", {"l": pa.array(l), "r": pa.array(r), "id": pa.array(m)})
         self._load("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         # by pre-token: (decimal ids joined by a space, decoded bytes)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known = Generations(KEEP)
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
         t = pa.table(columns)
@@ -112,7 +111,7 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Code the words that aren't known yet."""
-        new = [x for x in words if x not in self.known]
+        new = [x for x in words if self.known.get(x) is None]
         for i in range(0, len(new), QUERY_WORDS):
             part = new[i : i + QUERY_WORDS]
             raw = [x.encode("utf-8", "surrogatepass") for x in part]
@@ -121,12 +120,11 @@ class Coder:
             for k, got in zip(open_, self.contract([raw[k] for k in open_]) if open_ else (), strict=True):
                 ids[k] = got
             for x, got, back in zip(part, ids, self.decode(ids), strict=True):
-                self.known[x] = (" ".join(map(str, got)), back)
+                self.known.put(x, (" ".join(map(str, got)), back))
 
     def code(self, pieces: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
         """Decimal ids, their number and the decoded bytes of each piece of text."""
-        if len(self.known) > KEEP:
-            self.known.clear()
+        self.known.turn()
         flat: list[str] = []
         ends = np.zeros(len(pieces) + 1, np.int32)
         split = self.split
@@ -139,7 +137,7 @@ class Coder:
         words = pa.array(flat, pa.string()).dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(distinct)
-        got = [self.known[w] for w in distinct]
+        got = [self.known.get(w) for w in distinct]
         ids, raw = pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())
         offsets = pa.array(ends)
         n = np.concatenate([[0], np.cumsum(np.asarray(pc.count_substring(ids, " "), dtype=np.int64)[np.asarray(words.indices)] + 1)])
@@ -182,14 +180,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .packing import _slices
-
         c = coder(path, pattern)
-        for whole in batches:
-            for b in _slices(whole, "text", SLICE_CHARS):
-                ids, n, raw = coded(c, b.column("text"))
-                sha = lambda col: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), sha(ids), sha(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in regrouped(batches, "text", SLICE_CHARS):
+            ids, n, raw = coded(c, b.column("text"))
+            sha = lambda col: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), sha(ids), sha(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

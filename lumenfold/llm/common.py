@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,64 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows of long texts to a Python worker at a time, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of the column, or a single larger row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(column)), 0), dtype=np.int64))
+        start = 0
+        while start < whole.num_rows:
+            base = int(ends[start - 1]) if start else 0
+            stop = int(np.searchsorted(ends, base + limit - size, side="right"))
+            if stop <= start and not held:
+                stop = start + 1
+            if stop > start:
+                held.append(whole.slice(start, stop - start))
+                size += int(ends[stop - 1]) - base
+                start = stop
+            if start < whole.num_rows or size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+class Generations:
+    """A bounded memo of two generations: what was used lately is kept, the rest forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.half, self.fresh, self.stale = limit // 2, {}, {}
+
+    def turn(self) -> None:
+        """Between batches: start a new generation if the current one is full."""
+        if len(self.fresh) > self.half:
+            self.fresh, self.stale = {}, self.fresh
+
+    def get(self, key):
+        got = self.fresh.get(key)
+        if got is None:
+            got = self.stale.get(key)
+            if got is not None:
+                self.fresh[key] = got
+        return got
+
+    def put(self, key, value) -> None:
+        self.fresh[key] = value
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the decimal text of an id, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

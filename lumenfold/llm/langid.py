@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, hash_unit, ship, table
+from .common import crc_mod, hash_unit, ship, small_batches, table
 
 #: Profile length, documents sampled for each language at most (in expectation), languages learned
 #: at most (the most frequent), and the distance by which confidence falls by a factor of e.
@@ -94,6 +94,7 @@ def learn(docs: DataFrame, held_out: Column, length: int = PROFILE, sample: int
     language, by a hash of doc_id. Rows with null text or lang, or where held_out isn't false,
     teach nothing. What reaches the driver is one list of `length` n-grams for each language."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
@@ -127,6 +128,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     of name. Only text is read for the prediction; without profiles every language is und.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)  # LANGUAGES * PROFILE ranks at most
 
     @F.pandas_udf("lang_pred string, score double")

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, table
+from .common import Generations, materialize, regrouped, ship, table
 
 WINDOW, EOS = 2048, 1
-#: Pre-tokens whose ids a worker keeps; beyond, it starts anew.
-CACHE = 400_000
+#: Pre-tokens and words whose ids a worker keeps.
+CACHE = 200_000
 #: Characters of text handled at once.
 SLICE_CHARS = 4_000_000
 
@@ -53,32 +53,32 @@ class WordTokenizer:
         self.model = self.whole.model
         self.pieces = regex.compile(self.PIECES).findall
         self.byte_level = {b: c for b, c in zip(range(256), _byte_level(), strict=True)}
-        self.known: dict[str, bytes] = {}
+        self.known = Generations(CACHE)
 
     def piece(self, p: str) -> bytes:
         got = self.known.get(p)
         if got is None:
             mapped = p if p.isascii() else "".join(self.byte_level[b] for b in p.encode())
-            got = self.known[p] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            self.known.put(p, got)
         return got
 
     def words(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        out, known, piece = [], self.known, self.piece
+        self.known.turn()
+        out, piece = [], self.piece
+        fresh, stale = self.known.fresh, self.known.stale
         for w in words:
             if not (w.isascii() or max(w) <= "\u00ff") or "<|" in w:
                 out.append(array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes())
                 continue
             w = w.lower()
-            got = known.get(w)
-            if got is not None:
-                out.append(got)
-            elif w.isalpha():
-                out.append(piece(w))
-            else:
-                known[w] = got = b"".join(map(piece, self.pieces(w)))
-                out.append(got)
+            got = fresh.get(w)
+            if got is None:
+                got = stale.get(w)
+                if got is None:
+                    got = piece(w) if w.isalpha() else b"".join(map(piece, self.pieces(w)))
+                fresh[w] = got
+            out.append(got)
         return out
 
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -98,21 +98,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _STATE[path]
 
 
-def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-    import pyarrow.compute as pc
-
-    if not batch.num_rows:
-        return
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
-    start = 0
-    while start < batch.num_rows:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def tokenize_partitions(docs: DataFrame, tokenizer_path: str, eos: int = EOS, make: Callable = word_tokenizer) -> DataFrame:
     """(doc_id, ids binary, doc_tokens, part, local_start) in scan order, one pass."""
     ship(docs.sparkSession)
@@ -124,16 +109,15 @@ def tokenize_partitions(docs: DataFrame, tokenizer_path: str, eos: int = EOS, ma
 
         part, at, tok = TaskContext.get().partitionId(), 0, make(tokenizer_path)
         tail = int(eos).to_bytes(4, "little")
-        for whole in batches:
-            for b in _slices(whole, "text", SLICE_CHARS):
-                joined = pc.binary_join_element_wise(tok.encode(b.column("text")), tail, b"")
-                n = np.asarray(pc.binary_length(joined), dtype=np.int64) // 4
-                ends = at + np.cumsum(n)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), joined, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)],
-                    ["doc_id", "ids", "doc_tokens", "part", "local_start"],
-                )
-                at = int(ends[-1])
+        for b in regrouped(batches, "text", SLICE_CHARS):
+            joined = pc.binary_join_element_wise(tok.encode(b.column("text")), tail, b"")
+            n = np.asarray(pc.binary_length(joined), dtype=np.int64) // 4
+            ends = at + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), joined, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)],
+                ["doc_id", "ids", "doc_tokens", "part", "local_start"],
+            )
+            at = int(ends[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, doc_tokens long, part int, local_start long")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_unit, ship, table
+from .common import crc_mod, hash_unit, ship, small_batches, table
 
 #: Labelled rows learned from at most (in expectation), bins of a feature, bins of a feature in a
 #: pair, turns, step, pairs, and leaves of a tree.
@@ -160,6 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) ->
     label of a missing document neither. The driver gets features of the sample, not texts.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(~held_out & F.col("y").isNotNull())
     total = usable.count()
     chosen = usable.where(hash_unit("doc_id") < min(1.0, sample / max(1, total)))
@@ -180,6 +181,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     """Add score (0 to 1) from the whole text alone; a null text scores as an empty one. A column
     named score is replaced."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     @F.pandas_udf("double")

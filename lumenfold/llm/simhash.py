@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table
+from .common import materialize, ship, small_batches, table
 from .components import connected_components
 
 BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, words: int = WORDS, lower: bool = True) -> int
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Add fingerprint (long); a column of this name is replaced."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
