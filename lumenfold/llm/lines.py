@@ -29,10 +29,12 @@ _SPACE = r"[\x20\x09-\x0D]+"
 def _parsed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, masked, leaf) of each line with a token; th: hash of the whole text."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(F.col("line"))
-    lines = lines.withColumn("masked", F.regexp_replace(masked, f"^{_SPACE}|{_SPACE}$", "")).where("masked <> ''")
-    tokens = F.split("masked", _SPACE)
-    return lines.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
+    # most lines have neither digits nor odd white space: one look, and no array of tokens
+    odd = F.col("line").rlike(r"[0-9\x09-\x0D]|\x20\x20")
+    plain = F.regexp_replace(F.regexp_replace("line", _SPACE, " "), r"[^\x20]*[0-9][^\x20]*", FIELD)
+    lines = lines.withColumn("masked", F.trim(F.when(odd, plain).otherwise(F.col("line")))).where("masked <> ''")
+    gaps = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    return lines.withColumn("leaf", F.xxhash64(gaps, F.substring_index("masked", " ", DEPTH)))
 
 
 def templates(rows: list[tuple[str, int]], similarity: float = SIMILARITY) -> list[int]:
