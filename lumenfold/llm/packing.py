@@ -58,7 +58,7 @@ class WordTokenizer:
     def piece(self, p: str) -> bytes:
         got = self.known.get(p)
         if got is None:
-            mapped = p if p.isascii() else "".join(self.byte_level[b] for b in p.encode())
+            mapped = p if p.isascii() and p.isprintable() else "".join(self.byte_level[b] for b in p.encode())
             got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
             self.known.put(p, got)
         return got
