@@ -110,12 +110,18 @@ def palette_index(c: Column, n: int) -> Column:
 
 
 def three_places(v: Column) -> Column:
-    """Text with three places, ties to even of the exact binary value as printf does.
+    """Text with three places, rounding the exact binary value, ties to even, as printf does.
 
-    A double is a decimal of finite length; 40 places hold the first of any value in [0, 1) that
-    is a tie at the fourth place, so rounding that decimal half to even is exact.
+    With n the whole thousandths, v * 2000 - (2n + 1) tells up from down. v is split into two parts
+    of half its digits each, whose products with 2000 are exact, so the sign is exact too.
     """
-    return F.bround(v.cast("decimal(38,30)"), 3).cast("decimal(20,3)").cast("string")
+    a = F.abs(v)
+    n = F.floor(a * 1000)
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    side = (high * 2000 - (n * 2 + 1)) + (a - high) * 2000
+    up = F.when((side > 0) | ((side == 0) & (n % 2 == 1)), 1).otherwise(0)
+    digits = F.lpad((n + up).cast("string"), F.greatest(F.length((n + up).cast("string")), F.lit(4)), F.lit("0"))
+    return F.concat(F.when(v < 0, "-").otherwise(""), F.regexp_replace(digits, "([0-9]{3})$", ".$1"))
 
 
 def _labelled(c: Column) -> Column:

@@ -72,6 +72,9 @@ class Packer:
                     continue
                 yield self._close()
                 self._start()
+                if self.tokens + s[1] > self.limits.hard:  # the mandatory samples left no room
+                    self.waiting.append(s)
+                    continue
             self._put(s)
             if self.tokens >= self.limits.soft:
                 yield self._close()
