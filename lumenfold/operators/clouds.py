@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 XYZ = ("x", "y", "z")
 
 
@@ -67,6 +69,7 @@ def voxel_iou(a: DataFrame, b: DataFrame, side: float) -> DataFrame:
 def umeyama(pairs: DataFrame, scaled: bool = True) -> DataFrame:
     """(seq, scale, rotation by rows, shift) that best take (x, y, z) to (nx, ny, nz), from moments by
     ordinary aggregates; only the 3 x 3 decomposition runs in Python, a row for each seq."""
+    ship(pairs.sparkSession)
     src, dst = XYZ, tuple(f"n{c}" for c in XYZ)
     m = pairs.groupBy("seq").agg(
         *[F.avg(c).alias(c) for c in (*src, *dst)], *[F.avg(F.col(d) * F.col(s)).alias(f"{d}_{s}") for d in dst for s in src],

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
 from .mixture import digest
 
 
@@ -97,6 +98,7 @@ def pack(samples: DataFrame, shards: int, seed: str | int, limits: Limits = Limi
     """
     import pandas as pd
 
+    ship(samples.sparkSession)
     wanted = tuple(mandatory)
     rows = samples.select("key", "tokens", "grp", digest(seed, "key").alias("h"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.packing import Limits, Packer
+from ..shipping import ship
 
 _STATE = "tokens long, open_key array<long>, open_tokens array<long>, open_grp array<string>, wait_key array<long>, wait_tokens array<long>, wait_grp array<string>, packs long"
 _OUT = "shard int, pack long, keys array<long>, tokens long"
@@ -22,6 +23,8 @@ _OUT = "shard int, pack long, keys array<long>, tokens long"
 def packed_stream(samples: DataFrame, shards: int, limits: Limits = Limits()) -> DataFrame:
     """Packs (shard, pack, keys, tokens) of a stream of (key long, tokens long, grp string)."""
 
+    ship(samples.sparkSession)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p, n = Packer(limits), 0
         if state.exists:
