@@ -1,19 +1,20 @@
-"""Shared plumbing: tables, the shared work folder, shipping the package to Python workers."""
+"""Shared plumbing: tables, the shared work folder, batches for Python workers."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from ..shipping import ship
+
+__all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "ship", "small_batches", "table", "work_dir"]
+
 _OWN_DIR: list[str] = []
 
 
@@ -60,23 +61,6 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for an application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(prefix="lumenfold-zip-"), "lumenfold_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "lumenfold")):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows of long texts to a Python worker at a time, unless the session has its own number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
