@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Generations, regrouped, ship, table
+from .common import Generations, regrouped, relax, ship, small_batches, table
 
 #: Distinct words contracted by one query, words a worker keeps, bytes of text handled at once.
 QUERY_WORDS, KEEP, SLICE_CHARS = 200_000, 400_000, 8_000_000
@@ -178,6 +178,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Repeated rows give repeated rows, an empty table none; other columns are ignored.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
@@ -185,6 +186,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids, n, raw = coded(c, b.column("text"))
             sha = lambda col: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), sha(ids), sha(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        relax()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "ship", "small_batches", "table", "work_dir"]
+__all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "relax", "ship", "small_batches", "table", "work_dir"]
 
 _OWN_DIR: list[str] = []
 
@@ -65,7 +65,20 @@ def small_batches(spark: SparkSession) -> None:
     """Fewer rows of long texts to a Python worker at a time, unless the session has its own number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+        spark.conf.set(key, "250")
+
+
+def relax() -> None:
+    """At the end of a Python task: give back what its batches took, as workers live on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:

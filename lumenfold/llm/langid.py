@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, hash_unit, ship, small_batches, table
+from .common import crc_mod, hash_unit, relax, ship, small_batches, table
 
 #: Profile length, documents sampled for each language at most (in expectation), languages learned
 #: at most (the most frequent), and the distance by which confidence falls by a factor of e.
@@ -132,9 +132,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(profiles)  # LANGUAGES * PROFILE ranks at most
 
     @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = [held.value.predict(t) for t in texts]
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        relax()
 
     out = docs.withColumn("__judged", judge(F.col("text")))
     return out.withColumn("lang_pred", F.col("__judged.lang_pred")).withColumn("score", F.col("__judged.score")).drop("__judged")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Generations, materialize, regrouped, ship, table
+from .common import Generations, materialize, regrouped, relax, ship, small_batches, table
 
 WINDOW, EOS = 2048, 1
 #: Pre-tokens and words whose ids a worker keeps.
@@ -98,9 +98,17 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _STATE[path]
 
 
+def _forget() -> None:
+    """Between tasks a worker keeps the tokenizer, not the words."""
+    for t in _STATE.values():
+        t.known = Generations(CACHE)
+    relax()
+
+
 def tokenize_partitions(docs: DataFrame, tokenizer_path: str, eos: int = EOS, make: Callable = word_tokenizer) -> DataFrame:
     """(doc_id, ids binary, doc_tokens, part, local_start) in scan order, one pass."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -118,6 +126,7 @@ def tokenize_partitions(docs: DataFrame, tokenizer_path: str, eos: int = EOS, ma
                 ["doc_id", "ids", "doc_tokens", "part", "local_start"],
             )
             at = int(ends[-1])
+        _forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, doc_tokens long, part int, local_start long")

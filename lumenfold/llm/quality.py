@@ -9,6 +9,7 @@ the logistic of the intercept plus one addition for each table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_unit, ship, small_batches, table
+from .common import crc_mod, hash_unit, relax, ship, small_batches, table
 
 #: Labelled rows learned from at most (in expectation), bins of a feature, bins of a feature in a
 #: pair, turns, step, pairs, and leaves of a tree.
@@ -167,8 +168,10 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of 16 bytes
 
     @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features(t) for t in texts])
+        relax()
 
     got = rows.select(measured("text").alias("x"), "y").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
@@ -185,9 +188,11 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     @F.pandas_udf("double")
-    def judged(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(held.value.scores(x))
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+            yield pd.Series(held.value.scores(x))
+        relax()
 
     return docs.withColumn("score", judged(F.col("text")))
 

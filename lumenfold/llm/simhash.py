@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table
+from .common import materialize, relax, ship, small_batches, table
 from .components import connected_components
 
 BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
@@ -58,8 +58,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+        relax()
 
     return docs.withColumn("fingerprint", of(F.col("text")))
 
