@@ -10,7 +10,7 @@ from .packing import op6_packing
 from .quality import op10_quality_classifier
 from .simhash import op8_simhash_dedup
 from .topk import OP9_SQL, op9_exact_topk
-from .urls import op5_url_filter
+from .urls import OP5_SQL, op5_url_filter
 from .vectors import OP3_SQL, op3_embedding_dedup
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_exact_topk": OP9_SQL}

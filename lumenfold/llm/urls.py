@@ -78,9 +78,9 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     of a kind sum to 1 at most. Kinds are walked together, a round being one join and one
     aggregate; each round is written out.
     """
+    if edges.isEmpty():  # what every round would give
+        return seeds.select("kind", "host", (F.col("mass") * (1 - damping if rounds else 1)).alias("score"))
     score = materialize(seeds.select("kind", "host", F.col("mass").alias("score")), "ppr")
-    if edges.isEmpty():
-        return score
     for _ in range(rounds):
         moved = (
             score.join(edges, (score["kind"] == edges["kind"]) & (score["host"] == edges["src"]))
@@ -129,4 +129,37 @@ def judge_urls(
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     """Judge every page by the production rules, and by its host's standing where none fits."""
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
+def _sql() -> str:
+    host = f"translate(regexp_extract({{}}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    rules = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+    rounds = "".join(
+        f""", s{k + 1} as (select kind, host, sum(x) as score from (
+  select e.kind, e.dst as host, s.score * e.share * {DAMPING} as x from s{k} s join shares e on e.kind = s.kind and e.src = s.host
+  union all select kind, host, mass * (1 - {DAMPING}) from seeds) group by all)"""
+        for k in range(ROUNDS)
+    )
+    return f"""
+with rules(rule, rhost, rpath, rverdict) as (values {rules}),
+p as (select page_id, html, coalesce({host.format("url")}, '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+fit as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(rverdict, length(rule)) as ruled
+  from p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id),
+seen as (select distinct ruled as kind, host from p join fit using (page_id) where host <> ''),
+seeds as (select kind, host, 1.0::double / count(*) over (partition by kind) as mass from seen),
+links as (select host as src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*([a-z][a-z0-9+.-]*://[^"''\\s>]*)', 1)) as link from p),
+raw as (select src, dst, count(*) as w from (select src, {host.format("link")} as dst from links) where src <> '' and dst <> '' and src <> dst group by all),
+walk as (select 'allow' as kind, src, dst, w from raw union all select 'block', dst, src, w from raw),
+shares as (select kind, src, dst, w / sum(w) over (partition by kind, src) as share from walk),
+s0 as (select kind, host, mass as score from seeds){rounds},
+h as (select host, coalesce(max(score) filter (where kind = 'allow'), 0.0) as t, coalesce(max(score) filter (where kind = 'block'), 0.0) as d from s{ROUNDS} group by host)
+select page_id, p.host, path, rule, coalesce(ruled, case when coalesce(d, 0) >= {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
+  round(coalesce(t, 0.0), 9) as trust, round(coalesce(d, 0.0), 9) as distrust
+from p left join fit using (page_id) left join h on h.host = p.host
+"""
+
+
+OP5_SQL = _sql()

@@ -214,3 +214,20 @@ def test_sorted_lists_never_lose_a_winner():
         for q in rng.integers(-50, 50, (20, 6)):
             best = np.sort(x @ q)[-10:].min()
             assert set(np.flatnonzero(x @ q >= best)) <= set(s.search(q, 10))
+
+
+def test_url_query_matches_its_sql(spark, tmp_path):
+    import duckdb
+
+    link = lambda *hosts: "".join(f"<a HREF = 'http://{h}/p'>x</a>" for h in hosts)
+    pages = [(i, f"http://h{i % 7}.{'org' if i % 3 else 'net'}/{'fr' if i % 2 else 'x'}/", link(*[f"h{(i * k) % 9}.{'net' if k % 2 else 'info'}" for k in range(1, 4)])) for i in range(40)]
+    pages += [(50 + i, f"http://h{i}.info/", link(f"h{i % 3}.net", "deep.info")) for i in range(9)] + [(90, None, None), (91, "http://deep.info", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = [tuple(r) for r in urls.op5_url_filter(spark, str(tmp_path)).collect()]
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.execute(urls.OP5_SQL).fetchall()
+    key = lambda r: r[0]
+    assert [r[:5] for r in sorted(rows, key=key)] == [r[:5] for r in sorted(want, key=key)]
+    assert [r[5:] for r in sorted(rows, key=key)] == pytest.approx([r[5:] for r in sorted(want, key=key)])
+    assert any(r[3] is None and r[4] == "block" for r in rows)
