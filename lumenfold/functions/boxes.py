@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Upper end of normalised coordinates; limits of small and medium areas.
 TOP, SMALL, MEDIUM = 0.999, 32.0**2, 96.0**2
 
@@ -71,10 +73,9 @@ def points_of(flat: Column) -> Column:
 
 def polygon_box(flat: Column) -> Column:
     """Smallest box around at least three points with extent in both directions; else null."""
-    p = points_of(flat)
-    xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
-    x0, y0, x1, y1 = F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
-    return F.when((F.size(flat) >= 6) & (x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
+    edge = lambda p, c, f: f(F.transform(p, lambda q: q[c]))
+    box = let(points_of(flat), lambda p: F.array(edge(p, "x", F.array_min), edge(p, "y", F.array_min), edge(p, "x", F.array_max), edge(p, "y", F.array_max)))
+    return let(box, lambda b: F.when((F.size(flat) >= 6) & (b[2] > b[0]) & (b[3] > b[1]), b))
 
 
 def box_polygon(b: Column) -> Column:
@@ -83,14 +84,12 @@ def box_polygon(b: Column) -> Column:
 
 def polygon_area(flat: Column) -> Column:
     """Shoelace area; 0 with fewer than three points."""
-    p = points_of(flat)
-    n = F.size(p)
-    at = F.sequence(F.lit(0), n - 1)
-    twice = F.aggregate(
-        F.transform(at, lambda i: F.get(p, i)["x"] * F.get(p, (i + 1) % n)["y"] - F.get(p, (i + 1) % n)["x"] * F.get(p, i)["y"]),
-        F.lit(0.0), lambda s, v: s + v,
-    )
-    return F.when(F.size(flat) >= 6, F.abs(twice) / 2).otherwise(F.lit(0.0))
+
+    def twice(p: Column) -> Column:
+        after = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+        return F.aggregate(F.zip_with(p, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+
+    return F.when(F.size(flat) >= 6, F.abs(let(points_of(flat), twice)) / 2).otherwise(F.lit(0.0))
 
 
 def pixels(b: Column, w: Column, h: Column) -> Column:

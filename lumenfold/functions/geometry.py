@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 EPS = 1e-15
 
 
 def unit(q: Column, n: int = 4) -> Column:
-    length = F.sqrt(sum((q[i] * q[i] for i in range(1, n)), q[0] * q[0]))
-    return F.transform(q, lambda v: F.try_divide(v, length))
+    length = lambda q: F.sqrt(sum((q[i] * q[i] for i in range(1, n)), q[0] * q[0]))
+    return let(q, lambda q: let(length(q), lambda d: F.transform(q, lambda v: F.try_divide(v, d))))
 
 
 def dot(a: Column, b: Column, n: int) -> Column:
@@ -31,29 +33,35 @@ def product(a: Column, b: Column) -> Column:
 
 
 def standard_sign(q: Column) -> Column:
-    return F.when(q[0] < 0, F.transform(q, lambda v: -v)).otherwise(q)
+    return let(q, lambda q: F.when(q[0] < 0, F.transform(q, lambda v: -v)).otherwise(q))
 
 
 def matrix(q: Column) -> Column:
     """Rotation matrix of a unit quaternion."""
-    w, x, y, z = (q[i] for i in range(4))
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
-        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
-    )
+
+    def of(q: Column) -> Column:
+        w, x, y, z = (q[i] for i in range(4))
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+            2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+        )
+
+    return let(q, of)
 
 
 def quaternion(m: Column) -> Column:
     """Unit quaternion of a rotation matrix, by its largest component, with w >= 0."""
-    c = lambda i, j: m[3 * i + j]
-    tr = [1 + c(0, 0) + c(1, 1) + c(2, 2), 1 + c(0, 0) - c(1, 1) - c(2, 2), 1 - c(0, 0) + c(1, 1) - c(2, 2), 1 - c(0, 0) - c(1, 1) + c(2, 2)]
-    by = [
-        F.array(tr[0], c(2, 1) - c(1, 2), c(0, 2) - c(2, 0), c(1, 0) - c(0, 1)), F.array(c(2, 1) - c(1, 2), tr[1], c(1, 0) + c(0, 1), c(0, 2) + c(2, 0)),
-        F.array(c(0, 2) - c(2, 0), c(1, 0) + c(0, 1), tr[2], c(2, 1) + c(1, 2)), F.array(c(1, 0) - c(0, 1), c(0, 2) + c(2, 0), c(2, 1) + c(1, 2), tr[3]),
-    ]
-    most = F.greatest(*tr)
-    q = F.when(tr[0] == most, by[0]).when(tr[1] == most, by[1]).when(tr[2] == most, by[2]).otherwise(by[3])
-    return standard_sign(unit(q))
+
+    def of(m: Column) -> Column:
+        c = lambda i, j: m[3 * i + j]
+        t = [1 + c(0, 0) + c(1, 1) + c(2, 2), 1 + c(0, 0) - c(1, 1) - c(2, 2), 1 - c(0, 0) + c(1, 1) - c(2, 2), 1 - c(0, 0) - c(1, 1) + c(2, 2)]
+        by = [
+            F.array(t[0], c(2, 1) - c(1, 2), c(0, 2) - c(2, 0), c(1, 0) - c(0, 1)), F.array(c(2, 1) - c(1, 2), t[1], c(1, 0) + c(0, 1), c(0, 2) + c(2, 0)),
+            F.array(c(0, 2) - c(2, 0), c(1, 0) + c(0, 1), t[2], c(2, 1) + c(1, 2)), F.array(c(1, 0) - c(0, 1), c(0, 2) + c(2, 0), c(2, 1) + c(1, 2), t[3]),
+        ]
+        return let(F.greatest(*t), lambda most: F.when(t[0] == most, by[0]).when(t[1] == most, by[1]).when(t[2] == most, by[2]).otherwise(by[3]))
+
+    return standard_sign(unit(let(m, of)))
 
 
 def rotate(m: Column, v: Column) -> Column:

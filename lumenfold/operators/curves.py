@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import boxes
-from .matching import _taken, let
+from ..functions.binding import let
+from .matching import _taken
 
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 #: Area ranges, ends included.

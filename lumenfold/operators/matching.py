@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..functions.binding import let
 
 #: 0.50 to 0.95 by 0.05.
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
@@ -22,12 +23,6 @@ def score_matrix(gt: Column, pred: Column, score: Callable[[Column, Column], Col
     return F.transform(gt, lambda g: F.transform(pred, lambda p: score(g, p)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), the value being computed once however often the body uses it: Spark computes an
-    expression inside a lambda anew at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _taken(acc: Column, best: Column) -> Column:
     """The state of a fold after a match with `best` (-1: none)."""
     used = F.when(best >= 0, F.array_append(acc["used"], best)).otherwise(acc["used"])

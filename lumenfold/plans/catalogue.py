@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, detection, scoring, shapes, streams
+from . import corpus, detection, extra, scoring, shapes, streams
 
 FLAGSHIP = "det_prf1_multi_iou"
-MODULES = (detection, scoring, corpus, shapes, streams)
+MODULES = (detection, scoring, corpus, shapes, extra, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
