@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import dense_ids
+
 
 def digest(seed: str | int, *key: Column | str) -> Column:
     parts = [F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]]
@@ -89,8 +91,7 @@ def repeated_to(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     total = df.count()
     if not total:
         return df.withColumn("copy", F.lit(0))
-    w = Window.orderBy(*order)
-    rows = df.withColumn("__at", F.row_number().over(w) - 1).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(-(-n // total) - 1))))
+    rows = dense_ids(df, list(order), name="__at").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(-(-n // total) - 1))))
     return rows.where(F.col("copy") * total + F.col("__at") < n).drop("__at")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import mixture, packing, reports
+from ..operators.numbering import dense_ids
 from .common import table
 
 QUERIES: dict = {}
@@ -238,7 +239,8 @@ def mixture_interleave(spark, sf_dir: str) -> DataFrame:
 
 def _ranked(spark, sf_dir: str) -> DataFrame:
     """Orders numbered from 0 in order of their id, as file readers number lines."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return dense_ids(o, "o_orderkey", name="r").withColumn("n", F.lit(o.count()))
 
 
 @query("with r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as r, count(*) over () as n from orders) select o_orderkey, floor(r / ceil(n / 7))::int as shard from r")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import boxes, text
+from ..operators.numbering import dense_ids
 
 #: Record families.
 INSTRUCTION = "id bigint, image array<string>, conversations array<struct<`from`:string,value:string>>, seg array<string>, category string"
@@ -122,19 +123,6 @@ def instructions(flat: DataFrame, template: Column, start: int = 0) -> DataFrame
     return dense_ids(r.select(F.array("image").alias("image"), talk.alias("conversations")), "image", start)
 
 
-def dense_ids(rows: DataFrame, order: str, start: int = 0, name: str = "id") -> DataFrame:
-    """Running ids from `start` in order: partitions are ranged and counted, so no single task sorts all."""
-    sorted_ = rows.sort(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist()
-    n = sorted_.groupBy("__p").agg(F.count("*").alias("n")).collect()
-    upto, bases = start, {}
-    for r in sorted(n, key=lambda r: r["__p"]):
-        bases[r["__p"]] = upto
-        upto += r["n"]
-    base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else F.create_map(F.lit(0), F.lit(0))
-    within = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_.withColumn(name, (base[F.col("__p")] + within).cast("long")).drop("__p", "__m")
-
-
 def write_checked(rows: DataFrame, path: str, expected: int | None = None, form: str = "json") -> int:
     """Write beside the target and rename only if the count is as expected; gives the count."""
     spark = rows.sparkSession
