@@ -108,7 +108,9 @@ def icp(points: DataFrame, target: DataFrame, side: float, rounds: int = 5, reac
         pairs = nearest(points, target, side)
         if reach is not None:
             pairs = pairs.where(F.col("distance") <= reach)
-        points = moved(points, umeyama(pairs, scaled=False)).checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else moved(points, umeyama(pairs, scaled=False))
+        points = moved(points, umeyama(pairs, scaled=False))
+        if points.sparkSession.sparkContext.getCheckpointDir():  # the lineage grows with the rounds
+            points = points.checkpoint()
     return points
 
 

@@ -149,9 +149,9 @@ def coco_join_group(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, coalesce(sum(o_totalprice), 0)::double as total from region join nation on n_regionkey = r_regionkey
+select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, coalesce(sum(floor(o_totalprice)), 0)::bigint as total from region join nation on n_regionkey = r_regionkey
 left join customer on c_nationkey = n_nationkey left join orders on o_custkey = c_custkey group by all
-""".replace("coalesce(sum(o_totalprice), 0)::double as total", "coalesce(sum(floor(o_totalprice)), 0)::bigint as total"))
+""")
 def star_index(spark, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).alias("s"))

@@ -129,10 +129,6 @@ def det_size_buckets(spark, sf_dir: str) -> DataFrame:
     return one("gt", 1, 0).unionAll(one("pred", 0, 1)).groupBy("size").agg(F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred"))
 
 
-def _size_prf(size: str) -> str:
-    return f"case when (x1 - x0) * (y1 - y0) < 1024 then 'small' when (x1 - x0) * (y1 - y0) < 9216 then 'medium' else 'large' end = '{size}'"
-
-
 @query(f"""
 with recursive {BOXES}, {greedy_sql("c.known", "0.5")}
 select case when n_gt <= 1 then '1' when n_gt <= 3 then '2-3' when n_gt <= 5 then '4-5' when n_gt <= 10 then '6-10' else '11+' end as bucket,
@@ -150,8 +146,7 @@ def det_size_prf1(spark, sf_dir: str) -> DataFrame:
     s = box_samples(spark, sf_dir)
     parts = []
     for size in ("small", "medium", "large"):
-        of = lambda c, size=size: F.filter(c, _is_size(size))
-        p = s.select("sample_id", of("gt").alias("gt"), of("pred").alias("pred"))
+        p = s.select("sample_id", *[F.filter(c, _is_size(size)).alias(c) for c in ("gt", "pred")])
         parts.append(matching.detection_counts(p, (0.5,), "referring").withColumn("size", F.lit(size)))
     rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
     return rows.groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.count("*").alias("samples"))

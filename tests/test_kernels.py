@@ -160,8 +160,6 @@ def test_nearest_matches_brute_force(spark):
 
 
 def test_umeyama_finds_the_motion(spark):
-    from lumenfold.plans.scoring import _paired  # noqa: F401
-
     p = spark.createDataFrame([(1, float(i), float(i * i % 5), float(i % 3)) for i in range(9)], "seq int, x double, y double, z double")
     m = clouds.umeyama(p.select("*", (-2 * F.col("y") + 1).alias("nx"), (2 * F.col("x") - 1).alias("ny"), (2 * F.col("z") + 0.5).alias("nz"))).first()
     assert m["scale"] == pytest.approx(2) and m["shift"] == pytest.approx([1, -1, 0.5]) and m["rotation"] == pytest.approx([0, -1, 0, 1, 0, 0, 0, 0, 1], abs=1e-9)
