@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, relax, ship, small_batches, table
 from .components import connected_components
+from .jaccard import near_groups
 
 BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
 #: (shift, width) of the blocks.
@@ -114,8 +115,11 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def near_edges(classes: DataFrame, distance: int = DISTANCE, run: int = RUN) -> DataFrame:
     """Edges (a, b) over distinct fingerprints that connect all at most `distance` (4 or less) apart.
 
-    classes: one column fingerprint, distinct, not null.
+    classes: one column fingerprint, distinct, not null. A distance that the blocks don't cover is
+    refused.
     """
+    if distance > len(BLOCKS) - 2:
+        raise ValueError(f"pairs of {len(BLOCKS)} blocks cover {len(BLOCKS) - 2} bits at most, not {distance}")
     ship(classes.sparkSession)
     keys = [
         F.struct(F.lit(n).cast("int").alias("pair"), ((_block("fingerprint", i)) * F.lit(1 << BLOCKS[j][1]) + _block("fingerprint", j)).alias("key"))
@@ -207,12 +211,13 @@ def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", distance: int = D
     return prints.drop("component_id", "component_root").join(named, "fingerprint")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: the smallest doc_id (nulls last),
-    then the smallest hash of the text, then the smallest row. Columns must be orderable."""
-    keyed = fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("th"), "fingerprint")
-    groups = near_duplicates(materialize(keyed, "prints"), distance=distance)
-    first = groups.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
+    then the smallest hash of the text, then the smallest row. Columns must be orderable. Near are
+    texts whose five-word shingles have a Jaccard similarity of 0.8 or more; four words and four
+    bits are op8's alone."""
+    groups = near_groups(docs.select("doc_id", "text"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__th")).distinct()
     rows = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("text").alias("__key"))
     held = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))

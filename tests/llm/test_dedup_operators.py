@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenfold.llm import components, lines, simhash, topk, urls, vectors
+from lumenfold.llm import components, jaccard, lines, simhash, topk, urls, vectors
 
 
 def union(pairs, nodes):
@@ -83,6 +83,52 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or -1, r["source"]) for r in out) == [(-1, "d"), (3, "b"), (8, "e")]
 
 
+def word_shingles(text):
+    ws = (text or "").lower().split()
+    return {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def planted_copies(rng):
+    """Texts and copies with similarities from about 0.7 to 1, half of them behind one common passage."""
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    passage, texts = draw(40), []
+    for i in range(60):
+        base = (passage if i % 2 else []) + draw(int(rng.integers(20, 300)))
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.choice(len(base), max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.03]))), replace=False):
+                copy[at] = f"new{int(rng.integers(0, 10**6))}"
+            texts.append(copy)
+    hub = draw(200)
+    for i in range(150):
+        texts.append([*hub[:i], f"own{i}", *hub[i + 1 :]])
+    return [" ".join(t) for t in texts] + ["a b", "A  b", "a b c", "", None]
+
+
+def test_planted_copies_are_grouped_as_by_brute_force(spark):
+    texts = planted_copies(np.random.default_rng(9))
+    sets = [word_shingles(t) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    shares = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs if sets[i]]
+    assert all(any(lo <= s < lo + 0.05 for s in shares) for lo in (0.8, 0.85, 0.9, 0.95))
+    want = union(pairs, range(len(texts)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_each(d).collect()}
+    assert got == set(want.values())  # recall 1, and no clean text lost
+    # the same when lists are cut into tiles
+    sets_ = jaccard.shingle_sets(d).dropDuplicates(["set"]).cache()
+    parts = {r["set"]: r["component"] for r in jaccard.near_sets(sets_, run=7).collect()}
+    names = {r["doc_id"]: r["set"] for r in sets_.select("doc_id", "set").collect()}
+    assert len({parts.get(s, s) for s in names.values()}) == len(got)
+
+
+def test_a_distance_beyond_the_blocks_is_refused(spark):
+    with pytest.raises(ValueError, match="blocks cover 4 bits"):
+        simhash.near_edges(spark.createDataFrame([(1,)], "fingerprint long"), 5)
+
+
 # ---- line dedup
 
 
