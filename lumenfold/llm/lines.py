@@ -21,20 +21,31 @@ from .common import materialize, ship, small_batches, table
 #: Leading tokens of a leaf; share of equal positions that joins a template; different texts in
 #: which a template recurs; distinct lines of a leaf that one task parses at once.
 DEPTH, SIMILARITY, RECURS, SHARD = 3, 0.75, 20, 4000
+#: (tokens, texts): lines of so many tokens or more don't recur by chance, so fewer texts than
+#: RECURS are enough.
+FLOORS = ((50, 2), (8, 3))
 FIELD = "<*>"
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, masked, leaf) of each line with a token; th: hash of the whole text."""
+    """(doc_id, th, pos, masked, tokens, leaf) of each line with a token; th: hash of the whole text."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # most lines have neither digits nor odd white space: one look, and no array of tokens
     odd = F.col("line").rlike(r"[0-9\x09-\x0D]|\x20\x20")
     plain = F.regexp_replace(F.regexp_replace("line", _SPACE, " "), r"[^\x20]*[0-9][^\x20]*", FIELD)
     lines = lines.withColumn("masked", F.trim(F.when(odd, plain).otherwise(F.col("line")))).where("masked <> ''")
     gaps = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
-    return lines.withColumn("leaf", F.xxhash64(gaps, F.substring_index("masked", " ", DEPTH)))
+    return lines.withColumn("tokens", gaps + 1).withColumn("leaf", F.xxhash64(gaps, F.substring_index("masked", " ", DEPTH)))
+
+
+def _floor(recurs: int):
+    """Different texts from which a line of so many `tokens` recurs."""
+    out = F.lit(recurs)
+    for tokens, texts in sorted(FLOORS):
+        out = F.when(F.col("tokens") >= tokens, min(texts, recurs)).otherwise(out)
+    return out
 
 
 def templates(rows: list[tuple[str, int]], similarity: float = SIMILARITY) -> list[int]:
@@ -86,6 +97,8 @@ def _merged(distinct: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, recurs: int = RECURS, shard: int = SHARD) -> DataFrame:
     """Drop recurring lines; text is replaced, and n_lines and n_dropped are added.
 
+    A line recurs in `recurs` different texts, or in fewer by FLOORS where it is longer.
+
     docs: doc_id, text and any other columns, kept as they are; columns named n_lines or
     n_dropped are replaced. A null text stays null (0 lines). Texts count once however many rows
     have them, and repeated rows are treated alike. Empty lines are never dropped; a text may lose
@@ -94,18 +107,21 @@ def dedup_lines(docs: DataFrame, recurs: int = RECURS, shard: int = SHARD) -> Da
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     parsed = _parsed(docs).withColumn("mh", F.xxhash64("masked", "leaf"))
-    slim = materialize(parsed.select("doc_id", "th", "pos", "leaf", "mh"), "lines")
-    common = slim.groupBy("leaf", "th").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"))
-    common = materialize(common.where(F.col("n") >= recurs).select("leaf"), "leaves")
+    slim = materialize(parsed.select("doc_id", "th", "pos", "leaf", "mh", _floor(recurs).cast("byte" if recurs < 128 else "int").alias("floor")), "lines")
+    common = slim.groupBy("leaf", "floor", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "floor").agg(F.count("*").alias("n"))
+    common = materialize(common.where(F.col("n") >= F.col("floor")).select("leaf"), "leaves")
     near = materialize(slim.join(common, "leaf", "left_semi"), "candidates")
     texts = parsed.select("leaf", "mh", "masked").join(common, "leaf", "left_semi").groupBy("leaf", "mh").agg(F.min("masked").alias("masked"), F.count("*").alias("weight"))
     texts = materialize(texts, "texts")
-    sizes = texts.groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")).where("parts > 1")
-    distinct = texts.join(sizes, "leaf", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("mh", "parts") + 1))
-    assigned = materialize(_merged(distinct.drop("parts")), "assigned")
+    # a leaf of one line is its template
+    sizes = texts.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
+    sizes = materialize(sizes, "sizes")
+    distinct = texts.join(sizes, "leaf").withColumn("part", F.when(F.col("parts") == 1, 0).otherwise(F.pmod("mh", "parts") + 1))
+    alone = texts.join(sizes, "leaf", "left_anti").select("mh", F.col("mh").alias("template"))
+    assigned = materialize(_merged(distinct.drop("parts")).unionAll(alone), "assigned")
     lines = near.join(assigned, "mh")
-    counts = lines.groupBy("template", "th").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
-    counts = counts.groupBy("template").agg(F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= recurs)
+    counts = lines.groupBy("template", "floor", "th").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+    counts = counts.groupBy("template", "floor").agg(F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= F.col("floor"))
     counts = materialize(counts.select("template", "first"), "templates")
     repeated = lines.join(counts, "template").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     drops = repeated.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__drop")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop")

@@ -155,6 +155,22 @@ def test_recurring_lines_go_but_for_the_first(spark):
     assert [r["text"] for r in again][:9] == [by[i]["text"] for i in range(9)]
 
 
+def test_longer_lines_recur_in_fewer_texts(spark):
+    rng = np.random.default_rng(10)
+    prose = lambda n: " ".join(f"w{chr(97 + int(a))}{chr(97 + int(b))}" for a, b in rng.integers(0, 26, (n, 2)))
+    long, licence, short = [prose(60) for _ in range(4)], [prose(12) for _ in range(4)], "All rights reserved now"
+    texts = []
+    for i in range(30):
+        # passage and licence k stand in 2, 3, 5 and 10 texts
+        body = [prose(30)] + [x[k] for k, n in enumerate((2, 3, 5, 10)) if i < n for x in (long, licence)]
+        texts.append("\n".join([*body, short] if i < 19 else body))
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    held = lambda x: sum(x in t.split("\n") for t in out.values())
+    assert [held(x) for x in long] == [1, 1, 1, 1]
+    assert [held(x) for x in licence] == [2, 1, 1, 1]
+    assert held(short) == 19 and all(out[i].split("\n")[0] == t.split("\n")[0] for i, t in enumerate(texts))
+
+
 def test_copies_count_once(spark):
     d = spark.createDataFrame([(i, "the very same text in all of them", 0) for i in range(50)], "doc_id long, text string, x int")
     assert {r["n_dropped"] for r in lines.dedup_lines(d, recurs=2).collect()} == {0}
