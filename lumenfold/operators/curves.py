@@ -36,16 +36,17 @@ def _fold(options: Column, threshold: Column) -> Column:
 
 
 def match_detections(
-    truths: DataFrame, detections: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Sequence[str] = ("all",), top: int = 100,
+    truths: DataFrame, detections: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Sequence[str] = ("all",), top: int | None = 100,
 ) -> DataFrame:
     """Rows of matching: (cat, area, iou, image, rank, score, tp, fp) for each detection that counts.
 
     truths: image, cat, pos, box, crowd, ignore. detections: image, cat, pos, box, score, skip (true
     where an unmatched detection isn't held against the model). The `top` detections by score of
-    an image and category count, ties by pos. Overlaps are computed once for all thresholds.
+    an image and category count (None: all), ties by pos. Overlaps are computed once for all thresholds.
     """
     order = Window.partitionBy("image", "cat").orderBy(F.desc("score"), "pos", "box")
-    kept = detections.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    kept = detections.withColumn("rank", F.row_number().over(order))
+    kept = kept if top is None else kept.where(F.col("rank") <= top)
     d = kept.groupBy("image", "cat").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "box", "skip"))).alias("dt"))
     g = truths.groupBy("image", "cat").agg(F.array_sort(F.collect_list(F.struct("pos", "box", "crowd", "ignore"))).alias("gt"))
     rows = d.join(g, ["image", "cat"], "left")

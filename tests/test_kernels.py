@@ -77,6 +77,19 @@ def test_average_precision_reads_strictly_greater_recall(spark):
     assert ap["ap"] == pytest.approx((50 * 1.0 + 50 * 2 / 3) / 101)  # recalls 0 to 0.49 see precision 1, 0.50 to 0.99 see 2/3, 1.00 nothing
 
 
+def test_federated_ap_has_no_cap_on_detections(spark, monkeypatch):
+    from lumenfold.plans import scoring
+
+    box = lambda i: [i * 10.0, 0.0, i * 10.0 + 5, 5.0]
+    t = spark.createDataFrame([(1, "A", i, box(i), False, False) for i in range(130)], "image int, cat string, pos int, box array<double>, crowd boolean, ignore boolean")
+    d = spark.createDataFrame([(1, "A", i, box(i), 1 - i / 1000, False) for i in range(130)], "image int, cat string, pos int, box array<double>, score double, skip boolean")
+    monkeypatch.setattr(scoring, "_truths", lambda *_: t)
+    monkeypatch.setattr(scoring, "_detections", lambda *_: d)
+    assert {r["ap"] for r in scoring.lvis_federated_ap(spark, "").collect()} == {round(100 / 101, 6)}
+    capped = curves.average_precision(curves.match_detections(t, d, (0.5,)), curves.positives(t), (0.5,)).first()
+    assert capped["recall"] == pytest.approx(100 / 130)  # the COCO rule
+
+
 def brute_ap(tp, npos):
     c, rows = 0, []
     for n, hit in enumerate(tp, 1):
