@@ -2,8 +2,8 @@
 
 Trust is personalised PageRank over host edges from the hosts that allow rules name; distrust is
 the same walk over the reversed edges from the hosts that block rules name, so a host that links
-to blocked hosts is distrusted. A page without a rule is blocked if its host's distrust passes
-the threshold and exceeds its trust.
+to blocked hosts is distrusted. A page without a rule is blocked if its host's distrust, for
+seeds of mass 1 each, passes the threshold and exceeds its trust.
 """
 
 from __future__ import annotations
@@ -102,7 +102,9 @@ def judge_urls(
 
     pages: page_id, url, html. A null url, or one without ://, has empty host and path, no rule and
     verdict allow; null html has no links; repeated pages give repeated rows. Hosts that both
-    allow and block rules name seed both walks.
+    allow and block rules name seed both walks. The threshold is for the distrust that seeds of
+    mass 1 would give (distrust times the number of block seeds), so it doesn't depend on how
+    many there are.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
@@ -121,9 +123,11 @@ def judge_urls(
         F.sum(F.when(F.col("kind") == "allow", F.col("score"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "block", F.col("score"))).alias("distrust"),
     )
-    out = based.join(hosts, "host", "left")
+    # one row, also without block seeds
+    scale = seeds.agg(F.coalesce(F.max(F.when(F.col("kind") == "block", 1 / F.col("mass"))), F.lit(1.0)).alias("__scale"))
+    out = based.join(hosts, "host", "left").crossJoin(F.broadcast(scale))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    spread = F.when((distrust >= threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
+    spread = F.when((distrust * F.col("__scale") >= threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", spread).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 

@@ -217,6 +217,17 @@ def test_distrust_runs_against_the_links(spark):
             assert got[p][column] == pytest.approx(s[hosts.index(u.split("/")[2])], abs=1e-12)
 
 
+def test_copies_of_a_graph_give_the_same_verdicts(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    graph = lambda c: [(f"http://bad{c}.net/", ""), (f"http://spam{c}.info/", link(f"bad{c}.net")), (f"http://far{c}.info/", link(f"spam{c}.info")), (f"http://own{c}.info/", "")]
+    verdicts = {}
+    for copies in (1, 60):
+        rows = [(i, *p) for i, p in enumerate(p for c in range(copies) for p in graph(c))]
+        out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), threshold=0.05).collect()
+        verdicts[copies] = [r["verdict"] for r in sorted(out, key=lambda r: r["page_id"])]
+    assert verdicts[60] == verdicts[1] * 60 and verdicts[1] == ["block", "block", "block", "allow"]
+
+
 # ---- embeddings
 
 
