@@ -273,7 +273,7 @@ def normal_angular_error(spark, sf_dir: str) -> DataFrame:
 
 
 def _poses(spark, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    l = table(spark, sf_dir, "lineitem")
     q = F.array(F.lit(8.0), F.col("l_partkey") % 7, F.col("l_suppkey") % 5, F.col("l_linenumber")).cast("array<double>")
     p = F.array(F.lit(8.0), F.col("l_partkey") % 7 + F.lit(0.5), F.col("l_suppkey") % 5, F.col("l_linenumber")).cast("array<double>")
     t = F.array(F.col("l_partkey") % 13, F.col("l_suppkey") % 11, F.col("l_linenumber")).cast("array<double>")
@@ -318,8 +318,8 @@ with p as (
 select a.seq, a.frame, (a.x - b.x)::double as dx, (a.y - b.y)::double as dy, (a.z - b.z)::double as dz from p a join p b on b.seq = a.seq and b.frame = 1
 """)
 def relative_to_first(spark, sf_dir: str) -> DataFrame:
-    """Shift of each frame against the first of its sequence."""
-    p = _poses(spark, sf_dir)
+    """Shift of each frame against the first of its sequence, for the orders that its SQL takes."""
+    p = _poses(spark, sf_dir).where("seq % 4 = 0")
     w = Window.partitionBy("seq").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = p.withColumn("d", geo.sub(F.col("t"), F.first("t").over(w)))
     return p.select("seq", "frame", *[F.col("d")[i].alias(n) for i, n in enumerate(("dx", "dy", "dz"))])
@@ -333,6 +333,12 @@ def _cloud(spark, sf_dir: str, half: int) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("label") % 2 == half).select(F.floor(F.col("label") / 2).cast("int").alias("seq"), v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
 
 
+def _whole(spark, sf_dir: str) -> DataFrame:
+    """All embeddings, a cloud for each label."""
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq"), v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
+
+
 _CLOUD = """
 pts as (select (label // 2)::int as seq, label % 2 as half, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
 nn as (
@@ -363,7 +369,7 @@ def voxel_iou(spark, sf_dir: str) -> DataFrame:
 
 def _paired(spark, sf_dir: str) -> DataFrame:
     """A cloud and the same one turned by 90 degrees about z, scaled by two and shifted."""
-    c = _cloud(spark, sf_dir, 0)
+    c = _whole(spark, sf_dir)
     return c.select("*", (-2 * F.col("y") + 1).alias("nx"), (2 * F.col("x") - 1).alias("ny"), (2 * F.col("z") + 0.5).alias("nz"))
 
 
@@ -377,7 +383,7 @@ def umeyama_align(spark, sf_dir: str) -> DataFrame:
 @query()
 def icp_refinement(spark, sf_dir: str) -> DataFrame:
     """A cloud shifted by a little finds back; mean distance left."""
-    gt = _cloud(spark, sf_dir, 1)
+    gt = _whole(spark, sf_dir)
     near = gt.select("seq", (F.col("x") + 0.01).alias("x"), (F.col("y") - 0.005).alias("y"), F.col("z").alias("z"))
     back = clouds.icp(near, gt, 0.2, rounds=2)
     return clouds.nearest(back, gt, 0.2).groupBy("seq").agg(F.round(F.avg("distance"), 6).alias("left"), F.count("*").alias("points"))

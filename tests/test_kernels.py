@@ -130,6 +130,20 @@ def test_pose_auc(spark):
     assert pose_scores(e).first()["auc_5"] == pytest.approx(35.0)
 
 
+def test_poses_and_clouds_take_every_row(spark, tmp_path):
+    from lumenfold.plans import scoring
+
+    lines = [(o, n, o * 3 + n, o + 2 * n) for o in range(1, 10) for n in range(1, o % 4 + 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    points = [(i, [float(i % 7), float(i * i % 5), float(i % 3)], i % 4) for i in range(80)]
+    spark.createDataFrame(points, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    frames = [o % 4 + 2 for o in range(1, 10)]
+    assert scoring.pose_pairs_auc(spark, str(tmp_path)).first()["pairs"] == sum(n * (n - 1) // 2 for n in frames)
+    found = {r["seq"]: r["scale"] for r in scoring.umeyama_align(spark, str(tmp_path)).collect()}
+    assert found == pytest.approx({k: 2.0 for k in range(4)})
+    assert {r["seq"]: r["points"] for r in scoring.icp_refinement(spark, str(tmp_path)).collect()} == {k: 20 for k in range(4)}
+
+
 def test_runs(spark):
     a, b = F.array(*[F.lit(x) for x in (2, 3, 1, 4)]), F.array(*[F.lit(x) for x in (3, 4, 10)])
     assert one(spark, text.run_area(a)) == 7
