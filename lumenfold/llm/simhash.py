@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, relax, ship, small_batches, table
 from .components import connected_components
-from .jaccard import near_groups
+from .jaccard import keyed, near_groups
 
 BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
 #: (shift, width) of the blocks.
@@ -72,7 +72,8 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (indices) that join what links of at most `distance` join among fingerprints.
+    """Edges (indices) of a spanning forest: they join what links of at most `distance` join among
+    distinct fingerprints, and there are fewer of them than fingerprints.
 
     One component is grown around the bitwise majority first: all within half the distance of any
     point are linked pairwise. After that only rows outside the largest component are compared,
@@ -96,19 +97,18 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 new = np.flatnonzero((label != ball[0]) & (np.bitwise_count(fp ^ fp[m]) <= distance))
                 label[new] = ball[0]
                 left.append(np.full(len(new), m)), right.append(new)
-    most = np.bincount(label).argmax()
-    rest = np.flatnonzero(label != most)
+    rest = np.flatnonzero(label != np.bincount(label).argmax())
     for i in range(0, len(rest), 256):
         rows = rest[i : i + 256]
         for j in range(0, n, 16_384):
             near = _near(fp[rows], fp[j : j + 16_384], distance)
-            r, c = np.nonzero(near)
-            r, c = rows[r], c + j
-            keep = label[r] != label[c]
-            r, c = r[keep], c[keep]
-            # one edge for each row and label met
-            _, at = np.unique(r * np.int64(n) + label[c], return_index=True)
-            left.append(r[at]), right.append(c[at])
+            for k in np.flatnonzero((near & (label[rows][:, None] != label[None, j : j + 16_384])).any(1)):
+                # an edge to each component that this row joins to its own
+                c = np.flatnonzero(near[k]) + j
+                met, at = np.unique(label[c], return_index=True)
+                other = met != label[rows[k]]
+                left.append(np.full(int(other.sum()), rows[k])), right.append(c[at[other]])
+                label[np.isin(label, met[other])] = label[rows[k]]
     return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
 
 
@@ -215,13 +215,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: the smallest doc_id (nulls last),
     then the smallest hash of the text, then the smallest row. Columns must be orderable. Near are
     texts whose five-word shingles have a Jaccard similarity of 0.8 or more; four words and four
-    bits are op8's alone."""
-    groups = near_groups(docs.select("doc_id", "text"))
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__th")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64("text").alias("__key"))
-    held = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
-    return held.groupBy("doc_id", "__key").agg(F.min("doc").alias("doc")).select("doc.*")
+    bits are op8's alone. Texts without words, null ones too, are one group."""
+    rows = near_groups(docs.select("doc_id", "text")).groupBy("root", "doc_id", "th").agg(F.count("*").alias("c"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "c")).alias("f"))
+    first = materialize(first.select(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__th"), F.col("f.c").alias("__c")), "first")
+    keys = keyed(docs.select(F.struct("*").alias("__doc"), "doc_id", "text")).drop("text")
+    held = keys.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    # only repeated rows have to meet
+    again = held.where("__c > 1").groupBy("doc_id", "th").agg(F.min("__doc").alias("__doc"))
+    return held.where("__c = 1").select("__doc.*").unionAll(again.select("__doc.*"))
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:

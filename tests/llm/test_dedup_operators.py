@@ -74,6 +74,7 @@ def test_forest_joins_what_links_join():
     want = [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4]
     assert union(zip(l.tolist(), r.tolist(), strict=True), range(len(fp))) == union(want, range(len(fp)))
     assert all(int(fp[a] ^ fp[b]).bit_count() <= 4 for a, b in zip(l, r, strict=True))
+    assert len(l) < len(fp)  # a forest, however many groups a run holds
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -118,12 +119,23 @@ def test_planted_copies_are_grouped_as_by_brute_force(spark):
     got = {r["doc_id"] for r in simhash.one_of_each(d).collect()}
     assert got == set(want.values())  # recall 1, and no clean text lost
     # the same when lists are cut into tiles
-    sets_ = jaccard.shingle_sets(d).dropDuplicates(["set"]).cache()
-    parts = {r["set"]: r["component"] for r in jaccard.near_sets(sets_, run=7).collect()}
-    names = {r["doc_id"]: r["set"] for r in sets_.select("doc_id", "set").collect()}
+    rows = jaccard.keyed(d).cache()
+    parts = {r["th"]: r["component"] for r in jaccard.near_texts(rows, run=7).collect()}
+    names = {r["doc_id"]: r["th"] for r in rows.select("doc_id", "th").collect()}
     assert len({parts.get(s, s) for s in names.values()}) == len(got)
 
 
+def test_bands_of_near_sets_meet():
+    rng = np.random.default_rng(12)
+    for n in (1, 4, 9, 40, 3000):
+        x = np.unique(rng.integers(0, 1 << 62, n))
+        y = x.copy()
+        y[: n // 10] += 1  # a tenth differs: similarity 0.8 or more
+        assert (jaccard.bands(x) == jaccard.bands(np.unique(y))).any()
+    a, b = rng.integers(0, 1 << 62, 500), rng.integers(0, 1 << 62, 500)
+    assert not (jaccard.bands(a) == jaccard.bands(b)).any()
+
+
 def test_a_distance_beyond_the_blocks_is_refused(spark):
     with pytest.raises(ValueError, match="blocks cover 4 bits"):
         simhash.near_edges(spark.createDataFrame([(1,)], "fingerprint long"), 5)
