@@ -118,13 +118,27 @@ def test_planted_copies_are_grouped_as_by_brute_force(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in simhash.one_of_each(d).collect()}
     assert got == set(want.values())  # recall 1, and no clean text lost
-    # the same when lists are cut into tiles
+    # the same when families are cut into tiles
     rows = jaccard.keyed(d).cache()
-    parts = {r["th"]: r["component"] for r in jaccard.near_texts(rows, run=7).collect()}
+    parts = {r["th"]: r["component"] for r in jaccard.near_texts(rows, elements=2000).collect()}
     names = {r["doc_id"]: r["th"] for r in rows.select("doc_id", "th").collect()}
     assert len({parts.get(s, s) for s in names.values()}) == len(got)
 
 
+def test_what_near_sets_join_matches_brute_force():
+    rng = np.random.default_rng(13)
+    base = [rng.choice(4000, 60, replace=False) for _ in range(3)]
+    sets = []
+    for i in range(120):
+        s = base[i % 3].copy()
+        s[: int(rng.integers(0, 16))] = rng.choice(100_000, 16, replace=False)[: int(rng.integers(0, 16))].sum() + 5000
+        sets.append(np.unique(s))
+    near = [(i, j) for i in range(120) for j in range(i) if jaccard.similar(sets[i], sets[j])]
+    l, r = jaccard.joined(sets, np.arange(120), np.arange(120))
+    assert union(zip(l, r, strict=True), range(120)) == union(near, range(120)) and len(l) < 120
+    assert all(jaccard.similar(sets[a], sets[b]) for a, b in zip(l, r, strict=True))
+
+
 def test_bands_of_near_sets_meet():
     rng = np.random.default_rng(12)
     for n in (1, 4, 9, 40, 3000):
