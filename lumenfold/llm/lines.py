@@ -1,12 +1,13 @@
 """Line dedup by a log-template tree.
 
 A line's leaf in a tree of fixed depth is its token count and its leading tokens, tokens with a
-digit being variable fields. Lines of a leaf that agree on most positions share a template, in
-which the positions that differ become variable too. Lines of templates that recur across many
-documents are dropped, but for the template's first line (smallest doc_id, then text hash, then
-position), so that no wording is lost altogether.
+digit being variable fields. In a leaf, a token at a place is a fixed word of the template if
+enough different texts, and a share of all of the leaf's, have it there; any other token is a
+variable field. A line whose places are mostly fixed belongs to that template, any other line is
+its own. Lines of templates that recur across documents are dropped, but for the template's first
+line (smallest doc_id, then text hash, then position), so that no wording is lost altogether.
 
-Only leaves that recur across enough documents are parsed further, and only their distinct lines.
+All of this is counting: a leaf is never gathered in one task, and one rule holds for every size.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table
+from .common import discard, materialize, ship, small_batches, table
 
-#: Leading tokens of a leaf; share of equal positions that joins a template; different texts in
-#: which a template recurs; distinct lines of a leaf that one task parses at once.
-DEPTH, SIMILARITY, RECURS, SHARD = 3, 0.75, 20, 4000
+#: Leading tokens of a leaf; share of fixed places that makes a template; share of a leaf's texts
+#: that a fixed word has; different texts in which a template recurs.
+DEPTH, SIMILARITY, SHARE, RECURS = 3, 0.75, 0.1, 20
 #: (tokens, texts): lines of so many tokens or more don't recur by chance, so fewer texts than
 #: RECURS are enough.
 FLOORS = ((50, 2), (8, 3))
 FIELD = "<*>"
+#: Parts of a place's tokens that meet the fixed words apart, so that no word is a hot key.
+SALTS = 16
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,56 +51,32 @@ def _floor(recurs: int):
     return out
 
 
-def templates(rows: list[tuple[str, int]], similarity: float = SIMILARITY) -> list[int]:
-    """Number of the template of each line; rows: (line, weight), all of one leaf and so of one
-    token count. Lines go in by falling weight, ties by text; each joins the template with most
-    equal positions (ties: the oldest) if these are `similarity` of all, else founds one."""
-    split = [r.split() for r, _ in rows]
-    codes: dict[str, int] = {FIELD: 0}
-    x = np.array([[codes.setdefault(t, len(codes)) for t in s] for s in split], np.int32)
-    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], rows[i][0]))
-    held, n, out = np.empty_like(x), 0, [0] * len(rows)
-    for i in order:
-        if n:
-            same = (held[:n] == x[i]).sum(1)
-            best = int(np.argmax(same))
-            if same[best] >= similarity * x.shape[1]:
-                held[best][held[best] != x[i]] = -1  # variable from now on
-                out[i] = best
-                continue
-        held[n] = x[i]
-        out[i] = n
-        n += 1
-    return out
-
-
-def _merged(distinct: DataFrame) -> DataFrame:
-    """(mh, template) from (leaf, part, mh, masked, weight): parts of a leaf first, then the
-    parts' templates (each by its heaviest line) together."""
-    ship(distinct.sparkSession)
-
-    def parse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = np.array(templates(list(zip(pdf["masked"], pdf["weight"], strict=True))))
-        order = np.lexsort([pdf["masked"], -pdf["weight"].to_numpy()])
-        mh = pdf["mh"].to_numpy()
-        head = {}
-        for i in order:
-            head.setdefault(found[i], mh[i])
-        return pd.DataFrame({"leaf": key[0], "mh": mh, "head": [head[t] for t in found]})
+def templates(lines: DataFrame, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
+    """(leaf, mh, template) of the lines that belong to a template which is not their own text.
 
-    first = materialize(distinct.groupBy("leaf", "part").applyInPandas(parse, "leaf long, mh long, head long"), "parsed")
-    split = distinct.where("part > 0").select("leaf").distinct()
-    heads = first.join(split, "leaf", "left_semi").select(F.col("head").alias("mh")).distinct().join(distinct, "mh")
-    weights = first.groupBy("head").agg(F.count("*").alias("w"))
-    heads = heads.join(weights, heads["mh"] == weights["head"]).select("leaf", "mh", "masked", F.col("w").alias("weight"))
-    second = heads.groupBy("leaf").applyInPandas(parse, "leaf long, mh long, head long").select(F.col("mh").alias("head"), F.col("head").alias("root"))
-    return first.join(second, "head", "left").select("mh", F.coalesce("root", "head").alias("template"))
-
-
-def dedup_lines(docs: DataFrame, recurs: int = RECURS, shard: int = SHARD) -> DataFrame:
+    lines: leaf, floor, mh, masked, w: the distinct lines and in how many different texts each
+    stands. template is a hash of the text with its variable fields.
+    """
+    many = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("w").alias("total")).where("n > 1").drop("n")
+    tokens = lines.join(many.select("leaf"), "leaf", "left_semi").select("leaf", "floor", "mh", "w", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    tokens = materialize(tokens, "places")
+    inner = F.col("at") >= DEPTH  # the leaf's own words are fixed
+    support = tokens.where(inner).groupBy("leaf", "floor", "at", "token").agg(F.sum("w").alias("s")).join(many, "leaf")
+    fixed = support.where((F.col("s") >= F.col("floor")) & (F.col("s") >= share * F.col("total"))).select("leaf", "at", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = tokens.where(inner).withColumn("salt", F.pmod("mh", F.lit(SALTS)).cast("int"))
+    known = salted.join(fixed.withColumn("fixed", F.lit(1)), ["leaf", "at", "token", "salt"], "left").select("leaf", "mh", "at", "token", "fixed")
+    known = known.unionAll(tokens.where(~inner).select("leaf", "mh", "at", "token", F.lit(1)))
+    word = F.when(F.col("fixed").isNotNull(), F.col("token")).otherwise(F.lit(FIELD))
+    lines = known.groupBy("leaf", "mh").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("t")))).alias("ts"), F.count("fixed").alias("k"), F.count("*").alias("n"))
+    lines = lines.where((F.col("k") < F.col("n")) & (F.col("k") >= similarity * F.col("n")))
+    return lines.select("leaf", "mh", F.xxhash64(F.transform("ts", lambda x: x["t"])).alias("template"))
+
+
+def dedup_lines(docs: DataFrame, recurs: int = RECURS) -> DataFrame:
     """Drop recurring lines; text is replaced, and n_lines and n_dropped are added.
 
-    A line recurs in `recurs` different texts, or in fewer by FLOORS where it is longer.
+    A line recurs if its template does in `recurs` different texts, or in fewer by FLOORS where it
+    is longer. Equal lines have one template, so a line that recurs itself always goes.
 
     docs: doc_id, text and any other columns, kept as they are; columns named n_lines or
     n_dropped are replaced. A null text stays null (0 lines). Texts count once however many rows
@@ -106,25 +85,23 @@ def dedup_lines(docs: DataFrame, recurs: int = RECURS, shard: int = SHARD) -> Da
     """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    parsed = _parsed(docs).withColumn("mh", F.xxhash64("masked", "leaf"))
-    slim = materialize(parsed.select("doc_id", "th", "pos", "leaf", "mh", _floor(recurs).cast("byte" if recurs < 128 else "int").alias("floor")), "lines")
+    parsed = _parsed(docs).withColumn("mh", F.xxhash64("masked")).withColumn("floor", _floor(recurs).cast("int"))
+    slim = materialize(parsed.select("doc_id", "th", "pos", "leaf", "mh", "floor", "masked"), "lines")
     common = slim.groupBy("leaf", "floor", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "floor").agg(F.count("*").alias("n"))
     common = materialize(common.where(F.col("n") >= F.col("floor")).select("leaf"), "leaves")
     near = materialize(slim.join(common, "leaf", "left_semi"), "candidates")
-    texts = parsed.select("leaf", "mh", "masked").join(common, "leaf", "left_semi").groupBy("leaf", "mh").agg(F.min("masked").alias("masked"), F.count("*").alias("weight"))
-    texts = materialize(texts, "texts")
-    # a leaf of one line is its template
-    sizes = texts.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
-    sizes = materialize(sizes, "sizes")
-    distinct = texts.join(sizes, "leaf").withColumn("part", F.when(F.col("parts") == 1, 0).otherwise(F.pmod("mh", "parts") + 1))
-    alone = texts.join(sizes, "leaf", "left_anti").select("mh", F.col("mh").alias("template"))
-    assigned = materialize(_merged(distinct.drop("parts")).unionAll(alone), "assigned")
-    lines = near.join(assigned, "mh")
-    counts = lines.groupBy("template", "floor", "th").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
-    counts = counts.groupBy("template", "floor").agg(F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= F.col("floor"))
-    counts = materialize(counts.select("template", "first"), "templates")
-    repeated = lines.join(counts, "template").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
-    drops = repeated.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__drop")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop")
+    lines = near.groupBy("leaf", "floor", "mh", "th").agg(F.min("masked").alias("masked")).groupBy("leaf", "floor", "mh").agg(F.count("*").alias("w"), F.min("masked").alias("masked"))
+    lines = materialize(lines, "distinct")
+    general = materialize(templates(lines), "general")
+    named = near.drop("masked").join(general, ["leaf", "mh"], "left").withColumn("template", F.coalesce("template", "mh"))
+    counts = named.groupBy("leaf", "template", "floor", "th").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+    counts = counts.groupBy("leaf", "template", "floor").agg(F.count("*").alias("n"), F.min("at").alias("first")).where(F.col("n") >= F.col("floor"))
+    counts = materialize(counts.select("leaf", "template", "first"), "templates")
+    repeated = named.join(counts, ["leaf", "template"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
+    drops = repeated.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__drop"))
+    drops = materialize(drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop"), "drops")
+    for used in (slim, common, near, lines, general, counts):
+        discard(used)
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     out = keyed.join(drops, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
 
