@@ -26,8 +26,8 @@ DEPTH, SIMILARITY, SHARE, RECURS = 3, 0.75, 0.1, 20
 #: RECURS are enough.
 FLOORS = ((50, 2), (8, 3))
 FIELD = "<*>"
-#: Parts of a place's tokens that meet the fixed words apart, so that no word is a hot key.
-SALTS = 16
+#: Distinct lines of a leaf that meet one copy of its fixed words, so that no word is a hot key.
+PART = 2000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -57,19 +57,22 @@ def templates(lines: DataFrame, similarity: float = SIMILARITY, share: float = S
     lines: leaf, floor, mh, masked, w: the distinct lines and in how many different texts each
     stands. template is a hash of the text with its variable fields.
     """
-    many = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("w").alias("total")).where("n > 1").drop("n")
-    tokens = lines.join(many.select("leaf"), "leaf", "left_semi").select("leaf", "floor", "mh", "w", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    tokens = materialize(tokens, "places")
+    many = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("w").alias("total")).where("n > 1")
+    many = many.select("leaf", "total", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    words = lines.join(many, "leaf").select("leaf", "floor", "total", "parts", "mh", "w", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    words = materialize(words.withColumn("token", F.xxhash64("at", "token")), "places")
     inner = F.col("at") >= DEPTH  # the leaf's own words are fixed
-    support = tokens.where(inner).groupBy("leaf", "floor", "at", "token").agg(F.sum("w").alias("s")).join(many, "leaf")
-    fixed = support.where((F.col("s") >= F.col("floor")) & (F.col("s") >= share * F.col("total"))).select("leaf", "at", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = tokens.where(inner).withColumn("salt", F.pmod("mh", F.lit(SALTS)).cast("int"))
-    known = salted.join(fixed.withColumn("fixed", F.lit(1)), ["leaf", "at", "token", "salt"], "left").select("leaf", "mh", "at", "token", "fixed")
-    known = known.unionAll(tokens.where(~inner).select("leaf", "mh", "at", "token", F.lit(1)))
-    word = F.when(F.col("fixed").isNotNull(), F.col("token")).otherwise(F.lit(FIELD))
-    lines = known.groupBy("leaf", "mh").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("t")))).alias("ts"), F.count("fixed").alias("k"), F.count("*").alias("n"))
-    lines = lines.where((F.col("k") < F.col("n")) & (F.col("k") >= similarity * F.col("n")))
-    return lines.select("leaf", "mh", F.xxhash64(F.transform("ts", lambda x: x["t"])).alias("template"))
+    support = words.where(inner).groupBy("leaf", "token").agg(F.sum("w").alias("s"), *[F.max(c).alias(c) for c in ("floor", "total", "parts")])
+    fixed = support.where((F.col("s") >= F.col("floor")) & (F.col("s") >= share * F.col("total")))
+    fixed = fixed.select("leaf", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("fixed"))
+    parted = words.where(inner).withColumn("part", F.pmod("mh", "parts").cast("int"))
+    known = parted.join(fixed, ["leaf", "token", "part"], "left").select("leaf", "mh", "at", "token", "fixed")
+    known = known.unionAll(words.where(~inner).select("leaf", "mh", "at", "token", F.lit(1)))
+    # places are part of the hashes, so that these need no order
+    shown = F.when(F.col("fixed").isNotNull(), F.col("token")).otherwise(F.xxhash64("at", F.lit(FIELD)))
+    mixed = F.xxhash64(F.bit_xor(shown), F.bit_xor(F.xxhash64(shown)))
+    found = known.groupBy("leaf", "mh").agg(mixed.alias("template"), F.count("fixed").alias("k"), F.count("*").alias("n"))
+    return found.where((F.col("k") < F.col("n")) & (F.col("k") >= similarity * F.col("n"))).select("leaf", "mh", "template")
 
 
 def dedup_lines(docs: DataFrame, recurs: int = RECURS) -> DataFrame:
