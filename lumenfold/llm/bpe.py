@@ -2,7 +2,8 @@
 
 A partition's distinct words become rows (word, position, token). A recursive query joins each
 token and its right neighbour with the merge table and contracts each word's leftmost pair of
-least rank, until no word has a pair left. Words that are tokens themselves need no step.
+least rank, until no word has a pair left. Words that are tokens themselves need no step, and very
+long ones are contracted in windows whose seams are then settled.
 Decoding joins tokens with their bytes and puts them in order by an ordered aggregate. Texts keep
 their words as codes, so a word that occurs a million times is encoded and decoded once.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from .common import Generations, regrouped, relax, ship, small_batches, table
 
-#: Distinct words contracted by one query, words a worker keeps, bytes of text handled at once.
-QUERY_WORDS, KEEP, SLICE_CHARS = 200_000, 400_000, 8_000_000
+#: Words a worker keeps, bytes of text handled at once. Bytes of a word that the recursion contracts
+#: whole, tokens beside a seam of longer ones, squares of word lengths that a query works on.
+KEEP, SLICE_CHARS = 400_000, 8_000_000
+WIDEST, SEAM, SQUARES = 256, 4, 30_000_000
 
 _CODERS: dict[tuple[str, str], Coder] = {}
 
@@ -31,28 +36,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: New tokens of each step; a pair's place in its word is told by pos, and nxt is the place of the
-#: right neighbour. arg_min over (rank, pos) finds the leftmost pair of least rank.
+#: New tokens of each step; a token's place tells its word, and nxt is the place of its right
+#: neighbour. The least (id, place) of a word's pairs is its leftmost pair of least rank.
 _CONTRACT = """
 with recursive t as (
   select 0 as step, w, pos, nxt, id from start
   union all
   (with pair as (
-     select a.w, a.pos, b.pos as gone, b.nxt as after, m.id as id
+     select a.w, b.pos as gone, b.nxt as after, m.id::bigint * 4294967296 + a.pos as k
      from t a join t b on a.nxt = b.pos join merges m on m.l = a.id and m.r = b.id),
-   best as (
-     select w, arg_min({'pos': pos, 'gone': gone, 'after': after, 'id': id}, id::bigint * 4294967296 + pos) as m
-     from pair group by w)
-   select t.step + 1, t.w, t.pos, case when t.pos = m.pos then m.after else t.nxt end,
-     case when t.pos = m.pos then m.id else t.id end
-   from t join best on t.w = best.w where t.pos <> m.gone))
-select w, list(id order by pos) as ids from (
-  select w, pos, id, step, max(step) over (partition by w) as last from t) where step = last group by w
+   best as (select w, min(k) as k, arg_min(gone, k) as gone, arg_min(after, k) as after from pair group by w)
+   select t.step + 1, t.w, t.pos, case when t.pos = m.k & 4294967295 then m.after else t.nxt end,
+     case when t.pos = m.k & 4294967295 then (m.k >> 32)::int else t.id end
+   from t join best m on t.w = m.w where t.pos <> m.gone))
+select w, list(id order by pos) as ids from t join (select w, max(step) as step from t group by w) using (w, step) group by w
 """
 
 _DECODE = """
-select w, string_agg(v.hex, '' order by x.at) as hex
-from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as at from found) x join vocabulary v on v.id = x.id
+select w, string_agg(id::varchar, ' ' order by x.at) as shown, string_agg(v.hex, '' order by x.at) as hex
+from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as at from found) x join vocabulary v using (id)
 group by w
 """
 
@@ -66,7 +68,9 @@ class Coder:
 
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        spill = os.path.join(tempfile.gettempdir(), "duckdb")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill, "max_temp_directory_size": "4GB"})
+        self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [
             (self.ranks[t[:i]], self.ranks[t[i:]], r)
@@ -84,43 +88,107 @@ class Coder:
         self.db.execute(f"create or replace temp table {name} as select * from incoming")
         self.db.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (not empty), by the recursive query."""
+    def _contract(self, words: list[bytes], first: int = 0) -> None:
+        """Add (w, ids) of each word (not empty), numbered from `first`, to found, by the recursive query."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = np.arange(int(sizes.sum()), dtype=np.int64)
         last = np.zeros(len(pos), bool)
         last[np.cumsum(sizes) - 1] = True
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        self._load("start", {"w": pa.array(w), "pos": pa.array(pos), "nxt": pa.array(np.where(last, -1, pos + 1)), "id": pa.array(ids)})
-        self.db.execute(f"create or replace temp table found as {_CONTRACT}")
+        self._load("start", {"w": pa.array(w + np.int32(first)), "pos": pa.array(pos), "nxt": pa.array(np.where(last, -1, pos + 1)), "id": pa.array(ids)})
+        self.db.execute(f"insert into found {_CONTRACT}")
+
+    def _found(self, words: list[bytes]) -> None:
+        """Make found, (w, ids) of each word, in queries of bounded size."""
+        self.db.execute("create or replace temp table found (w int, ids int[])")
+        # squares of the lengths bound the rows of the recursion
+        work = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) ** 2) // SQUARES
+        cuts = [0, *(np.flatnonzero(np.diff(work)) + 1).tolist(), len(words)] if words else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            self._contract(words[a:b], a)
+
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word (not empty)."""
+        self._found(words)
         out: list[list[int]] = [[]] * len(words)
         for i, got in self.db.execute("select w, ids from found").fetchall():
             out[i] = got
         return out
 
+    def contract_long(self, word: bytes) -> list[int]:
+        """Token ids of a word of any length, at a cost that grows with the length.
+
+        Tokens are the encoding of their bytes if each two neighbours are that of theirs. So windows
+        are coded apart and only the tokens around each seam anew; where the new ones don't fit
+        their neighbours, more tokens are taken in on that side.
+        """
+        known: dict[bytes, list[int]] = {}
+
+        def codes(texts: list[bytes]) -> list[list[int]]:
+            new = [x for x in dict.fromkeys(texts) if x not in known]
+            if new:
+                known.update(zip(new, self.contract(new), strict=True))
+            return [known[x] for x in texts]
+
+        join = lambda ids: b"".join(map(self.bytes_of.__getitem__, ids))
+        windows = codes([word[i : i + WIDEST] for i in range(0, len(word), WIDEST)])
+        # most seams settle at once: what they need is coded together
+        seams = list(zip(windows, windows[1:], strict=False))
+        around = codes([join(a[-SEAM:] + b[:SEAM]) for a, b in seams])
+        codes([join([a[-SEAM - 1], m[0]]) for (a, _), m in zip(seams, around, strict=True) if len(a) > SEAM])
+        codes([join([m[-1], b[SEAM]]) for (_, b), m in zip(seams, around, strict=True) if len(b) > SEAM])
+        fit = lambda a, b: codes([join([a, b])])[0] == [a, b]
+        out = list(windows[0])
+        for b in windows[1:]:
+            l = r = SEAM
+            while True:
+                m = codes([join(out[-l:] + b[:r])])[0]
+                left, right = len(out) <= l or fit(out[-l - 1], m[0]), len(b) <= r or fit(m[-1], b[r])
+                if left and right:
+                    out[-l:] = m + b[r:]
+                    break
+                l, r = l if left else 2 * l, r if right else 2 * r
+        return out
+
+    def _shown(self) -> pa.Table:
+        """(w, shown, hex) of found: decimal ids and decoded bytes, by an ordered aggregate."""
+        return self.db.sql(_DECODE).to_arrow_table()
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids, by an ordered aggregate."""
-        flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        self._load("found", {"w": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)})
-        out = [b""] * len(ids)
-        for i, text in self.db.execute(_DECODE).fetchall():
+        """Bytes of each list of ids."""
+        self._load("found", self._lists(range(len(ids)), ids))
+        out, got = [b""] * len(ids), self._shown()
+        for i, text in zip(got["w"].to_pylist(), got["hex"].to_pylist(), strict=True):
             out[i] = bytes.fromhex(text)
         return out
 
+    def _lists(self, w, ids: list[list[int]]) -> dict[str, pa.Array]:  # noqa: ANN001
+        flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return {"w": pa.array(np.fromiter(w, np.int32, len(ids))), "ids": pa.ListArray.from_arrays(pa.array(offsets), flat)}
+
     def learn(self, words: list[str]) -> None:
         """Code the words that aren't known yet."""
-        new = [x for x in words if self.known.get(x) is None]
-        for i in range(0, len(new), QUERY_WORDS):
-            part = new[i : i + QUERY_WORDS]
-            raw = [x.encode("utf-8", "surrogatepass") for x in part]
-            ids: list[list[int]] = [[self.ranks[b]] if b in self.ranks else [] for b in raw]
-            open_ = [k for k, x in enumerate(ids) if not x]
-            for k, got in zip(open_, self.contract([raw[k] for k in open_]) if open_ else (), strict=True):
-                ids[k] = got
-            for x, got, back in zip(part, ids, self.decode(ids), strict=True):
-                self.known.put(x, (" ".join(map(str, got)), back))
+        known = self.known.get
+        new = [x for x in words if known(x) is None]
+        if not new:
+            return
+        raw = [x.encode("utf-8", "surrogatepass") for x in new]
+        ranks = [self.ranks.get(b) for b in raw]
+        short = [i for i, r in enumerate(ranks) if r is None and len(raw[i]) <= WIDEST]
+        rest = [i for i, r in enumerate(ranks) if r is not None or len(raw[i]) > WIDEST]
+        ids = [[ranks[i]] if ranks[i] is not None else self.contract_long(raw[i]) for i in rest]
+        self._found([raw[i] for i in short])
+        at = np.array(short + rest, np.int64)
+        if rest:
+            self.db.register("incoming", pa.table(self._lists(range(len(short), len(at)), ids)))
+            self.db.execute("insert into found select * from incoming")
+            self.db.unregister("incoming")
+        got = self._shown()
+        put, fromhex = self.known.put, bytes.fromhex
+        for i, shown, hexed in zip(at[got["w"].to_numpy()].tolist(), got["shown"].to_pylist(), got["hex"].to_pylist(), strict=True):
+            put(new[i], (shown, fromhex(hexed)))
 
     def code(self, pieces: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
         """Decimal ids, their number and the decoded bytes of each piece of text."""

@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import crc_mod, hash_unit, relax, ship, small_batches, table
 
-#: Profile length, documents sampled for each language at most (in expectation), languages learned
-#: at most (the most frequent), and the distance by which confidence falls by a factor of e.
-PROFILE, SAMPLE, LANGUAGES, TEMPERATURE = 400, 600, 1024, 0.02
+#: Profile length, documents sampled for each language at most (in expectation), and the distance by
+#: which confidence falls by a factor of e.
+PROFILE, SAMPLE, TEMPERATURE = 400, 600, 0.02
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -91,16 +91,15 @@ class Profiles:
 
 def learn(docs: DataFrame, held_out: Column, length: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     """Profiles from the whole texts of a bounded sample: about `sample` labelled documents of each
-    language, by a hash of doc_id. Rows with null text or lang, or where held_out isn't false,
-    teach nothing. What reaches the driver is one list of `length` n-grams for each language."""
+    language, by a hash of doc_id; every language that a row names is learned. Rows with null text
+    or lang, or where held_out isn't false, teach nothing; a repeated row teaches as often as it
+    occurs. What reaches the driver is one list of `length` n-grams for each language."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Profiles({}, length)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
-    chosen = rows.where(hash_unit("doc_id") < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    sizes = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang")  # a number for each language
+    chosen = chosen.where(hash_unit("doc_id") < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -124,12 +123,12 @@ def learn(docs: DataFrame, held_out: Column, length: int = PROFILE, sample: int
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """Add lang_pred and score (0 to 1); columns of these names are replaced.
 
-    Null text, and text without a letter: und and 0. Equal distances: the language first in order
+    Repeated rows are judged alike. Null text, and text without a letter: und and 0. Equal distances: the language first in order
     of name. Only text is read for the prediction; without profiles every language is und.
     """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(profiles)  # LANGUAGES * PROFILE ranks at most
+    held = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE ranks for each language
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,36 @@ def test_language_distance_by_hand():
     assert p.languages == ["a", "b"]
 
 
+def test_language_distances_match_brute_force():
+    from collections import Counter
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"_{w}_"
+            out.update(w)
+            out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return out
+
+    code = lambda g: sum((1 if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    ranked = lambda t, k: [g for g, _ in sorted(grams(t).items(), key=lambda x: (-x[1], code(x[0])))[:k]]
+    texts = {"en": "the cat and the dog that was there with them", "de": "der hund und die katze sind nicht hier"}
+    p = langid.Profiles({k: [code(g) for g in ranked(t, 30)] for k, t in texts.items()}, 30)
+    for t in ("the dog is not here", "der hund ist da", "x1y zz", "Äpfel und Öl"):
+        own = ranked(t, 30)
+        want = [sum(abs(prof.index(g) - i) if g in prof else 30 for i, g in enumerate(own)) / (len(own) * 30) for prof in (ranked(texts["de"], 30), ranked(texts["en"], 30))]
+        assert p.distances(t) == pytest.approx(want)
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(chr(0x4E00 + k * 7 + int(x)) for x in rng.integers(0, 7, 6))
+    rows = [(k * 3 + j, word(k), f"l{k:04}", "x", 0.5) for k in range(1100) for j in range(3)]
+    p = langid.learn(spark.createDataFrame(rows, DOCS), F.lit(False))
+    assert len(p.languages) == 1100
+
+
 def test_language_without_labels_or_rows(spark):
     d = docs(spark, ["the cat", None])
     p = langid.learn(d, F.lit(False))
@@ -190,6 +221,22 @@ def test_bpe_digests_match_the_library(spark):
     assert bpe.digests(docs(spark, texts).limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_very_long_words_are_coded_as_the_library_does():
+    import random
+    import time
+
+    rng, e, c = random.Random(5), reference_coder(), bpe.Coder(RANKS, P.PATTERN)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["the", "and", "ing", "information", "of", "Europe", "language", "zq", "xx", "tion"]
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (257, 300, 511, 512, 513, 2000)]
+    words += ["".join(rng.choice(names) for _ in range(900)), "a" * 5000, "b" + "a" * 4999, "ab" * 2500, "=" * 4100, "\u4e00\u00e9" * 900, "".join(rng.choice("ab") for _ in range(4000))]
+    words += ["".join(rng.choice(letters + letters.upper()) for _ in range(200_000))]
+    for w in words:
+        began = time.time()
+        assert c.contract_long(w.encode()) == e.encode_ordinary(w), w[:40]
+        assert time.time() - began < 60
+
+
 def test_bpe_encode_and_decode_are_inverse(spark):
     texts = [t for t in ODD if t is None or len(t) < 100]
     out = bpe.decode(bpe.encode(docs(spark, texts), RANKS, P.PATTERN), RANKS, P.PATTERN).orderBy("doc_id").collect()
