@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, relax, ship, small_batches, table
+from .common import discard, materialize, relax, ship, small_batches, table
 from .components import connected_components
 from .jaccard import keyed, near_groups
 
@@ -208,6 +208,8 @@ def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", distance: int = D
     rooted = classes.join(parts, "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id", F.col("root").alias("component_root")), "named")
+    for used in (classes, joined):
+        discard(used)
     return prints.drop("component_id", "component_root").join(named, "fingerprint")
 
 

@@ -119,6 +119,8 @@ def judge_urls(
     total = walk.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     shares = materialize(walk.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     score = personalised_pagerank(shares, seeds, damping, rounds)
+    if hasattr(score, "_lumenfold_path"):  # written out, so what it came from is read no more
+        discard(raw), discard(shares)
     hosts = score.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "allow", F.col("score"))).alias("trust"),
         F.sum(F.when(F.col("kind") == "block", F.col("score"))).alias("distrust"),
@@ -159,8 +161,9 @@ raw as (select src, dst, count(*) as w from (select src, {host.format("link")} a
 walk as (select 'allow' as kind, src, dst, w from raw union all select 'block', dst, src, w from raw),
 shares as (select kind, src, dst, w / sum(w) over (partition by kind, src) as share from walk),
 s0 as (select kind, host, mass as score from seeds){rounds},
+scale as (select greatest(count(*) filter (where kind = 'block'), 1) as k from seeds),
 h as (select host, coalesce(max(score) filter (where kind = 'allow'), 0.0) as t, coalesce(max(score) filter (where kind = 'block'), 0.0) as d from s{ROUNDS} group by host)
-select page_id, p.host, path, rule, coalesce(ruled, case when coalesce(d, 0) >= {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
+select page_id, p.host, path, rule, coalesce(ruled, case when coalesce(d, 0) * (select k from scale) >= {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
   round(coalesce(t, 0.0), 9) as trust, round(coalesce(d, 0.0), 9) as distrust
 from p left join fit using (page_id) left join h on h.host = p.host
 """

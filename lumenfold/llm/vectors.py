@@ -1,8 +1,9 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Vectors are scaled to length one and rotated to the principal axes of all vectors. A tree over the
-leading axes cuts them into tiles of bounded size; two tiles whose boxes lie further apart than
-the threshold allows are never compared. Within a pair of tiles products of the leading axes come
+leading axes cuts them into leaves; two leaves whose boxes lie further apart than the threshold
+allows are never compared. A large leaf is cut into tiles of bounded size by a hash, so the tree
+stays small. Within a pair of tiles products of the leading axes come
 first; what the rest can add is bounded by the norms of the suffixes, and only pairs that may
 still reach the threshold go on. Equal vectors are one class with a count from the start.
 
@@ -23,9 +24,9 @@ from .common import discard, hash_unit, materialize, ship, table
 from .components import connected_components
 
 THRESHOLD = 0.9
-#: Vectors of a tile at most (in expectation), tiles aimed at where there are few vectors, leading
-#: axes of the tree, vectors that place its cuts at most (in expectation).
-TILE, TILES, AXES, SAMPLE = 4096, 12, 8, 20_000
+#: Vectors of a tile at most (in expectation), tiles aimed at where there are few vectors, leaves of
+#: the tree at most, its leading axes, vectors that place its cuts at most (in expectation).
+TILE, TILES, LEAVES, AXES, SAMPLE = 4096, 12, 1024, 8, 20_000
 #: Rows of a tile compared with one another at once; axes added in each stage; slack of the bounds.
 ROWS, STAGES, SLACK = 1024, (16, 32), 1e-9
 
@@ -198,14 +199,14 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     links = found[0]
     for f in found[1:]:
         links = links.unionAll(f)
-    links = materialize(links, "links")
     counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(links.where("links = 0"), "cid", "to").withColumnRenamed("node", "cid")
     rooted = classes.select("cid", "copies", "least").join(parts, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     judged = rooted.join(least, "root").join(counts, "cid", "left").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = materialize(classes.select("x", "cid").join(judged, "cid").drop("cid"), "named")
-    discard(links)
+    for used in (classes, *found):
+        discard(used)
     out = rows.join(named, "x", "left")
     component = F.when(F.col("x").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -225,7 +226,7 @@ def _compared(classes: DataFrame, dim: int, threshold: float, tile: int) -> Data
         return units(np.stack(x)) @ axes[:, :lead]
 
     sample = classes.where(hash_unit("cid") < min(1.0, SAMPLE / max(1, n))).select("x").toPandas()["x"].to_numpy()
-    tree = spark.sparkContext.broadcast(Tree(project(sample) if len(sample) else np.zeros((1, lead)), -(-n // size)))
+    tree = spark.sparkContext.broadcast(Tree(project(sample) if len(sample) else np.zeros((1, lead)), min(LEAVES, -(-n // size))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -234,27 +235,41 @@ def _compared(classes: DataFrame, dim: int, threshold: float, tile: int) -> Data
 
     schema = "cid long, x array<double>, copies long, leaf long, p array<double>"
     placed = materialize(classes.mapInPandas(place, schema), "placed")
-    # a leaf of many equal projections is cut by a hash, so that no tile outgrows its bound
-    leaf = placed.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", F.ceil(F.col("n") / (2 * size)).cast("int").alias("cuts"))
-    placed = placed.join(leaf, "leaf").withColumn("tile", F.struct("leaf", F.pmod(F.xxhash64("cid"), "cuts").alias("cut")))
-    boxes = placed.groupBy("tile").agg(*[f(F.col("p")[k]).alias(f"{c}{k}") for k in range(lead) for c, f in (("lo", F.min), ("hi", F.max))]).toPandas()
+    box = [f(F.col("p")[k]).alias(f"{c}{k}") for k in range(lead) for c, f in (("lo", F.min), ("hi", F.max))]
+    leaves = materialize(placed.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("cuts"), *box), "boxes")
+    boxes = leaves.toPandas()  # LEAVES rows at most
+    names, cuts = boxes["leaf"].to_numpy(), boxes["cuts"].to_numpy()
     lo, hi = (boxes[[f"{c}{k}" for k in range(lead)]].to_numpy() for c in ("lo", "hi"))
     far = 2 - 2 * threshold + 1e-6
-    rows, names = [], [(int(t["leaf"]), int(t["cut"])) for t in boxes["tile"]]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    for a, i in enumerate(order):
-        gap = np.maximum(0, np.maximum(lo[i] - hi[order[a:]], lo[order[a:]] - hi[i]))
-        for b in np.flatnonzero((gap**2).sum(1) <= far):
-            j = order[a + int(b)]
-            rows += [(*names[i], *names[i], *names[j], 0)] + ([(*names[j], *names[i], *names[j], 1)] if i != j else [])
-    pairs = spark.createDataFrame(rows, "leaf long, cut long, la long, ca long, lb long, cb long, side int")
-    sent = placed.select("cid", "x", "copies", "leaf", F.col("tile.cut").alias("cut")).join(pairs, ["leaf", "cut"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        return compare(left, right if len(right) else None, axes, threshold)
 
-    return sent.groupBy("la", "ca", "lb", "cb").applyInPandas(meet, "cid long, links long, to long")
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for la in b["leaf"]:
+                i = np.flatnonzero(names == la)[0]
+                gap = np.maximum(0, np.maximum(lo[i] - hi, lo - hi[i]))
+                j = np.flatnonzero(((gap**2).sum(1) <= far) & (names >= la))
+                yield pd.DataFrame({"la": la, "lb": names[j], "na": cuts[i], "nb": cuts[j]})
+
+    pairs = materialize(leaves.select("leaf").mapInPandas(near, "la long, lb long, na int, nb int"), "pairs")
+    rows = placed.join(F.broadcast(leaves.select("leaf", "cuts")), "leaf").select("cid", "x", "copies", "leaf", F.pmod(F.xxhash64("cid"), "cuts").cast("int").alias("cut"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    one = rows.join(pairs, rows["leaf"] == pairs["la"]).select("la", F.col("cut").alias("ca"), "lb", every("nb"), F.lit(0).alias("side"), "cid", "x", "copies").withColumnRenamed("other", "cb")
+    two = rows.join(pairs, rows["leaf"] == pairs["lb"]).select("la", every("na"), "lb", F.col("cut").alias("cb"), F.lit(1).alias("side"), "cid", "x", "copies").withColumnRenamed("other", "ca")
+    # tiles of one leaf meet once, and a tile meets itself
+    sent = one.where("la <> lb or ca <= cb").unionByName(two.where("la <> lb or ca < cb"))
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if key[:2] == key[2:]:
+            return compare(left, None, axes, threshold)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"cid": [], "links": [], "to": []}).astype("int64")
+        return compare(left, right, axes, threshold)
+
+    out = materialize(sent.groupBy("la", "ca", "lb", "cb").applyInPandas(meet, "cid long, links long, to long"), "links")
+    for used in (placed, leaves, pairs):
+        discard(used)
+    return out
 
 
 def op3_embedding_dedup(spark, sf_dir: str) -> DataFrame:

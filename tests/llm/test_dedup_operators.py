@@ -337,6 +337,20 @@ def test_vector_links_match_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], comp[i], comp[i] == i)
 
 
+def test_vector_tiles_of_one_leaf(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAVES", 2)  # so that leaves have many tiles
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(4, 6))
+    rows = [(i, (centres[i % 4] + rng.normal(size=6) * 0.4).tolist()) for i in range(900)]
+    got = {r["vec_id"]: r for r in vectors.near_links(embedding_rows(spark, rows), tile=64).collect()}
+    pairs = brute_links(rows)
+    comp, n = union(pairs, [i for i, _ in rows]), {i: 0 for i, _ in rows}
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (n[i], comp[i]) for i, _ in rows)
+
+
 def test_vectors_without_any_valid_row(spark):
     out = vectors.near_links(embedding_rows(spark, [(1, None), (2, [0.0])])).collect()
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in sorted(out)] == [(0, 1, True), (0, 2, True)]
@@ -369,6 +383,24 @@ def test_sorted_lists_never_lose_a_winner():
             assert set(np.flatnonzero(x @ q >= best)) <= set(s.search(q, 10))
 
 
+def test_top_k_of_repeated_queries_ties_and_large_values(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(-3, 4, 5) / 2]) for i in range(40)] + [(100, [1.0, 0.5, -1.0, 2.0, 0.0])] * 2 + [(100, [2.0, 0.5, -1.0, 2.0, 0.0]), (200, [1.0, 2.0])]
+    big = [(300 + i, [1.0e6 - i, 0.9e6, -1.0e6 - i, 1.0, 2.0]) for i in range(15)]  # products beyond 2^53
+    for name, found in (("a", rows), ("b", rows + big)):
+        at = str(tmp_path / name)
+        embedding_rows(spark, found).select("vec_id", "embedding").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
+        got = sorted(tuple(r) for r in topk.op9_exact_topk(spark, at).collect())
+        c = duckdb.connect()
+        c.execute(f"create view embeddings as select * from '{at}/embeddings.parquet/*.parquet'")
+        assert got == sorted(c.execute(topk.OP9_SQL).fetchall())
+        assert sum(r[0] == 100 for r in got) == 10 and (name == "a" or max(r[3] for r in got) > 2**53)
+    with pytest.raises(Exception, match="range of a long"):
+        topk.top_k(embedding_rows(spark, [(i, [3.0e15] * 5) for i in range(4)]), F.col("vec_id") == 0).collect()
+
+
 def test_url_query_matches_its_sql(spark, tmp_path):
     import duckdb
 
