@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "relax", "ship", "small_batches", "table", "work_dir"]
+__all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "relax", "ship", "sifted", "small_batches", "table", "work_dir"]
+
+#: Bits of the bitmap that sifts rows before a join, as a power of two: 2 MB, in 262,144 rows.
+BITMAP = 24
 
 _OWN_DIR: list[str] = []
 
@@ -112,6 +115,18 @@ def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
         yield pa.concat_batches(held)
 
 
+def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose long `column` is among that of keys, by a join that moves few others: a bitmap of
+    the keys, of fixed size, goes to all tasks first. Where it is too small for the keys it sifts
+    less; the join behind it decides."""
+    slot = F.pmod(F.col(column), F.lit(1 << BITMAP))
+    words = keys.select((slot / 64).cast("int").alias("__word"), (slot % 64).cast("int").alias("bit")).groupBy("__word")
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("__bits"))  # 2^BITMAP / 64 rows at most
+    held = rows.withColumn("__word", (slot / 64).cast("int")).join(F.broadcast(words), "__word")
+    held = held.where(F.getbit(F.col("__bits"), (slot % 64).cast("int")) == 1).drop("__word", "__bits")
+    return held.join(keys.select(column).distinct(), column, "left_semi")
+
+
 class Generations:
     """A bounded memo of two generations: what was used lately is kept, the rest forgotten."""
 

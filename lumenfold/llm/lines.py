@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship, small_batches, table
+from .common import discard, materialize, ship, sifted, small_batches, table
 
 #: Leading tokens of a leaf; share of fixed places that makes a template; share of a leaf's texts
 #: that a fixed word has; different texts in which a template recurs.
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, recurs: int = RECURS) -> DataFrame:
     slim = materialize(parsed.select("doc_id", "th", "pos", "leaf", "mh", "floor", "masked"), "lines")
     common = slim.groupBy("leaf", "floor", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "floor").agg(F.count("*").alias("n"))
     common = materialize(common.where(F.col("n") >= F.col("floor")).select("leaf"), "leaves")
-    near = materialize(slim.join(common, "leaf", "left_semi"), "candidates")
+    near = materialize(sifted(slim, common, "leaf"), "candidates")
     lines = near.groupBy("leaf", "floor", "mh", "th").agg(F.min("masked").alias("masked")).groupBy("leaf", "floor", "mh").agg(F.count("*").alias("w"), F.min("masked").alias("masked"))
     lines = materialize(lines, "distinct")
     general = materialize(templates(lines), "general")

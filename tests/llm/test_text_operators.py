@@ -193,6 +193,18 @@ def test_words_match_the_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w[:-1] for w in whole_ids(texts)]
 
 
+@pytest.mark.parametrize("bits", [24, 6])
+def test_sifted_rows_are_those_of_a_semi_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "BITMAP", bits)
+    rng = np.random.default_rng(2)
+    ids = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 3000)] + [None, -1, 0, 63, 64, -64]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "k long, n int")
+    keys = spark.createDataFrame([(x,) for x in ids[::3] + [5, None]], "k long")
+    want = {r["n"] for r in rows.join(keys, "k", "left_semi").collect()}
+    assert {r["n"] for r in common.sifted(rows, keys, "k").collect()} == want
+    assert common.sifted(rows, keys.limit(0), "k").count() == 0
+
+
 def test_batches_are_regrouped_without_loss():
     b = [pa.RecordBatch.from_pydict({"text": ["a" * (i % 7) if i % 5 else None for i in range(s, s + 13)], "n": list(range(s, s + 13))}) for s in (0, 13, 26)]
     out = list(common.regrouped(iter(b), "text", 10))
