@@ -124,7 +124,8 @@ def sifted(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("__bits"))  # 2^BITMAP / 64 rows at most
     held = rows.withColumn("__word", (slot / 64).cast("int")).join(F.broadcast(words), "__word")
     held = held.where(F.getbit(F.col("__bits"), (slot % 64).cast("int")) == 1).drop("__word", "__bits")
-    return held.join(keys.select(column).distinct(), column, "left_semi")
+    # not a semi join: Spark would move that one below the sifting
+    return held.join(keys.select(column).distinct(), column)
 
 
 class Generations:
