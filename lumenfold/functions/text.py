@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .boxes import clamp
 
 #: Endings that category names lose.
 SUFFIXES = ("-merged", "-other", "-stuff", "-negative")
+_PLAIN = r"\s*[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?\s*"
 _NUMBER = r"\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)\s*"
 
 
@@ -133,20 +135,17 @@ def _labelled(c: Column) -> Column:
 
 def _tuples(rest: Column, tag: str, n: int) -> Column:
     """Clipped number lists of <tag>[a, b, ...]</tag> with exactly n numbers, in order."""
-    pattern = rf"<{tag}>\[" + ",".join([_NUMBER] * n) + rf"\]</{tag}>"
-    cols = [F.regexp_extract_all(rest, F.lit(pattern), F.lit(i + 1)) for i in range(n)]
-    at = F.sequence(F.lit(0), F.size(cols[0]) - 1)
-    rows = F.transform(at, lambda i: F.array(*[clamp(F.get(c, i).cast("double")) for c in cols]))
-    return F.when(F.size(cols[0]) > 0, rows).otherwise(F.array().cast("array<array<double>>"))
+    pattern = rf"<{tag}>\[(" + ",".join([_PLAIN] * n) + rf")\]</{tag}>"
+    found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(1))
+    return F.transform(found, lambda t: F.transform(F.split(t, ","), lambda v: clamp(F.trim(v).cast("double"))))
 
 
 def _parsed(c: Column, tag: str, n: int, normalize: bool) -> Column:
     name = normalize_category if normalize else (lambda x: x)
     entries = F.transform(_labelled(c), lambda e: F.struct(name(e["label"]).alias("label"), _tuples(e["rest"], tag, n).alias("items")))
-    entries = F.filter(entries, lambda e: F.size(e["items"]) > 0)
     # a repeated label replaces the earlier one's items
-    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(2147483646)), lambda f: f["label"] == e["label"])
-    return F.filter(entries, later)
+    later = lambda es: lambda e, i: ~F.exists(F.slice(es, i + 2, F.lit(2147483646)), lambda f: f["label"] == e["label"])
+    return let(let(entries, lambda es: F.filter(es, lambda e: F.size(e["items"]) > 0)), lambda es: F.filter(es, later(es)))
 
 
 def parse_boxes(c: Column, normalize: bool = True) -> Column:
@@ -225,3 +224,50 @@ def run_overlap(a: Column, b: Column) -> Column:
     common = lambda x, y: F.greatest(F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]), F.lit(0).cast("long"))
     each = F.transform(run_spans(a), lambda x: F.aggregate(F.transform(run_spans(b), lambda y: common(x, y)), F.lit(0).cast("long"), lambda s, v: s + v))
     return F.aggregate(each, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def colour_map(c: Column) -> Column:
+    """(r, g, b, phrase) of the coloured phrases, a repeated colour keeping its last phrase."""
+    same = lambda e, f: (e["r"] == f["r"]) & (e["g"] == f["g"]) & (e["b"] == f["b"])
+    return let(colours(c), lambda cs: F.filter(cs, lambda e, i: ~F.exists(F.slice(cs, i + 2, F.lit(2147483646)), lambda f: same(e, f))))
+
+
+def plain_caption(c: Column) -> Column:
+    """A caption without tags and colours, white space collapsed, outer quotes gone."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"<.*?>", ""), r"\(\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\)", "")
+    return F.trim(F.regexp_replace(collapse_space(bare), r"^'+|'+$", ""))
+
+
+def lower_keys(m: Column) -> Column:
+    """A map with lower-case keys; of keys that become equal the last one's value stays."""
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.lit(2147483646)), lambda f: f["key"] == e["key"]))
+    return F.map_from_entries(let(entries, last))
+
+
+def resolved(name: Column, aliases: dict[str, str]) -> Column:
+    """The alias of an equal name, else of the first key (in order) that the name contains; else the name."""
+    out = name
+    for key, value in reversed(aliases.items()):
+        out = F.when(F.contains(F.lower(name), F.lit(key.lower())), F.lit(value)).otherwise(out)
+    for key, value in aliases.items():
+        out = F.when(F.lower(name) == key.lower(), F.lit(value)).otherwise(out)
+    return out
+
+
+def dataset_kind(name: Column) -> Column:
+    """Kind of benchmark by the prefix of its file name."""
+    # fixed values: prefixes and kinds
+    kinds = (("point.", "pointing"), ("visual.", "visual_prompting"), ("gui.", "gui"), ("keypoint.", "keypoint"))
+    out = F.lit("Detection")
+    for prefix, kind in kinds:
+        out = F.when(name.startswith(prefix), F.lit(kind)).otherwise(out)
+    return out
+
+
+def best_name(names: Column, required: str, wanted: list[str]) -> Column:
+    """Of the names that contain `required` the one with most of the wanted parts, then the shortest,
+    then the first in order of text; null if none."""
+    score = lambda x: sum((F.contains(x, F.lit(w)).cast("int") for w in wanted), F.lit(0))
+    ranked = F.transform(F.filter(names, lambda x: F.contains(x, F.lit(required))), lambda x: F.struct((-score(x)).alias("s"), F.length(x).alias("n"), x.alias("x")))
+    return F.get(F.array_sort(ranked), F.lit(0))["x"]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import staged
 
 XYZ = ("x", "y", "z")
 
@@ -31,7 +32,7 @@ def nearest(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
     widest = max([v for v in span if v is not None], default=0.0)
     rounds = 1 + max(0, math.ceil(math.log2(max(widest, side) / side)) + 1)
     todo = points.join(others.select("seq").distinct(), "seq", "left_semi").withColumn("__id", F.monotonically_increasing_id())
-    todo, out = todo.persist(), None
+    todo, out = staged(todo, "points"), None  # written, as the numbers must not change
     shift = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(d, XYZ)]) for d in [(a, b, e) for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1)]]))
     for k in range(rounds):
         s = side * 2**k
@@ -40,8 +41,9 @@ def nearest(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
         d2 = sum((F.pow(F.col(c) - F.col(f"n{c}"), F.lit(2.0)) for c in XYZ), F.lit(0.0))
         near = probe.join(held, ["seq", "cx", "cy", "cz"]).groupBy("__id").agg(F.min(F.struct(d2.alias("d2"), "nx", "ny", "nz")).alias("__n"))
         got = todo.join(near, "__id").where((F.sqrt("__n.d2") <= s) | F.lit(k == rounds - 1))
-        got = got.select(*points.columns, F.col("__n.nx").alias("nx"), F.col("__n.ny").alias("ny"), F.col("__n.nz").alias("nz"), F.sqrt("__n.d2").alias("distance"), "__id").persist()
-        rest = todo.join(got.select("__id"), "__id", "left_anti").persist()
+        got = got.select(*points.columns, F.col("__n.nx").alias("nx"), F.col("__n.ny").alias("ny"), F.col("__n.nz").alias("nz"), F.sqrt("__n.d2").alias("distance"), "__id")
+        got = staged(got, "found")
+        rest = staged(todo.join(got.select("__id"), "__id", "left_anti"), "rest")
         out = got if out is None else out.unionAll(got)
         if rest.isEmpty():
             break
@@ -109,8 +111,7 @@ def icp(points: DataFrame, target: DataFrame, side: float, rounds: int = 5, reac
         if reach is not None:
             pairs = pairs.where(F.col("distance") <= reach)
         points = moved(points, umeyama(pairs, scaled=False))
-        if points.sparkSession.sparkContext.getCheckpointDir():  # the lineage grows with the rounds
-            points = points.checkpoint()
+        points = staged(points, "moved")  # else the lineage would grow with the rounds
     return points
 
 

@@ -12,8 +12,9 @@ from ..functions import boxes
 from ..functions.binding import let
 from .matching import _taken
 
+#: Fixed values.
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
-#: Area ranges, ends included.
+#: Area ranges, ends included.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..functions.binding import let
 
-#: 0.50 to 0.95 by 0.05.
+#: 0.50 to 0.95 by 0.05.
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
@@ -64,17 +64,18 @@ def box_score(mode: str, gt: Column) -> Callable[[Column, Column], Column]:
 
 def detection_counts(
     samples: DataFrame, thresholds: Sequence[float] = THRESHOLDS, mode: str = "pooled", keep: Sequence[str] = ("sample_id",),
+    score: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Rows (keep..., iou, matches, n_gt, n_pred, recall, precision) for each sample and threshold.
 
-    samples: gt and pred, arrays of (cat, box). A pred with a null box is no prediction. Without any
+    samples: gt and pred, arrays of (cat, box). score takes the place of the mode's. A pred with a null box is no prediction. Without any
     gt: recall and precision are 1 if there is no pred either, else 0 (by_category: 0 always);
     without pred: 0.
     """
     gt = F.coalesce(F.col("gt"), F.array().cast(samples.schema["gt"].dataType))
     pred = F.filter(F.coalesce(F.col("pred"), F.array().cast(samples.schema["pred"].dataType)), lambda p: p["box"].isNotNull())
     rows = samples.withColumn("gt", gt).withColumn("pred", pred)
-    rows = rows.withColumn("__m", score_matrix(F.col("gt"), F.col("pred"), box_score(mode, F.col("gt"))))
+    rows = rows.withColumn("__m", score_matrix(F.col("gt"), F.col("pred"), score or box_score(mode, F.col("gt"))))
     # the explode ends the projection, so that the matrix is computed once for all thresholds
     grid = F.array(*[F.lit(t) for t in thresholds])
     rows = rows.select(*keep, F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), "__m", F.explode(grid).alias("iou"))
@@ -126,9 +127,11 @@ def oks(gt: Column, pred: Column, size: Column, sigma: float = 0.025) -> Column:
     area)); 0 if there are none. gt and pred: arrays of (name, x, y)."""
 
     def of(g: Column) -> Column:
-        p = F.get(F.filter(pred, lambda p: p["name"] == g["name"]), F.lit(0))
-        d2 = F.pow(g["x"] - p["x"], F.lit(2.0)) + F.pow(g["y"] - p["y"], F.lit(2.0))
-        return F.exp(F.try_divide(-d2, F.lit(2 * sigma * sigma) * size))
+        def near(p: Column) -> Column:
+            dx, dy = g["x"] - p["x"], g["y"] - p["y"]
+            return F.exp(F.try_divide(-(dx * dx + dy * dy), F.lit(2 * sigma * sigma) * size))
+
+        return let(F.get(F.filter(pred, lambda p: p["name"] == g["name"]), F.lit(0)), near)
 
     # one fold, as an expression used twice would be computed twice
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def dense_ids(rows: DataFrame, order: str | list[str], start: int = 0, name: str = "id") -> DataFrame:
     """Running ids from `start` in order: rows are dealt out by range and the partitions counted, whose
-    sums (one number each) give every partition its first id."""
-    sorted_ = rows.sort(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist()
+    sums (one number each) give every partition its first id. The dealt rows are written, as rows
+    of equal order could be dealt otherwise by a task that runs again."""
+    sorted_ = staged(rows.sort(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "numbered")
     n = sorted_.groupBy("__p").agg(F.count("*").alias("n")).collect()
     upto, bases = start, {}
     for r in sorted(n, key=lambda r: r["__p"]):

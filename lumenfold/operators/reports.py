@@ -45,8 +45,10 @@ def to_number(text: Column) -> Column:
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A table for reading; `limit` bounds the report, not the data behind it."""
-    got = rows.limit(limit).collect()
+    """A table for reading. It is a report, so more than `limit` rows raise and none is dropped."""
+    got = rows.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"more than {limit} rows for a report; aggregate them, or raise the limit")
     head = "| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns)
     return "\n".join([head, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got]])
 

@@ -160,10 +160,10 @@ def star_index(spark, sf_dir: str) -> DataFrame:
     return n.select("r_name", "n_name", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("customers", "orders", "total")])
 
 
-@query("select c_custkey, 'no order' as why from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null) union all select s_suppkey, 'no item' from supplier where s_suppkey not in (select l_suppkey from lineitem where l_suppkey is not null)")
+@query("select c_custkey, 'no urgent order' as why from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT') union all select s_suppkey, 'no item' from supplier where s_suppkey not in (select l_suppkey from lineitem where l_suppkey is not null)")
 def anti_join_names(spark, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    a = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", F.lit("no order").alias("why"))
+    a = t("customer").join(t("orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", F.lit("no urgent order").alias("why"))
     return a.unionAll(t("supplier").join(t("lineitem"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey", F.lit("no item")))
 
 
@@ -285,6 +285,12 @@ def pack_lineage(spark, sf_dir: str) -> DataFrame:
     return packing.lineage(packing.pack(_samples(spark, sf_dir), 8, 5, mandatory=("src3",)))
 
 
+@query("select doc_id as key, n_chars as tokens, source as grp from documents where coalesce(n_chars, 0) <= 24064")
+def pack_keys(spark, sf_dir: str) -> DataFrame:
+    """Every sample lies in exactly one pack."""
+    return packing.pack(_samples(spark, sf_dir), 8, 5, mandatory=("src3",)).select("key", "tokens", "grp")
+
+
 @query("select doc_id, n_chars from documents where n_chars <= 24064")
 def length_filter(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").where(F.col("n_chars") <= packing.Limits().sample)

@@ -314,12 +314,12 @@ def pose_pairs_auc(spark, sf_dir: str) -> DataFrame:
 
 @query("""
 with p as (
-  select l_orderkey as seq, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as frame, l_partkey % 13 as x, l_suppkey % 11 as y, l_linenumber as z from lineitem where l_orderkey % 4 = 0)
+  select l_orderkey as seq, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as frame, l_partkey % 13 as x, l_suppkey % 11 as y, l_linenumber as z from lineitem)
 select a.seq, a.frame, (a.x - b.x)::double as dx, (a.y - b.y)::double as dy, (a.z - b.z)::double as dz from p a join p b on b.seq = a.seq and b.frame = 1
 """)
 def relative_to_first(spark, sf_dir: str) -> DataFrame:
-    """Shift of each frame against the first of its sequence, for the orders that its SQL takes."""
-    p = _poses(spark, sf_dir).where("seq % 4 = 0")
+    """Shift of each frame against the first of its sequence."""
+    p = _poses(spark, sf_dir)
     w = Window.partitionBy("seq").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     p = p.withColumn("d", geo.sub(F.col("t"), F.first("t").over(w)))
     return p.select("seq", "frame", *[F.col("d")[i].alias(n) for i, n in enumerate(("dx", "dy", "dz"))])

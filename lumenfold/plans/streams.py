@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import folder
 from ..streaming import packer
 from .common import table
 
@@ -14,25 +15,28 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _folder(spark) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='lumenfold-stream-')}/{uuid.uuid4().hex}"
-
-
 def stream_pack_resume(spark, sf_dir: str) -> DataFrame:
-    """Events as samples of 100 to 1099 tokens, packed as a stream whose checkpoint is its cursor."""
+    """Events as samples of 100 to 1099 tokens, packed as a stream whose checkpoint is its cursor: it is
+    started again from it, finds nothing new, and then gives out what is still open."""
     schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    s = e.select(F.col("event_id").alias("key"), (F.lit(100) + F.col("user_id") % 1000).cast("long").alias("tokens"), F.col("event_type").alias("grp"))
-    at = _folder(spark)
-    q = packer.packed_stream(s, 8).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cursor").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("shard int, pack long, keys array<long>, tokens long").parquet(f"{at}/out")
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    for _ in range(2):
+        e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+        s = e.select(F.col("event_id").alias("key"), (F.lit(100) + F.col("user_id") % 1000).cast("long").alias("tokens"), F.col("event_type").alias("grp"))
+        q = packer.packed_stream(s, 8).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cursor").trigger(availableNow=True).start()
+        q.awaitTermination()
+    packs = spark.read.schema("shard int, pack long, keys array<long>, tokens long").parquet(f"{at}/out")
+    return packs.unionByName(packer.rest_packs(spark, f"{at}/cursor"))
+
+
+def stream_pack_keys(spark, sf_dir: str) -> DataFrame:
+    """Every event lies in exactly one pack of the stream."""
+    return stream_pack_resume(spark, sf_dir).select(F.explode("keys").alias("event_id"))
 
 
 QUERIES["stream_pack_resume"] = stream_pack_resume
+QUERIES["stream_pack_keys"] = stream_pack_keys
+ORACLES["stream_pack_keys"] = "select event_id from events"
 
 
 def epoch_replay(spark, sf_dir: str) -> DataFrame:

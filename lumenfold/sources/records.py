@@ -133,8 +133,17 @@ def write_checked(rows: DataFrame, path: str, expected: int | None = None, form:
         raise ValueError(f"{got} rows instead of {expected}; {staged} is kept, {path} untouched")
     of = spark._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(of(path), True)
-    fs.rename(of(staged), of(path))
+    aside = f"{path.rstrip('/')}.replaced"
+    fs.delete(of(aside), True)
+    # the old output stays beside the new one until that one is in place
+    held = fs.exists(of(path))
+    if held and not fs.rename(of(path), of(aside)):
+        raise OSError(f"could not move {path} aside; {staged} is kept")
+    if not fs.rename(of(staged), of(path)):
+        if held:
+            fs.rename(of(aside), of(path))
+        raise OSError(f"could not put {staged} in place; {path} is as it was")
+    fs.delete(of(aside), True)
     return got
 
 

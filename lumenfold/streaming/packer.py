@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,6 +44,29 @@ def packed_stream(samples: DataFrame, shards: int, limits: Limits = Limits()) ->
     return rows.groupBy("shard").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def rest_packs(spark: SparkSession, checkpoint: str, limits: Limits = Limits()) -> DataFrame:
+    """Packs of what the shards still held open or waiting when the stream ended, read from its state.
+
+    For the end of the input: packs go on in number behind those that the stream gave.
+    """
+    ship(spark)
+    held = spark.read.format("statestore").load(checkpoint).select(F.col("key.*"), F.col("value.groupState.*"))
+    held = held.toDF("shard", *[f.split()[0] for f in _STATE.split(", ")])
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                p = Packer(limits)
+                p.tokens, p.open = int(r.tokens), list(zip(r.open_key, r.open_tokens, r.open_grp, strict=True))
+                p.waiting.extend(zip(r.wait_key, r.wait_tokens, r.wait_grp, strict=True))
+                for n, q in enumerate(p.rest(), int(r.packs)):
+                    out.append((int(r.shard), n, [int(s[0]) for s in q], int(sum(s[1] for s in q))))
+            yield pd.DataFrame(out, columns=["shard", "pack", "keys", "tokens"])
+
+    return held.mapInPandas(rest, _OUT)
+
+
 def resumed(rows: DataFrame, cursor: int, order: str) -> DataFrame:
     """Rows behind the last one seen."""
     return rows.where(F.col(order) > cursor)

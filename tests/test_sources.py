@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import packing
+from lumenfold.operators import packing, reports
 from lumenfold.sources import records
 from lumenfold.streaming import packer
 
@@ -72,4 +72,19 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         assert len(keys) == len(set(keys)) > len(seen)
         assert all(r["tokens"] <= 120 for r in rows)
         seen = keys
-    assert len({(r["shard"], r["pack"]) for r in rows}) == len(rows)
+    rest = packer.rest_packs(spark, str(tmp_path / "c"), packing.Limits(100, 120, 90, 40, 5)).collect()
+    assert sorted(seen + [k for r in rest for k in r["keys"]]) == list(range(600))
+    assert len({(r["shard"], r["pack"]) for r in rows + rest}) == len(rows) + len(rest)
+
+
+def test_checked_write_keeps_one_output(spark, tmp_path):
+    for n in (3, 7):
+        records.write_checked(spark.range(n), str(tmp_path / "o"), n)
+        assert spark.read.json(str(tmp_path / "o")).count() == n
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["o"]
+
+
+def test_a_report_never_drops_rows(spark):
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        reports.markdown(spark.range(6), 5)
+    assert reports.markdown(spark.range(5), 5).count("\n") == 6
