@@ -122,3 +122,17 @@ def project(p: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column
 
 def lerp(a: Column, b: Column, s: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + (y - x) * s)
+
+
+def ray(u: Column, v: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    """Unit direction of a pixel from the camera."""
+    from .binding import let
+
+    return let(F.array((u - cx) / fx, (v - cy) / fy, F.lit(1.0)), lambda d: F.transform(d, lambda x: x / F.sqrt(dot(d, d, 3))))
+
+
+def turned_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, width: Column, height: Column, quarters: int) -> Column:
+    """(fx, fy, cx, cy, width, height) of an image turned by quarter turns clockwise."""
+    for _ in range(quarters % 4):
+        fx, fy, cx, cy, width, height = fy, fx, height - 1 - cy, cx, height, width
+    return F.struct(*[c.alias(n) for c, n in zip((fx, fy, cx, cy, width, height), ("fx", "fy", "cx", "cy", "width", "height"), strict=True)])

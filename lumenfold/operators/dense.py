@@ -75,3 +75,24 @@ def inverse_depth_image(depth: DataFrame, by: str = "sample") -> DataFrame:
 def psnr(pixels: DataFrame, by: str = "sample", peak: float = 1.0) -> DataFrame:
     mse = F.avg(F.pow(F.col("gt") - F.col("pred"), F.lit(2.0)))
     return pixels.groupBy(by).agg((10 * F.log10(F.try_divide(F.lit(peak * peak), mse))).alias("psnr"))
+
+
+def training_losses(pixels: DataFrame, lam: float, alpha: float, by: str = "sample") -> DataFrame:
+    """One row per sample over valid pixels: l1, mae_rel, and the scale-invariant log loss silog_mse with
+    its scaled root silog_rmse. pixels: sample, gt, pred, valid; pred clipped from below at 1e-8."""
+    g, p = F.col("gt"), F.greatest(F.col("pred"), F.lit(1e-8))
+    d = F.log(p) - F.log(g)
+    out = pixels.where(F.col("valid") & (g > 0)).groupBy(by).agg(
+        F.avg(F.abs(F.col("pred") - g)).alias("l1"), F.avg(F.abs((F.col("pred") - g) / g)).alias("mae_rel"), (F.avg(d * d) - lam * F.avg(d) * F.avg(d)).alias("silog_mse")
+    )
+    return out.withColumn("silog_rmse", alpha * F.sqrt(F.greatest(F.col("silog_mse"), F.lit(0.0))))
+
+
+def normal_bytes(n: Column) -> Column:
+    """Three bytes of a unit normal: -1 to 1 over 0 to 255."""
+    return F.transform(n, lambda v: F.floor((F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0)) + 1) / 2 * 255).cast("int"))
+
+
+def usable_normal(n: Column, least: float = 0.1) -> Column:
+    """Whether a normal has length enough to have a direction."""
+    return F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, v: s + v * v)) >= least
