@@ -14,6 +14,11 @@ _PLAIN = r"\s*[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?\s*"
 _NUMBER = r"\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)\s*"
 
 
+def _behind(a: Column, i: Column) -> Column:
+    """The elements behind place i. (A length beyond the array's would overflow behind its first place.)"""
+    return F.slice(a, i + 2, F.size(a))
+
+
 def normalize_category(c: Column) -> Column:
     for s in SUFFIXES:
         c = F.replace(c, F.lit(s), F.lit(""))
@@ -144,7 +149,7 @@ def _parsed(c: Column, tag: str, n: int, normalize: bool) -> Column:
     name = normalize_category if normalize else (lambda x: x)
     entries = F.transform(_labelled(c), lambda e: F.struct(name(e["label"]).alias("label"), _tuples(e["rest"], tag, n).alias("items")))
     # a repeated label replaces the earlier one's items
-    later = lambda es: lambda e, i: ~F.exists(F.slice(es, i + 2, F.lit(2147483646)), lambda f: f["label"] == e["label"])
+    later = lambda es: lambda e, i: ~F.exists(_behind(es, i), lambda f: f["label"] == e["label"])
     return let(let(entries, lambda es: F.filter(es, lambda e: F.size(e["items"]) > 0)), lambda es: F.filter(es, later(es)))
 
 
@@ -229,7 +234,7 @@ def run_overlap(a: Column, b: Column) -> Column:
 def colour_map(c: Column) -> Column:
     """(r, g, b, phrase) of the coloured phrases, a repeated colour keeping its last phrase."""
     same = lambda e, f: (e["r"] == f["r"]) & (e["g"] == f["g"]) & (e["b"] == f["b"])
-    return let(colours(c), lambda cs: F.filter(cs, lambda e, i: ~F.exists(F.slice(cs, i + 2, F.lit(2147483646)), lambda f: same(e, f))))
+    return let(colours(c), lambda cs: F.filter(cs, lambda e, i: ~F.exists(_behind(cs, i), lambda f: same(e, f))))
 
 
 def plain_caption(c: Column) -> Column:
@@ -241,7 +246,7 @@ def plain_caption(c: Column) -> Column:
 def lower_keys(m: Column) -> Column:
     """A map with lower-case keys; of keys that become equal the last one's value stays."""
     entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.lit(2147483646)), lambda f: f["key"] == e["key"]))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(_behind(es, i), lambda f: f["key"] == e["key"]))
     return F.map_from_entries(let(entries, last))
 
 
