@@ -158,11 +158,14 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) ->
     """Learn from a bounded sample: about `sample` labelled rows by a hash of doc_id, whole texts.
 
     labels: doc_id, quality. Null labels, and rows where held_out isn't false, teach nothing; a
-    label of a missing document neither. The driver gets features of the sample, not texts.
+    label of a missing document neither. A document teaches once, however many rows and labels it
+    has: by its largest label and the least of its rows' features, so the sample bounds what is
+    sent. The driver gets features of the sample, not texts.
     """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(~held_out & F.col("y").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
     total = usable.count()
     chosen = usable.where(hash_unit("doc_id") < min(1.0, sample / max(1, total)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of 16 bytes
@@ -173,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) ->
             yield pd.Series([features(t) for t in texts])
         relax()
 
-    got = rows.select(measured("text").alias("x"), "y").toPandas()
+    got = rows.select("doc_id", measured("text").alias("x"), "y").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     # the order of rows differs from run to run, sums must not
     order = np.lexsort([*x.T, got["y"].to_numpy(np.float64)])
@@ -181,8 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) ->
 
 
 def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """Add score (0 to 1) from the whole text alone; a null text scores as an empty one. A column
-    named score is replaced."""
+    """Add score (0 to 1) from the whole text alone; a null text scores as an empty one, repeated rows
+    score alike. A column named score is replaced."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
