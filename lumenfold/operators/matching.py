@@ -126,17 +126,32 @@ def oks(gt: Column, pred: Column, size: Column, sigma: float = 0.025) -> Column:
     """Keypoint similarity: mean over the gt's keypoints that pred has too of exp(-d2 / (2 sigma^2
     area)); 0 if there are none. gt and pred: arrays of (name, x, y)."""
 
-    def of(g: Column) -> Column:
-        def near(p: Column) -> Column:
-            dx, dy = g["x"] - p["x"], g["y"] - p["y"]
-            return F.exp(F.try_divide(-(dx * dx + dy * dy), F.lit(2 * sigma * sigma) * size))
+    near = lambda g: lambda p: _closeness(g, p, size, sigma)
+    return _mean_known(F.transform(gt, lambda g: F.get(F.transform(F.filter(pred, lambda p: p["name"] == g["name"]), near(g)), F.lit(0))))
 
-        return let(F.get(F.filter(pred, lambda p: p["name"] == g["name"]), F.lit(0)), near)
 
+def aligned(keypoints: Column, names: Sequence[str]) -> Column:
+    """Keypoints (name, x, y) in the order of names, null where one is missing: done once for each instance,
+    it saves the search by name in every pair."""
+    return F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.get(F.filter(keypoints, lambda k: k["name"] == n), F.lit(0)))
+
+
+def oks_aligned(gt: Column, pred: Column, size: Column, sigma: float = 0.025) -> Column:
+    """oks() of keypoints in the same order."""
+    return _mean_known(F.zip_with(gt, pred, lambda g, p: _closeness(g, p, size, sigma)))
+
+
+def _closeness(g: Column, p: Column, size: Column, sigma: float) -> Column:
+    dx, dy = g["x"] - p["x"], g["y"] - p["y"]
+    return F.exp(F.try_divide(-(dx * dx + dy * dy), F.lit(2 * sigma * sigma) * size))
+
+
+def _mean_known(values: Column) -> Column:
+    """Mean of the values that aren't null; 0 if there are none."""
     # one fold, as an expression used twice would be computed twice
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
     return F.aggregate(
-        F.transform(gt, of), start,
+        values, start,
         lambda a, v: F.struct((a["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (a["n"] + v.isNotNull().cast("int")).alias("n")),
         lambda a: F.coalesce(F.try_divide(a["s"], a["n"]), F.lit(0.0)),
     )

@@ -186,10 +186,11 @@ def _keypoints(spark, sf_dir: str) -> DataFrame:
     """Corners of a box as its keypoints."""
     s = box_samples(spark, sf_dir)
     names = (("tl", 0, 1), ("br", 2, 3), ("bl", 0, 3))
-    corners = lambda e: F.array(*[F.struct(F.lit(n).alias("name"), e["box"][i].alias("x"), e["box"][j].alias("y")) for n, i, j in names])
-    inst = lambda e: F.struct(boxes.area(e["box"]).alias("area"), corners(e).alias("kpts"))
-    by_area = F.array_sort(F.transform("gt", lambda e, i: F.struct((-boxes.area(e["box"])).alias("a"), i.alias("i"), inst(e).alias("e"))))
-    return s.select("sample_id", F.transform(by_area, lambda x: x["e"]).alias("gt"), F.transform("pred", inst).alias("pred"))
+    corners = lambda e: F.array(*[F.named_struct(F.lit("name"), F.lit(n), F.lit("x"), e["box"][i], F.lit("y"), e["box"][j]) for n, i, j in names])
+    inst = lambda e: F.named_struct(F.lit("area"), boxes.area(e["box"]), F.lit("kpts"), matching.aligned(corners(e), [n for n, _, _ in names]))
+    by_area = F.array_sort(F.transform("gt", lambda e, i: F.named_struct(F.lit("a"), -boxes.area(e["box"]), F.lit("i"), i, F.lit("e"), inst(e))))
+    once = F.explode(F.array(F.lit(0))).alias("once")  # ends the projection, so that instances are aligned once
+    return s.select("sample_id", F.transform(by_area, lambda x: x["e"]).alias("gt"), F.transform("pred", inst).alias("pred"), once)
 
 
 @query(f"""
@@ -213,7 +214,7 @@ from walk w join sizes s on s.sample_id = w.sample_id and w.gj = s.n_gt group by
 def oks_prf1(spark, sf_dir: str) -> DataFrame:
     """Instances by falling area, each to the best unused prediction."""
     s = _keypoints(spark, sf_dir)
-    m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: F.round(matching.oks(g["kpts"], p["kpts"], g["area"]), 9))
+    m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: F.round(matching.oks_aligned(g["kpts"], p["kpts"], g["area"]), 9))
     grid = F.array(*[F.lit(t) for t in matching.THRESHOLDS])
     s = s.select(F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), m.alias("m"), F.explode(grid).alias("t")).withColumn("n", matching.n_matched(F.col("m"), F.col("t")))
     p = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("n") / F.col("n_pred"))

@@ -82,7 +82,7 @@ def keypoint_ap_summary(spark, sf_dir: str) -> DataFrame:
 
 def _summary(spark, sf_dir: str) -> DataFrame:
     s = _keypoints(spark, sf_dir)
-    m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: F.round(matching.oks(g["kpts"], p["kpts"], g["area"]), 9))
+    m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: F.round(matching.oks_aligned(g["kpts"], p["kpts"], g["area"]), 9))
     s = s.select("sample_id", F.size("gt").alias("n_gt"), m.alias("m"), F.explode(F.array(F.lit(0))).alias("once"))  # ends the projection
     return s.select("sample_id", *instances.keypoint_summary(F.col("m"), F.col("n_gt")))
 

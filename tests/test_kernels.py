@@ -53,6 +53,18 @@ def test_greedy_takes_the_best_and_may_steal(spark):
     assert one(spark, matching.best_pairs(F.array(arr(0.5, 0.9), arr(0.4, 0.8)))) == [0.9, 0.4]
 
 
+def test_keypoint_similarity_by_name_and_by_place(spark):
+    import math
+
+    k = lambda *ps: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for n, x, y in ps])
+    g, p = k(("a", 0, 0), ("b", 1, 1), ("c", 5, 5)), k(("c", 5, 6), ("a", 0, 0.5))
+    want = (math.exp(-0.25 / (0.00125 * 900)) + math.exp(-1 / (0.00125 * 900))) / 2
+    assert one(spark, matching.oks(g, p, F.lit(900.0))) == pytest.approx(want)
+    at = lambda x: matching.aligned(x, ["a", "b", "c"])
+    assert one(spark, matching.oks_aligned(at(g), at(p), F.lit(900.0))) == pytest.approx(want)
+    assert one(spark, matching.oks(g, k(("z", 0, 0)), F.lit(900.0))) == 0.0
+
+
 SAMPLE = "sample_id int, gt array<struct<cat:string,box:array<double>>>, pred array<struct<cat:string,box:array<double>>>"
 BOX = [0.0, 0.0, 2.0, 2.0]
 
