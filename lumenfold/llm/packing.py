@@ -28,11 +28,13 @@ _STATE: dict = {}
 
 
 def _byte_level() -> list[str]:
-    """The character that stands for each byte in byte-level vocabularies: printable Latin-1
-    bytes stand for themselves, the rest follow from code point 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    shifted = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(shifted)) for b in range(256)]
+    """The character that stands for each byte, by the library's alphabet: a byte whose own character
+    is in it stands for itself, the rest follow in order."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    alphabet = sorted(ByteLevel.alphabet())
+    others = iter([c for c in alphabet if ord(c) > 255])
+    return [chr(b) if chr(b) in alphabet else next(others) for b in range(256)]
 
 
 class WordTokenizer:
@@ -43,15 +45,16 @@ class WordTokenizer:
     each pre-token once; any other word goes through the whole library pipeline.
     """
 
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-
     def __init__(self, path: str) -> None:
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces = regex.compile(self.PIECES).findall
+        steps = json.loads(self.whole.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")).findall
         self.byte_level = {b: c for b, c in zip(range(256), _byte_level(), strict=True)}
         self.known = Generations(CACHE)
 
