@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import boxes
 from ..functions.binding import let
 from .matching import _taken
+from .numbering import in_ranges
 
 #: Fixed values.
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
@@ -84,15 +85,23 @@ def average_precision(matches: DataFrame, npos: DataFrame, thresholds: Sequence[
 
     The readings between two recalls all see the same place, so a place's weight is the number of
     hundredths it covers, in whole numbers. Categories without positives are left out, those
-    without detections score 0.
+    without detections score 0. Running counts and maxima are taken within ranges of a curve and
+    put together from one row a range, so a frequent category is spread over tasks.
     """
     key = ["cat", "area", "iou"]
-    run = Window.partitionBy(*key).orderBy(F.desc("score"), "image", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    order = [F.desc("score"), F.col("image"), F.col("rank")]
+    m = in_ranges(matches.join(npos, ["cat", "area"]), key, order)
+    run = Window.partitionBy(*key, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # from the far end, as a frame that shrinks from the front costs the square of its rows
-    rest = Window.partitionBy(*key).orderBy(F.asc("score"), F.desc("image"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    m = matches.join(npos, ["cat", "area"])
-    m = m.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
-    m = m.withColumn("envelope", F.max(F.col("ctp") / (F.col("ctp") + F.col("cfp"))).over(rest))
+    rest = Window.partitionBy(*key, "__p").orderBy(F.asc("score"), F.desc("image"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*key).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = m.groupBy(*key, "__p").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    sums = sums.select(*key, "__p", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__{c}") for c in ("tp", "fp")])
+    m = m.join(sums, [*key, "__p"]).withColumn("ctp", F.col("__tp") + F.sum("tp").over(run)).withColumn("cfp", F.col("__fp") + F.sum("fp").over(run))
+    m = m.withColumn("precision", F.col("ctp") / (F.col("ctp") + F.col("cfp")))
+    later = m.groupBy(*key, "__p").agg(F.max("precision").alias("top")).select(*key, "__p", F.max("top").over(behind).alias("later"))
+    m = m.withColumn("envelope", F.max("precision").over(rest)).join(later, [*key, "__p"]).withColumn("envelope", F.greatest("envelope", "later"))
     upto = lambda n: F.floor((n * 100 + F.col("npos") - 1) / F.col("npos"))
     m = m.withColumn("share", upto(F.col("ctp")) - upto(F.col("ctp") - F.col("tp")))
     got = m.groupBy(*key).agg((F.sum(F.col("envelope") * F.col("share")) / 101).alias("ap"), (F.max("ctp") / F.max("npos")).alias("recall"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .numbering import dense_ids
+from .numbering import dense_ids, number_within
 
 
 def digest(seed: str | int, *key: Column | str) -> Column:
@@ -53,9 +53,8 @@ def weighted(seed: str | int, weights: Sequence[tuple[str, float]], *key: Column
 def interleaved(df: DataFrame, group: str, weights: dict[str, float], seed: str | int, *key: str) -> DataFrame:
     """Add turn: the place on a clock on which a group of weight w advances by 1 / w a row; ordering by
     (turn, group) merges the groups in proportion to their weights. Groups without weight go."""
-    order = Window.partitionBy(group).orderBy(digest(seed, *key), *key)
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(group)]
-    return df.where(w > 0).withColumn("turn", F.row_number().over(order) / w)
+    return number_within(df.where(w > 0), [group], [digest(seed, *key), *key], "turn").withColumn("turn", F.col("turn") / w)
 
 
 def quotas(df: DataFrame, group: str, weights: dict[str, float], total: int, seed: str | int, *key: str) -> DataFrame:
@@ -63,8 +62,8 @@ def quotas(df: DataFrame, group: str, weights: dict[str, float], total: int, see
     whole = sum(weights.values())
     want = F.create_map(*[F.lit(x) for g, w in weights.items() for x in (g, int(total * w / whole))])
     n = df.groupBy(group).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(group).orderBy(digest(seed, *key), *key)
-    rows = df.join(n, group).withColumn("__want", F.coalesce(want[F.col(group)], F.lit(0))).withColumn("__at", F.row_number().over(order) - 1)
+    rows = number_within(df.join(n, group), [group], [digest(seed, *key), *key], "__at").withColumn("__at", F.col("__at") - 1)
+    rows = rows.withColumn("__want", F.coalesce(want[F.col(group)], F.lit(0)))
     times = F.floor((F.col("__want") - F.col("__at") - 1) / F.col("__n")) + 1
     return rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).drop("__n", "__want", "__at")
 

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..staging import staged
 
 
+def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Add __p, the number of a row's range in the order of `by`, then `order`: a group lies in
+    neighbouring ranges, so that a large one is spread. Written, as ranges are sampled."""
+    return staged(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def number_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add each row's number in its group from 1, in order: numbers within ranges and the sums of the
+    ranges before, so that a group of any size isn't one task's. Null is a group like any other."""
+    ranged = in_ranges(rows, by, order)
+    sizes = ranged.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    same = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    at = F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order))
+    return ranged.join(sizes, same).withColumn(name, F.col("__base") + at).select(*rows.columns, name)
+
+
 def dense_ids(rows: DataFrame, order: str | list[str], start: int = 0, name: str = "id") -> DataFrame:
     """Running ids from `start` in order: rows are dealt out by range and the partitions counted, whose
     sums (one number each) give every partition its first id. The dealt rows are written, as rows

@@ -1,5 +1,7 @@
 """Hand-computed cases of the metric kernels and parsers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,39 @@ def test_umeyama_finds_the_motion(spark):
     p = spark.createDataFrame([(1, float(i), float(i * i % 5), float(i % 3)) for i in range(9)], "seq int, x double, y double, z double")
     m = clouds.umeyama(p.select("*", (-2 * F.col("y") + 1).alias("nx"), (2 * F.col("x") - 1).alias("ny"), (2 * F.col("z") + 0.5).alias("nz"))).first()
     assert m["scale"] == pytest.approx(2) and m["shift"] == pytest.approx([1, -1, 0.5]) and m["rotation"] == pytest.approx([0, -1, 0, 1, 0, 0, 0, 0, 1], abs=1e-9)
+
+
+def test_numbers_and_curves_spread_over_ranges(spark):
+    """A group that holds most rows lies in several ranges; numbers and precision don't show it."""
+    from lumenfold.operators import numbering
+
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in keys}
+    rows = [("hot" if i % 10 else None if i % 20 else "cold", (i * 37) % 400 // 4, i) for i in range(400)]
+    rng = random.Random(5)
+    hits = [("A" if i % 9 else "B", "all", 0.5, i, 1, round(rng.random(), 1), int(rng.random() < 0.6)) for i in range(500)]
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "g string, x int, i int")
+        ranged = numbering.in_ranges(df, ["g"], ["x", "i"])
+        assert ranged.where("g = 'hot'").select("__p").distinct().count() > 1
+        got = {(r.g, r.i): r.at for r in numbering.number_within(df, ["g"], ["x", "i"], "at").collect()}
+        matches = spark.createDataFrame([(*h, 1 - h[-1]) for h in hits], "cat string, area string, iou double, image int, rank int, score double, tp int, fp int")
+        npos = spark.createDataFrame([("A", "all", 400), ("B", "all", 60), ("C", "all", 1)], "cat string, area string, npos long")
+        ap = {r.cat: (r.ap, r.recall) for r in curves.average_precision(matches, npos, (0.5,)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {}
+    for g in ("hot", "cold", None):
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
+            want[g, i] = n
+    assert got == want
+    for cat, positives in (("A", 400), ("B", 60)):
+        tps = [h[-1] for h in sorted((h for h in hits if h[0] == cat), key=lambda h: (-h[5], h[3], h[4]))]
+        upto = [sum(tps[: k + 1]) for k in range(len(tps))]
+        precision = [t / (k + 1) for k, t in enumerate(upto)]
+        seen = [max((p for p, t in zip(precision, upto, strict=True) if 100 * t > q * positives), default=0.0) for q in range(101)]
+        assert ap[cat][0] == pytest.approx(sum(seen) / 101) and ap[cat][1] == pytest.approx(upto[-1] / positives)
+    assert ap["C"] == (0.0, 0.0)
