@@ -13,7 +13,9 @@ from ..staging import staged
 
 def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Add __p, the number of a row's range in the order of `by`, then `order`: a group lies in
-    neighbouring ranges, so that a large one is spread. Written, as ranges are sampled."""
+    neighbouring ranges, so that a large one is spread. Written before, so that sampling for the
+    ranges doesn't compute the rows once more, and after, as ranges are sampled."""
+    rows = staged(rows, "rows")
     return staged(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
 
 
