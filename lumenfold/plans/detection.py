@@ -141,6 +141,24 @@ def det_gt_count_buckets(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_SIZE = "case when (x1 - x0) * (y1 - y0) < 1024 then 'small' when (x1 - x0) * (y1 - y0) < 9216 then 'medium' else 'large' end"
+#: A sample and a size stand for a sample.
+_SIZED = BOXES.replace("\ngt as (", "\ngt0 as (").replace("\npred as (", "\npred0 as (").replace("\ncross_ as (", f"""
+gt as (
+  select sample_id || '/' || size as sample_id, row_number() over (partition by sample_id, size order by gi) as gi, cat, x0, y0, x1, y1
+  from (select *, {_SIZE} as size from gt0)),
+pred as (select sample_id || '/' || {_SIZE} as sample_id, pi, cat, x0, y0, x1, y1 from pred0),
+cross_ as (""")
+
+
+@query(f"""
+with recursive {_SIZED}, {greedy_sql("true", "0.5")},
+every as (select l_orderkey || '/' || size as sample_id, size from (select distinct l_orderkey from lineitem), (select unnest(['small', 'medium', 'large']) as size)),
+lone as (select distinct sample_id from pred)
+select size, round(avg(coalesce(recall, empty)), 6) as recall, round(avg(coalesce(precision, empty)), 6) as precision, count(*) as samples from (
+  select e.size, recall, precision, case when l.sample_id is null then 1.0 else 0.0 end as empty
+  from every e left join counts c on c.sample_id = e.sample_id left join lone l on l.sample_id = e.sample_id) group by 1
+""")
 def det_size_prf1(spark, sf_dir: str) -> DataFrame:
     """Recall and precision by size of box: each size is matched on its own."""
     s = box_samples(spark, sf_dir)
@@ -156,9 +174,6 @@ def _is_size(size: str):
     return lambda e: boxes.size_bucket(boxes.area(e["box"])) == size
 
 
-QUERIES["det_size_prf1"] = det_size_prf1
-
-
 @query(f"""
 with {BOXES}, n as (select sample_id, count(*) as n from pred group by 1),
 d as (
