@@ -3,7 +3,7 @@
 A pack closes when it reaches the soft limit; a sample that would pass the hard limit waits in a
 first-in first-out buffer, which is preferred while the pack is below a threshold; samples above
 their own limit are dropped. Each pack starts with one sample of every mandatory group. The order
-within a shard is inherent, so a shard is the unit of work; shards are bounded by their number.
+within a shard is inherent, so a shard is the unit of work; shards become more with the samples, not larger.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from .mixture import digest
 
+#: Samples of a shard, about: key, tokens and group of one fit in a task's memory many times over.
+SHARD_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -91,13 +94,20 @@ class Packer:
             yield self._close()
 
 
-def pack(samples: DataFrame, shards: int, seed: str | int, limits: Limits = Limits(), mandatory: Iterable[str] = ()) -> DataFrame:
+def shards_for(samples: DataFrame, least: int = 8) -> int:
+    """Shards of about SHARD_ROWS samples, so that their number, not their size, grows with the data."""
+    return max(least, -(-samples.count() // SHARD_ROWS))
+
+
+def pack(samples: DataFrame, shards: int | None, seed: str | int, limits: Limits = Limits(), mandatory: Iterable[str] = ()) -> DataFrame:
     """Rows (shard, pack, at, key, tokens, grp): the samples of each pack in order.
 
-    samples: key, tokens, grp. Nothing is lost but samples above the limit of one sample.
+    samples: key, tokens, grp. Nothing is lost but samples above the limit of one sample. Without
+    a number of shards it follows from the samples.
     """
     import pandas as pd
 
+    shards = shards_for(samples) if shards is None else shards
     ship(samples.sparkSession)
     wanted = tuple(mandatory)
     rows = samples.select("key", "tokens", "grp", digest(seed, "key").alias("h"))

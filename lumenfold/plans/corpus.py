@@ -277,18 +277,18 @@ def _samples(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def pack_tokens(spark, sf_dir: str) -> DataFrame:
-    return packing.assembled(packing.pack(_samples(spark, sf_dir), 8, 5, mandatory=("src3",)))
+    return packing.assembled(packing.pack(_samples(spark, sf_dir), None, 5, mandatory=("src3",)))
 
 
 @query()
 def pack_lineage(spark, sf_dir: str) -> DataFrame:
-    return packing.lineage(packing.pack(_samples(spark, sf_dir), 8, 5, mandatory=("src3",)))
+    return packing.lineage(packing.pack(_samples(spark, sf_dir), None, 5, mandatory=("src3",)))
 
 
 @query("select doc_id as key, n_chars as tokens, source as grp from documents where coalesce(n_chars, 0) <= 24064")
 def pack_keys(spark, sf_dir: str) -> DataFrame:
     """Every sample lies in exactly one pack."""
-    return packing.pack(_samples(spark, sf_dir), 8, 5, mandatory=("src3",)).select("key", "tokens", "grp")
+    return packing.pack(_samples(spark, sf_dir), None, 5, mandatory=("src3",)).select("key", "tokens", "grp")
 
 
 @query("select doc_id, n_chars from documents where n_chars <= 24064")

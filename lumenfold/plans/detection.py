@@ -161,19 +161,14 @@ select size, round(avg(coalesce(recall, empty)), 6) as recall, round(avg(coalesc
 """)
 def det_size_prf1(spark, sf_dir: str) -> DataFrame:
     """Recall and precision by size of box: each size is matched on its own."""
-    s = box_samples(spark, sf_dir)
-    parts = []
-    for size in ("small", "medium", "large"):
-        p = s.select("sample_id", *[F.filter(c, _is_size(size)).alias(c) for c in ("gt", "pred")])
-        parts.append(matching.detection_counts(p, (0.5,), "referring").withColumn("size", F.lit(size)))
-    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    sizes = F.explode(F.array(*[F.lit(x) for x in ("small", "medium", "large")]))
+    s = box_samples(spark, sf_dir).withColumn("size", sizes)
+    of_size = lambda e: boxes.size_bucket(boxes.area(e["box"])) == F.col("size")
+    s = s.select("sample_id", "size", *[F.filter(c, of_size).alias(c) for c in ("gt", "pred")])
+    rows = matching.detection_counts(s, (0.5,), "referring", keep=("sample_id", "size"))
     return rows.groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.count("*").alias("samples"))
 
 
-def _is_size(size: str):
-    return lambda e: boxes.size_bucket(boxes.area(e["box"])) == size
-
-
 @query(f"""
 with {BOXES}, n as (select sample_id, count(*) as n from pred group by 1),
 d as (

@@ -240,3 +240,8 @@ def test_numbers_and_curves_spread_over_ranges(spark):
         seen = [max((p for p, t in zip(precision, upto, strict=True) if 100 * t > q * positives), default=0.0) for q in range(101)]
         assert ap[cat][0] == pytest.approx(sum(seen) / 101) and ap[cat][1] == pytest.approx(upto[-1] / positives)
     assert ap["C"] == (0.0, 0.0)
+
+
+def test_shards_grow_with_the_samples(spark):
+    assert packing.shards_for(spark.range(0)) == packing.shards_for(spark.range(8 * packing.SHARD_ROWS)) == 8
+    assert packing.shards_for(spark.range(8 * packing.SHARD_ROWS + 1)) == 9
