@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .chat import OP2_SQL, op2_chat_formatting
+from .codes import OP11_SQL, op11_vector_codes
 from .langid import op1_language_id
 from .lines import op4_line_dedup
 from .packing import op6_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
 }
 
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_vector_codes": OP11_SQL}
