@@ -10,6 +10,7 @@ from .lines import op4_line_dedup
 from .packing import op6_packing
 from .quality import op10_quality_classifier
 from .simhash import op8_simhash_dedup
+from .spelling import OP12_SQL, op12_spelling_variants
 from .tokenfiles import op13_token_files
 from .topk import OP9_SQL, op9_exact_topk
 from .urls import OP5_SQL, op5_url_filter
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_files": op13_token_files,
 }
 
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_vector_codes": OP11_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op9_exact_topk": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_spelling_variants": OP12_SQL}
