@@ -295,7 +295,7 @@ def test_distrust_runs_against_the_links(spark):
         (4, "http://near.info/", link("far.info")), (5, "http://far.info/", None), (6, "http://sink.info/", None), (7, "http://farm.info/", link("spam.info")),
     ]
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in urls.judge_urls(d, threshold=1e-9).collect()}
+    got = {r["page_id"]: r for r in urls.judge_urls(d).collect()}
     assert {k for k, r in got.items() if r["verdict"] == "block"} == {2, 3, 7}
     # brute force over a dense matrix
     hosts = ["good.org", "bad.net", "spam.info", "near.info", "far.info", "sink.info", "farm.info"]
@@ -303,11 +303,11 @@ def test_distrust_runs_against_the_links(spark):
     for a, b, n in ((0, 3, 2), (1, 5, 1), (2, 1, 2), (2, 3, 1), (3, 4, 1), (6, 2, 1)):
         w[a, b] = n
     for m, seed, column in ((w, 0, "trust"), (w.T, 1, "distrust")):
-        share = np.divide(m, m.sum(1, keepdims=True), where=m.sum(1, keepdims=True) > 0, out=np.zeros_like(m))
+        share = np.divide(m, m.sum(0, keepdims=True), where=m.sum(0, keepdims=True) > 0, out=np.zeros_like(m))
         s0 = np.eye(7)[seed]
         s = s0.copy()
         for _ in range(urls.ROUNDS):
-            s = 0.15 * s0 + 0.85 * s @ share
+            s = s0 + 0.85 * s @ share
         for p, u, _ in pages:
             assert got[p][column] == pytest.approx(s[hosts.index(u.split("/")[2])], abs=1e-12)
 
@@ -318,11 +318,32 @@ def test_copies_of_a_graph_give_the_same_verdicts(spark):
     verdicts = {}
     for copies in (1, 60):
         rows = [(i, *p) for i, p in enumerate(p for c in range(copies) for p in graph(c))]
-        out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), threshold=0.05).collect()
+        out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         verdicts[copies] = [r["verdict"] for r in sorted(out, key=lambda r: r["page_id"])]
     assert verdicts[60] == verdicts[1] * 60 and verdicts[1] == ["block", "block", "block", "allow"]
 
 
+def test_verdicts_depend_neither_on_degree_nor_on_unrelated_seeds(spark, monkeypatch):
+    """Blocked hosts with 10 to 300,000 hosts that link to them, half of these to a clean one as
+    often and nine of ten links of a tenth going there, beside 20,000 blocked hosts of no concern."""
+    monkeypatch.setattr(urls, "HUB", 5000)
+    link = lambda h: F.concat(F.lit('<a href="http://'), h, F.lit('/">x</a>'))
+    parts = []
+    for n, k in enumerate((10, 1000, 300_000)):
+        bad, clean = F.lit(f"bad{n}.net"), F.lit(f"clean{n}.info")
+        html = F.when(F.col("id") % 10 == 0, F.concat(link(bad), F.repeat(link(clean), 9))).when(F.col("id") % 2 == 0, F.concat(link(bad), link(clean))).otherwise(link(bad))
+        parts.append(spark.range(k).select((F.lit(n * 10**7) + F.col("id")).alias("page_id"), F.concat(F.lit(f"http://l{n}-"), F.col("id"), F.lit(".info/")).alias("url"), html.alias("html")))
+        parts.append(spark.range(1).select((F.lit(n * 10**7 + 10**6)).alias("page_id"), F.lit(f"http://bad{n}.net/").alias("url"), F.lit("").alias("html")))
+    parts.append(spark.range(20_000).select((F.lit(9 * 10**7) + F.col("id")).alias("page_id"), F.concat(F.lit("http://other"), F.col("id"), F.lit(".net/")).alias("url"), F.lit("").alias("html")))
+    pages = parts[0]
+    for p in parts[1:]:
+        pages = pages.unionAll(p)
+    out = urls.judge_urls(pages, rounds=3)
+    got = out.where("host like 'l%'").groupBy(F.substring("host", 1, 2).alias("g"), F.pmod("page_id", F.lit(10)).isin(0).alias("tenth"), "verdict").agg(F.count("*").alias("n"), F.min("distrust").alias("lo"), F.max("distrust").alias("hi")).collect()
+    assert {(r["g"], r["tenth"], r["verdict"]) for r in got} == {(f"l{n}", t, "allow" if t else "block") for n in range(3) for t in (True, False)}
+    assert {(r["lo"], r["hi"]) for r in got if not r["tenth"]} == {(0.425, 0.85)} and {round(r["hi"], 9) for r in got if r["tenth"]} == {0.085}
+
+
 # ---- embeddings
 
 
