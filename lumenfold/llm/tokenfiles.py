@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ from .common import Generations, discard, materialize, regrouped, relax, ship, s
 
 EOS = 2
 #: Frequencies sum to 2 to this power; ids of a block, from which on it is closed; its lanes at most; steps from checkpoint to checkpoint.
-PRECISION, BLOCK_IDS, LANES, STRIDE = 20, 1 << 18, 256, 256
+PRECISION, BLOCK_IDS, LANES, STRIDE = 20, 1 << 19, 1024, 256
 #: Words whose ids a worker keeps, bytes of text handled at once.
-KEEP, SLICE_BYTES = 400_000, 4_000_000
+KEEP, SLICE_BYTES = 400_000, 5_000_000
+#: Units that the library gets as one text; marks that are cut from words.
+JOINED, MARKS = 64, ".,;:!?"
 
 MAGIC, VERSION = b"LFTK", 1
 MISSING = "an id that the table of frequencies doesn't have"
@@ -79,20 +82,59 @@ class ByteTokenizer:
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and told["normalizer"] is None
         self.specials = [t["content"] for t in told["added_tokens"]]
         self.units = regex.compile(f"(?<=[^{self.SPACES}])(?= )", regex.V1).split
+        self.spaced = np.zeros(max(self.whole.get_vocab().values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in self.whole.get_vocab().items() if t.startswith("\u0120")]] = True  # a space, byte-level
         self.known = Generations(KEEP)
 
+    def _coded(self, units: list[str]) -> list[bytes]:
+        """Ids of units, all by the library. Those that start with their only space and don't end in
+        white space are put in a row and cut again where an id's token starts with a space."""
+        out: list[bytes] = [b""] * len(units)
+        row = [k for k, u in enumerate(units) if u[:1] == " " and not u[-1:].isspace() and " " not in u[1:]]
+        texts = ["".join(units[k] for k in row[at : at + JOINED]) for at in range(0, len(row), JOINED)]
+        if row:
+            ids = np.array(list(chain.from_iterable(e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(row):
+                raise ValueError("the tokenizer doesn't cut at spaces")
+            raw, ends = ids.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(ids)]
+            for k, i, j in zip(row, (4 * begins).tolist(), ends, strict=True):
+                out[k] = raw[i:j]
+        taken = set(row)
+        rest = [k for k in range(len(units)) if k not in taken]
+        for k, e in zip(rest, self.whole.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def _ids(self, units: list[str]) -> list[bytes]:
-        """Of each unit, by the library where it isn't known."""
-        self.known.turn()
-        out = [self.known.get(u) for u in units]
+        """Of distinct units, remembered."""
+        fresh, stale = self.known.fresh, self.known.stale
+        out = list(map(fresh.get, units))
         missing = [k for k, got in enumerate(out) if got is None]
-        for k, e in zip(missing, self.whole.encode_batch([units[k] for k in missing], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4").tobytes()
-            self.known.put(units[k], out[k])
+        old = list(map(stale.get, [units[k] for k in missing]))
+        new = [units[k] for k, got in zip(missing, old, strict=True) if got is None]
+        coded = iter(self._coded(new))
+        for k, got in zip(missing, old, strict=True):
+            out[k] = fresh[units[k]] = next(coded) if got is None else got
         return out
 
+    def _words(self, words: pa.Array, lead: str) -> pa.Array:
+        """Ids of words behind `lead`. Marks behind a letter are coded apart, as no token spans the two."""
+        stems = pc.utf8_rtrim(words, MARKS)
+        cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, r"\p{L}\z"))
+        marks = pc.replace_substring_regex(words.filter(cut), f"(?s)^.*[^{MARKS}]", "")
+        ids = self._of(pc.if_else(cut, stems, words), lead)
+        at = np.cumsum(np.asarray(cut)) - 1
+        behind = self._of(marks, "").take(pa.array(at, mask=~np.asarray(cut)))
+        return pc.if_else(cut, pc.binary_join_element_wise(ids, pc.fill_null(behind, b""), b""), ids)
+
+    def _of(self, words: pa.Array, lead: str) -> pa.Array:
+        d = words.dictionary_encode()
+        return pa.array(self._ids([lead + x for x in d.dictionary.to_pylist()]), pa.binary()).take(d.indices)
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """Little-endian unsigned 32-bit ids of each text; null: none."""
+        self.known.turn()
         texts = pc.fill_null(texts, "")
         whole, odd = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         for s in self.specials:
@@ -106,13 +148,13 @@ class ByteTokenizer:
         split = pc.split_pattern(plain, " ")
         offsets = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         index = np.asarray(coded.indices).astype(np.int64)
         # a text's first word has no space before it
         first = offsets[:-1] - offsets[0]
         heads, place = np.unique(index[first], return_inverse=True)
         index[first] = len(words) + place
-        ids = pa.array(self._ids([" " + w for w in words]) + self._ids([words[k] for k in heads]), pa.binary())
+        ids = pa.concat_arrays([self._words(words, " "), self._words(words.take(pa.array(heads)), "")])
         out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids.take(pa.array(index))), b"")
         if not len(apart):
             return out
@@ -168,7 +210,12 @@ def tokens(docs: DataFrame, tokenizer_path: str, eos: int = EOS) -> DataFrame:
 
 
 def _joined_ids(b: pa.RecordBatch) -> np.ndarray:
-    parts = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(b.column("ids").to_pylist(), b.column("width").to_pylist(), strict=True)]
+    """The ids of a batch's rows in a row."""
+    widths, ids = np.unique(np.asarray(b.column("width"))), b.column("ids")
+    if len(widths) == 1:
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        return np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(f"<u{widths[0]}")
+    parts = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(ids.to_pylist(), b.column("width").to_pylist(), strict=True)]
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
@@ -379,7 +426,7 @@ def write_tokens(coded: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> Non
 
         def block() -> pa.RecordBatch:
             b = pa.concat_batches(held)
-            ids, start = _joined_ids(b), b.column("start")[0].as_py()
+            ids, start = _joined_ids(b).astype("<u4"), b.column("start")[0].as_py()
             list_of = lambda c, kind: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c).cast(kind))
             return pa.RecordBatch.from_arrays(
                 [pa.array([start]), pa.array([len(ids)], pa.int64()), list_of("doc_id", b.column("doc_id").type), list_of("n", pa.int64()), pa.array([encode_block(ids, start, table)], pa.binary())],
