@@ -63,6 +63,22 @@ def colours(c: Column) -> Column:
     return F.transform(zipped, lambda z: F.struct(F.trim(z["p"]).alias("phrase"), *[z[n].cast("int").alias(n) for n in "rgb"]))
 
 
+def coloured_spans(c: Column) -> Column:
+    """(phrase, r, g, b) of each `<p>phrase<color>(r, g, b)</color></p>`, in order, repeats kept."""
+    colour = ",".join([r"\s*([0-9]+)\s*"] * 3)
+    pattern = rf"(?is)<p>(.*?)<color>\s*\({colour}\)\s*</color>\s*</p>"
+    part = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in range(1, 5)]
+    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(part, "prgb", strict=True)])
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)<.*?>", ""), r"^\s+|\s+$", "")
+    return F.transform(zipped, lambda z: F.struct(bare(z["p"]).alias("phrase"), *[z[n].cast("int").alias(n) for n in "rgb"]))
+
+
+def tagged_phrases(c: Column) -> Column:
+    """Phrases of <p>...</p> without a colour, tags gone and white space collapsed, in order."""
+    found = F.filter(F.regexp_extract_all(c, F.lit(r"(?is)<p>(.*?)</p>"), F.lit(1)), lambda p: ~F.contains(F.lower(p), F.lit("<color>")))
+    return F.transform(found, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?s)<.*?>", ""), r"\s+", " ")))
+
+
 def id_of_rgb(r: Column, g: Column, b: Column) -> Column:
     return r.cast("long") + 256 * g + 65536 * b
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, detection, extra, more, scoring, shapes, streams
+from . import assembly, corpus, detection, extra, more, scoring, shapes, streams
 
 FLAGSHIP = "det_prf1_multi_iou"
-MODULES = (detection, scoring, corpus, shapes, extra, more, streams)
+MODULES = (detection, scoring, corpus, shapes, extra, more, streams, assembly)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
