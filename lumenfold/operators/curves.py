@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +39,14 @@ def _fold(options: Column, threshold: Column) -> Column:
 
 def match_detections(
     truths: DataFrame, detections: DataFrame, thresholds: Sequence[float] = THRESHOLDS, areas: Sequence[str] = ("all",), top: int | None = 100,
+    overlap: Callable[[Column, Column, Column], Column] = boxes.crowd_iou, size: Callable[[Column], Column] = boxes.area,
 ) -> DataFrame:
     """Rows of matching: (cat, area, iou, image, rank, score, tp, fp) for each detection that counts.
 
     truths: image, cat, pos, box, crowd, ignore. detections: image, cat, pos, box, score, skip (true
     where an unmatched detection isn't held against the model). The `top` detections by score of
     an image and category count (None: all), ties by pos. Overlaps are computed once for all thresholds.
+    Instead of a box, box may hold anything of which `overlap` and `size` tell the overlap and area.
     """
     order = Window.partitionBy("image", "cat").orderBy(F.desc("score"), "pos", "box")
     kept = detections.withColumn("rank", F.row_number().over(order))
@@ -55,9 +57,9 @@ def match_detections(
     rows = rows.withColumn("gt", F.coalesce("gt", F.array().cast(g.schema["gt"].dataType)))
     # each explode ends a projection, so that what stands before it is computed once for all thresholds
     spans = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(AREAS[n][0]).alias("lo"), F.lit(AREAS[n][1]).alias("hi")) for n in areas])
-    rows = rows.withColumn("ious", F.transform("dt", lambda x: F.transform("gt", lambda y: boxes.crowd_iou(x["box"], y["box"], y["crowd"]))))
+    rows = rows.withColumn("ious", F.transform("dt", lambda x: F.transform("gt", lambda y: overlap(x["box"], y["box"], y["crowd"]))))
     rows = rows.withColumn("a", F.explode(spans))
-    outside = lambda b: (boxes.area(b) < F.col("a.lo")) | (boxes.area(b) > F.col("a.hi"))
+    outside = lambda b: (size(b) < F.col("a.lo")) | (size(b) > F.col("a.hi"))
     rows = rows.withColumn("ign", F.transform("gt", lambda y: y["ignore"] | outside(y["box"])))
     options = F.transform(
         "ious", lambda row: F.zip_with(row, F.arrays_zip("gt", "ign"), lambda v, z: F.named_struct(F.lit("v"), v, F.lit("counted"), ~z["ign"], F.lit("crowd"), z["gt"]["crowd"]))
@@ -72,9 +74,9 @@ def match_detections(
     )
 
 
-def positives(truths: DataFrame, areas: Sequence[str] = ("all",)) -> DataFrame:
+def positives(truths: DataFrame, areas: Sequence[str] = ("all",), size: Callable[[Column], Column] = boxes.area) -> DataFrame:
     """(cat, area, npos): truths that count."""
-    rows = truths.where(~F.col("ignore")).withColumn("__a", boxes.area(F.col("box")))
+    rows = truths.where(~F.col("ignore")).withColumn("__a", size(F.col("box")))
     cells = F.array(*[F.when(F.col("__a").between(*AREAS[a]), F.lit(a)) for a in areas])
     return rows.select("cat", F.explode(F.array_compact(cells)).alias("area")).groupBy("cat", "area").agg(F.count("*").alias("npos"))
 

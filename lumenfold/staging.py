@@ -26,8 +26,29 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back. What dropped() doesn't delete before is deleted
+    when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenfold_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of staged() that no later step reads; another frame is left alone."""
+    path = getattr(df, "_lumenfold_path", None)
+    if path is not None:
+        target, files = _path(df.sparkSession, path)
+        files.delete(target, True)
+        files.cancelDeleteOnExit(target)
