@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import dropped, folder, staged
 
 __all__ = ["Generations", "crc_mod", "discard", "hash_unit", "materialize", "regrouped", "relax", "ship", "sifted", "small_batches", "table", "work_dir"]
 
 #: Bits of the bitmap that sifts rows before a join, as a power of two: 2 MB, in 262,144 rows.
 BITMAP = 24
 
-_OWN_DIR: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's own reader."""
@@ -27,44 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is
-    unset, one of our own. On a cluster a folder of the driver's own would not do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lumenfold-"))
-        atexit.register(_remove_own)
-    return _OWN_DIR[0]
-
-
-def _remove_own() -> None:
-    import shutil
-
-    shutil.rmtree(_OWN_DIR[0].removeprefix("file://"), ignore_errors=True)
+    """The folder that driver and executors share."""
+    return folder(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, so a lost
-    executor costs a reread and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lumenfold_path = path
-    return out
+    executor costs a reread and not a recomputation. Deleted by discard(), or as the driver ends."""
+    return staged(df, label)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later step reads."""
-    path = getattr(df, "_lumenfold_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    dropped(df)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -125,6 +125,15 @@ def test_planted_copies_are_grouped_as_by_brute_force(spark):
     assert len({parts.get(s, s) for s in names.values()}) == len(got)
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    rows = [(i, f"some text of its own {'abcdefghij'[i]} and more words" if i < 10 else "some text of its own c and more words") for i in range(12)] + [(20, ""), (21, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in simhash.one_of_each(d).collect())
+    monkeypatch.setattr(jaccard, "_name", lambda text: F.pmod(F.length(text), F.lit(2)).cast("long"))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(d).collect()) == want
+    assert 2 in want and 10 not in want and len(want) == 11
+
+
 def test_what_near_sets_join_matches_brute_force():
     rng = np.random.default_rng(13)
     base = [rng.choice(4000, 60, replace=False) for _ in range(3)]
