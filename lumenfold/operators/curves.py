@@ -120,6 +120,23 @@ def federated(detections: DataFrame, truths: DataFrame, negatives: DataFrame, pa
     return kept.join(partial.select("image", "cat", F.lit(True).alias("__p")).distinct(), ["image", "cat"], "left").withColumn("skip", F.col("skip") | F.coalesce("__p", F.lit(False))).drop("__p")
 
 
+def summary(matches: DataFrame, npos: DataFrame, ranks: Sequence[int] = (1, 10, 100)) -> DataFrame:
+    """One row of the twelve summary figures over AREAS and THRESHOLDS: means over categories and
+    thresholds of the precision (ap, ap50, ap75, and ap_small, ap_medium, ap_large) and of the
+    recall by the first `ranks` detections of an image and category, and by area."""
+    ap = average_precision(matches, npos)
+    at = lambda area, c, t=None: F.avg(F.when((F.col("area") == area) & (F.col("iou") == t if t else F.lit(True)), F.col(c)))
+    whole = ap.agg(
+        at("all", "ap").alias("ap"), at("all", "ap", 0.5).alias("ap50"), at("all", "ap", 0.75).alias("ap75"),
+        *[at(a, "ap").alias(f"ap_{a}") for a in AREAS if a != "all"], *[at(a, "recall").alias(f"ar_{a}") for a in AREAS if a != "all"],
+    )
+    # the matches of the first detections don't depend on later ones, so a recall is a sum
+    hits = matches.where("area = 'all'").groupBy("cat", "iou").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("tp")).otherwise(0)).alias(f"n{k}") for k in ranks])
+    grid = npos.where("area = 'all'").withColumn("iou", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS])))
+    recall = grid.join(hits, ["cat", "iou"], "left").agg(*[F.avg(F.coalesce(F.col(f"n{k}") / F.col("npos"), F.lit(0.0))).alias(f"ar{k}") for k in ranks])
+    return whole.crossJoin(recall)  # one row each
+
+
 def positive_mean(x: Column) -> Column:
     """Mean of the values above 0; 0 if none."""
     return F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
-from ..operators import clouds, curves, dense, segments
+from ..operators import clouds, curves, dense, router, segments
 from .common import BOXES, box_rows, table
 
 QUERIES: dict = {}
@@ -88,7 +88,45 @@ def ap101_per_category(spark, sf_dir: str) -> DataFrame:
     return _ap(spark, sf_dir).select("cat", "iou", F.round("ap", 6).alias("ap"), F.round("recall", 6).alias("recall"))
 
 
-@query()
+_AP12 = f"""
+with recursive {BOXES},
+det as (select *, (x1 - x0) * (y1 - y0) as da, row_number() over (partition by sample_id, cat order by score desc, pos, pi) as di from pred),
+dn as (select sample_id, cat, count(*) as n from det group by all),
+tgt as (select *, (x1 - x0) * (y1 - y0) as ga, row_number() over (partition by sample_id, cat order by gi) as ci from gt),
+ov as (
+  select d.sample_id, d.cat, d.di, t.ci, ga, da, greatest(least(t.x1, d.x1) - greatest(t.x0, d.x0), 0) * greatest(least(t.y1, d.y1) - greatest(t.y0, d.y0), 0) as inter
+  from det d join tgt t on t.sample_id = d.sample_id and t.cat = d.cat),
+cand as (select sample_id, cat, di, ci, ga, inter / (ga + da - inter) as iou from ov where inter > 0),
+thr as (select unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::double as thr),
+areas as (select * from (values ('all', 0, 1e10), ('small', 0, 1024), ('medium', 1024, 9216), ('large', 9216, 1e10)) t(area, lo, hi)),
+walk as (
+  select sample_id, cat, thr, area, lo, hi, 0::bigint as di, []::bigint[] as used, -1::bigint as got, false as counted from dn, thr, areas
+  union all
+  select w.sample_id, w.cat, w.thr, area, lo, hi, w.di + 1, case when b.ci is null then w.used else list_append(w.used, b.ci) end, coalesce(b.ci, -1), coalesce(b.counted, false)
+  from walk w join dn on dn.sample_id = w.sample_id and dn.cat = w.cat and w.di < dn.n
+  left join lateral (
+    select c.ci, c.ga between w.lo and w.hi as counted from cand c
+    where c.sample_id = w.sample_id and c.cat = w.cat and c.di = w.di + 1 and c.iou >= w.thr and not list_contains(w.used, c.ci)
+    order by (c.ga between w.lo and w.hi) desc, c.iou desc, c.ci desc limit 1) b on true),
+npos as (select cat, area, count(*) as npos from tgt, areas where ga between lo and hi group by all),
+m as (
+  select w.cat, w.area, w.thr as iou, d.score, w.sample_id, w.di, (got >= 0)::int as tp from walk w join det d on d.sample_id = w.sample_id and d.cat = w.cat and d.di = w.di
+  where case when got >= 0 then counted else da between lo and hi end),
+c as (
+  select *, sum(tp) over (partition by cat, area, iou order by score desc, sample_id, di rows unbounded preceding) as ctp,
+    count(*) over (partition by cat, area, iou order by score desc, sample_id, di rows unbounded preceding) as cn from m),
+e as (
+  select c.*, npos, max(ctp / cn) over (partition by c.cat, c.area, iou order by score desc, sample_id, di rows between current row and unbounded following) as env
+  from c join npos using (cat, area)),
+s as (select cat, area, iou, sum(env * (ceil(ctp * 100 / npos) - ceil((ctp - tp) * 100 / npos))) / 101 as ap, max(ctp) / max(npos) as recall from e group by all),
+ap as (select n.cat, n.area, thr as iou, npos, coalesce(ap, 0) as ap, coalesce(recall, 0) as recall from npos n cross join thr left join s on s.cat = n.cat and s.area = n.area and s.iou = thr)
+"""
+
+
+@query(_AP12 + """,
+p as (select area, coalesce(avg(ap) filter (where ap > 0), 0) as ap, coalesce(avg(ap) filter (where ap > 0 and iou = 0.5), 0) as ap50, coalesce(avg(ap) filter (where ap > 0 and iou = 0.75), 0) as ap75, coalesce(avg(recall) filter (where recall > 0), 0) as ar from ap group by area)
+select area, round(ap, 6) as ap, round(ap50, 6) as ap50, round(ap75, 6) as ap75, round(ar, 6) as ar, case when ap + ar > 0 then round(2 * ap * ar / (ap + ar), 6) else 0.0 end as f1 from p
+""")
 def ap_summary12(spark, sf_dir: str) -> DataFrame:
     """Mean precision and recall by area, at 0.5 and 0.75, and the F1 of the positive means."""
     ap = _ap(spark, sf_dir, curves.THRESHOLDS, tuple(curves.AREAS))
@@ -99,6 +137,38 @@ def ap_summary12(spark, sf_dir: str) -> DataFrame:
     return out.select("area", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75", "ar")], F.round(f, 6).alias("f1"))
 
 
+@query(_AP12 + """,
+k as (select cat, iou, sum(tp) filter (where di <= 1) as n1, sum(tp) filter (where di <= 2) as n2, sum(tp) filter (where di <= 100) as n100 from m where area = 'all' group by all),
+r as (select avg(coalesce(n1 / npos, 0)) as ar1, avg(coalesce(n2 / npos, 0)) as ar2, avg(coalesce(n100 / npos, 0)) as ar100 from ap left join k using (cat, iou) where area = 'all'),
+a as (
+  select avg(ap) filter (where area = 'all') as ap, avg(ap) filter (where area = 'all' and iou = 0.5) as ap50, avg(ap) filter (where area = 'all' and iou = 0.75) as ap75,
+    avg(ap) filter (where area = 'small') as ap_small, avg(ap) filter (where area = 'medium') as ap_medium, avg(ap) filter (where area = 'large') as ap_large,
+    avg(recall) filter (where area = 'small') as ar_small, avg(recall) filter (where area = 'medium') as ar_medium, avg(recall) filter (where area = 'large') as ar_large from ap)
+select round(columns(*), 6) from a, r
+""")
+def ap_summary_by_rank(spark, sf_dir: str) -> DataFrame:
+    """The twelve summary figures, recall by the first, the first two and the first hundred detections (an image has few)."""
+    t = _truths(spark, sf_dir)
+    areas = tuple(curves.AREAS)
+    out = curves.summary(curves.match_detections(t, _detections(spark, sf_dir), areas=areas), curves.positives(t, areas), (1, 2, 100))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(_AP12.replace("l_returnflag as cat,", "l_returnflag as flag, '' as cat,").replace("from rows_ where cat <> 'R'", "from rows_ where flag <> 'R'") + """,
+k as (select cat, iou, sum(tp) filter (where di <= 1) as n1, sum(tp) filter (where di <= 10) as n10, sum(tp) filter (where di <= 100) as n100 from m where area = 'all' group by all),
+r as (select avg(coalesce(n1 / npos, 0)) as ar1, avg(coalesce(n10 / npos, 0)) as ar10, avg(coalesce(n100 / npos, 0)) as ar100 from ap left join k using (cat, iou) where area = 'all'),
+a as (
+  select avg(ap) filter (where area = 'all') as ap, avg(ap) filter (where area = 'all' and iou = 0.5) as ap50, avg(ap) filter (where area = 'all' and iou = 0.75) as ap75,
+    avg(ap) filter (where area = 'small') as ap_small, avg(ap) filter (where area = 'medium') as ap_medium, avg(ap) filter (where area = 'large') as ap_large,
+    avg(recall) filter (where area = 'small') as ar_small, avg(recall) filter (where area = 'medium') as ar_medium, avg(recall) filter (where area = 'large') as ar_large from ap)
+select round(columns(*), 6) from a, r
+""")
+def evaluate_agnostic(spark, sf_dir: str) -> DataFrame:
+    """The twelve figures without categories, by the one entry point."""
+    out = router.evaluate(_truths(spark, sf_dir), _detections(spark, sf_dir), agnostic=True)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 @query(_AP.replace("from rows_ where cat <> 'R'", "from rows_ where cat <> 'R' and (sample_id % 3 <> 0 or cat = 'A')") + "select n.cat, t.thr as iou, round(coalesce(ap, 0), 6) as ap from npos n cross join thr t left join s on s.cat = n.cat and s.iou = t.thr")
 def lvis_federated_ap(spark, sf_dir: str) -> DataFrame:
     """Images divisible by three are labelled for category A alone: other detections there don't count. All detections of an image are matched."""
