@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import boxes, text
 from ..operators.numbering import dense_ids
@@ -166,67 +165,6 @@ def append_numbered(rows: DataFrame, path: str, order: str) -> None:
     dense_ids(rows, order, start).write.mode("append").json(path)
 
 
-class JsonArray(DataSource):
-    """format("json_array"): the elements of one named array in huge JSON objects, read in chunks.
-
-    Options: path (a glob), key (the array's name; none: the document is the array). Each file is
-    a partition; rows are (src, pos, value), value being the element's JSON text. Files must be
-    readable by the executors' own file system calls.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "json_array"
-
-    def schema(self) -> str:
-        return "src string, pos bigint, value string"
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _JsonArrayReader(self.options)
-
-
-class _JsonArrayReader(DataSourceReader):
-    CHUNK = 1 << 20
-
-    def __init__(self, options: dict) -> None:
-        self.path, self.key = options["path"], options.get("key")
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
-
-    def read(self, partition: InputPartition):  # noqa: ANN201
-        import json
-
-        decoder, pos, buffer = json.JSONDecoder(), 0, ""
-        with open(partition.value, encoding="utf-8") as f:
-            mark = f'"{self.key}"' if self.key else "["
-            while mark not in buffer or (self.key and "[" not in buffer[buffer.index(mark) :]):
-                more = f.read(self.CHUNK)
-                if not more:
-                    return
-                buffer = buffer[-len(mark) :] + more if mark not in buffer else buffer + more
-            at = buffer.index(mark)
-            buffer = buffer[buffer.index("[", at) + 1 :]
-            while True:
-                buffer = buffer.lstrip(" \t\r\n,")
-                if buffer.startswith("]"):
-                    return
-                try:
-                    _, end = decoder.raw_decode(buffer)
-                    if end == len(buffer) and not buffer.endswith(("}", "]", '"')):
-                        raise ValueError
-                except ValueError:
-                    more = f.read(self.CHUNK)
-                    if not more:
-                        return
-                    buffer += more
-                    continue
-                yield (partition.value, pos, buffer[:end])
-                buffer, pos = buffer[end:], pos + 1
-
-
 #: Box sources by name.
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "coco": lambda spark, path: coco_boxes(coco_tables(read_document(spark, path, COCO))),

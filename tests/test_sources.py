@@ -42,13 +42,6 @@ def test_yolo_and_labelme(spark, tmp_path):
     assert records.labelme_boxes(spark, str(tmp_path / "l.json")).first()["bbox"] == [1, 1, 3, 4]
 
 
-def test_named_array_in_a_large_document(spark, tmp_path):
-    (tmp_path / "big.json").write_text(json.dumps({"info": {"annotations": 1}, **COCO, "annotations": [{"id": i, "x": "]" * (i % 3)} for i in range(500)]}).replace('"info": {"annotations": 1}, ', ""))
-    spark.dataSource.register(records.JsonArray)
-    got = spark.read.format("json_array").option("path", str(tmp_path / "*.json")).option("key", "annotations").load()
-    assert [json.loads(r["value"])["id"] for r in got.orderBy("pos").collect()] == list(range(500))
-
-
 def test_checked_write_and_numbered_append(spark, tmp_path):
     d = spark.createDataFrame([(i,) for i in range(5)], "a int")
     with pytest.raises(ValueError):
