@@ -160,7 +160,7 @@ def _mean_known(values: Column) -> Column:
 def best_pairs(matrix: Column) -> Column:
     """Repeatedly the largest score (ties: first gt, then first pred), its row and column removed;
     the scores taken."""
-    cells = F.flatten(F.transform(matrix, lambda row, i: F.transform(row, lambda v, j: F.struct((-v).alias("v"), i.alias("i"), j.alias("j")))))
+    cells = F.flatten(F.transform(matrix, lambda row, i: F.transform(row, lambda v, j: F.named_struct(F.lit("v"), -v, F.lit("i"), i, F.lit("j"), j))))
     start = F.struct(*[F.array().cast(k).alias(n) for n, k in (("gi", "array<int>"), ("pj", "array<int>"), ("out", "array<double>"))])
 
     def step(acc: Column, c: Column) -> Column:

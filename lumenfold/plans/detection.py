@@ -233,12 +233,22 @@ def oks_prf1(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+with recursive {BOXES},
+c as (select sample_id, pi as a, gi as b, iou, row_number() over (partition by sample_id order by iou desc, pi, gi) as j from pairs),
+walk as (
+  select sample_id, 0::bigint as j, []::bigint[] as a, []::bigint[] as b, 0.0::double as s from c group by 1
+  union all
+  select w.sample_id, c.j, case when free then list_append(w.a, c.a) else w.a end, case when free then list_append(w.b, c.b) else w.b end, case when free then s + iou else s end
+  from walk w join c on c.sample_id = w.sample_id and c.j = w.j + 1, lateral (select not list_contains(w.a, c.a) and not list_contains(w.b, c.b) as free))
+select p.sample_id, round(coalesce(s / len(a), 0), 6) as miou, coalesce(len(a), 0)::int as pairs from (select distinct sample_id from pred) p left join (
+  select w.* from walk w where j = (select max(j) from c where c.sample_id = w.sample_id)) w on w.sample_id = p.sample_id
+""")
 def greedy_mask_miou(spark, sf_dir: str) -> DataFrame:
-    """Largest overlaps first, rows and columns removed; mean of the overlaps taken."""
+    """Largest overlaps first, rows and columns removed, as long as one is above 0; mean of the overlaps taken."""
     s = box_samples(spark, sf_dir).where(F.size("pred") > 0)
-    m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: boxes.iou(g["box"], p["box"]))
-    taken = matching.best_pairs(m)
-    return s.select("sample_id", F.round(F.aggregate(taken, F.lit(0.0), lambda a, v: a + v) / F.size(taken), 6).alias("miou"), F.size(taken).alias("pairs"))
-
-
-QUERIES["greedy_mask_miou"] = greedy_mask_miou
+    m = matching.score_matrix(F.col("pred"), F.col("gt"), lambda p, g: boxes.iou(g["box"], p["box"]))
+    taken = F.filter(matching.best_pairs(m), lambda v: v > 0)
+    s = s.select("sample_id", taken.alias("t"), F.explode(F.array(F.lit(0))).alias("once"))  # ends the projection
+    mean = F.when(F.size("t") > 0, F.aggregate("t", F.lit(0.0), lambda a, v: a + v) / F.size("t")).otherwise(0.0)
+    return s.select("sample_id", F.round(mean, 6).alias("miou"), F.size("t").alias("pairs"))

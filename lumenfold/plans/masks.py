@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import captions, curves, runs
 from .common import BOXES, box_rows, table
 from .scoring import _AP
+from .shapes import _CAPTIONS, _CIDER
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -122,29 +123,6 @@ def mask_suppression(spark, sf_dir: str) -> DataFrame:
 # ---- grounded captions: boxes of the detection queries as masks, all of one category
 
 _ONE = BOXES.replace("l_returnflag as cat", "l_returnflag as flag, 'a' as cat").replace("from rows_ where cat <> 'R'", "from rows_ where flag <> 'R'")
-_CIDER = """
-words as (select *, list_filter(regexp_split_to_array(lower(candidate), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as cw, list_filter(regexp_split_to_array(lower(reference), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as rw from cap),
-sizes_ as (select unnest(range(1, 5)) as n),
-rg as (
-  select image, rid, n, gram, count(*)::double as tf from (select image, reference as rid, n, unnest(list_transform(range(1, len(rw) - n + 2), lambda i: array_to_string(rw[i:i + n - 1], ' '))) as gram from words, sizes_) group by all),
-cg as (
-  select image, n, gram, count(*)::double as tf from (select image, n, unnest(list_transform(range(1, len(cw) - n + 2), lambda i: array_to_string(cw[i:i + n - 1], ' '))) as gram from (select image, min(cw) as cw from words group by image), sizes_) group by all),
-df as (select n, gram, count(distinct image) as df from rg group by all),
-images as (select ln(greatest(1, count(distinct image))) as li from cap),
-rw_ as (select rg.*, tf * (li - ln(greatest(df, 1))) as w from rg join df using (n, gram), images),
-cw_ as (select cg.*, tf * (li - ln(greatest(coalesce(df, 1), 1))) as w from cg left join df using (n, gram), images),
-rn as (select image, rid, n, sqrt(sum(w * w)) as rn from rw_ group by all),
-cn as (select image, n, sqrt(sum(w * w)) as cn from cw_ group by all),
-dot as (select r.image, r.rid, n, sum(least(c.w, r.w) * r.w) as dot from cw_ c join rw_ r using (image, n, gram) group by all),
-sim as (select image, rid, sum(coalesce(dot / nullif(rn * cn, 0), 0)) / 4 as s from rn left join cn using (image, n) left join dot using (image, rid, n) group by all),
-cider as (select image, avg(s) * 10 as cider from sim group by image)
-"""
-_CAPTIONS = """
-first as (select conv_id, min_by(text, turn) as candidate, min(turn) as t from conversations where role = 'assistant' group by 1),
-cap as (select distinct conv_id as image, candidate, text as reference from conversations join first using (conv_id) where role = 'assistant' and turn > t)
-"""
-
-
 def _runs_of(rows: DataFrame, x, y) -> DataFrame:
     h = 256
     out = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
@@ -176,7 +154,7 @@ def paired_mask_miou(spark, sf_dir: str) -> DataFrame:
     return runs.paired_overlaps(*[t.drop("score") for t in _grounded(spark, sf_dir)]).select("image", F.round("miou", 6).alias("miou"), "pairs")
 
 
-@query(_AP.replace("with recursive", "with recursive", 1).replace(BOXES, _ONE) + ", " + _CAPTIONS + ", " + _CIDER + """,
+@query(_AP.replace("with recursive", "with recursive", 1).replace(BOXES, _ONE) + ", " + _CAPTIONS.replace("select conv_id as image", "select distinct conv_id as image") + ", " + _CIDER + """,
 pi as (select sample_id, pi as a, gi as b, iou, row_number() over (partition by sample_id order by iou desc, pi, gi) as j from pairs),
 pw as (
   select sample_id, 0::bigint as j, []::bigint[] as a, []::bigint[] as b, 0.0::double as s from pi group by 1

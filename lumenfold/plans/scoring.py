@@ -377,22 +377,66 @@ def pose_scores(errors: DataFrame, limits=(5, 15, 30)) -> DataFrame:
     return errors.agg(*out, F.count("*").alias("pairs"))
 
 
-@query()
+_PRODUCT = (
+    "{b}[1] * {a}[1] + {b}[2] * {a}[2] + {b}[3] * {a}[3] + {b}[4] * {a}[4]", "-{b}[1] * {a}[2] + {b}[2] * {a}[1] - {b}[3] * {a}[4] + {b}[4] * {a}[3]",
+    "-{b}[1] * {a}[3] + {b}[2] * {a}[4] + {b}[3] * {a}[1] - {b}[4] * {a}[2]", "-{b}[1] * {a}[4] - {b}[2] * {a}[3] + {b}[3] * {a}[2] + {b}[4] * {a}[1]",
+)  # of b with a's conjugate
+_TURNED = (
+    "(1 - 2 * ({q}[3] ** 2 + {q}[4] ** 2)) * {v}[1] + 2 * ({q}[2] * {q}[3] - {q}[1] * {q}[4]) * {v}[2] + 2 * ({q}[2] * {q}[4] + {q}[1] * {q}[3]) * {v}[3]",
+    "2 * ({q}[2] * {q}[3] + {q}[1] * {q}[4]) * {v}[1] + (1 - 2 * ({q}[2] ** 2 + {q}[4] ** 2)) * {v}[2] + 2 * ({q}[3] * {q}[4] - {q}[1] * {q}[2]) * {v}[3]",
+    "2 * ({q}[2] * {q}[4] - {q}[1] * {q}[3]) * {v}[1] + 2 * ({q}[3] * {q}[4] + {q}[1] * {q}[2]) * {v}[2] + (1 - 2 * ({q}[2] ** 2 + {q}[3] ** 2)) * {v}[3]",
+)
+
+
+def _list(parts, **names: str) -> str:
+    return "[" + ", ".join(p.format(**names) for p in parts) + "]"
+
+
+def _gap(q: str, b: str, a: str) -> str:
+    """b less a turned by q."""
+    return "[" + ", ".join(f"{b}[{i + 1}] - ({t.format(q=q, v=a)})" for i, t in enumerate(_TURNED)) + "]"
+
+
+_POSES = """
+raw as (
+  select l_orderkey as seq, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as frame, [8.0, l_partkey % 7, l_suppkey % 5, l_linenumber]::double[] as q,
+    [8.0, l_partkey % 7 + 0.5, l_suppkey % 5, l_linenumber]::double[] as pq, [l_partkey % 13, l_suppkey % 11, l_linenumber]::double[] as t, [l_partkey % 13, l_suppkey % 11, l_linenumber + 0.5]::double[] as pt from lineitem),
+poses as (
+  select seq, frame, list_transform(q, lambda v: v / sqrt(list_dot_product(q, q))) as q, list_transform(pq, lambda v: v / sqrt(list_dot_product(pq, pq))) as pq, t, pt from raw)
+"""
+_ERRORS = f"""
+{_POSES},
+met as (
+  select a.seq, a.frame as i, b.frame as j, {_list(_PRODUCT, a="a.q", b="b.q")} as rq, {_list(_PRODUCT, a="a.pq", b="b.pq")} as rp, a.t as ta, b.t as tb, a.pt as apt, b.pt as bpt from poses a join poses b on a.seq = b.seq and a.frame < b.frame),
+shifts as (select *, {_gap("rq", "tb", "ta")} as rt, {_gap("rp", "bpt", "apt")} as rs from met),
+losses as (
+  select *, greatest(1 - list_dot_product(rp, rq) ** 2, 1e-15) as rl, list_dot_product(rs, rt) / nullif(sqrt(list_dot_product(rs, rs)) * sqrt(list_dot_product(rt, rt)), 0) as c from shifts),
+errors as (
+  select seq, i, j, degrees(acos(greatest(1 - 2 * rl, -1))) as r_err, coalesce(degrees(acos(sqrt(greatest(1 - greatest(1 - c * c, 1e-15), 0)))), 1e6) as t_err from losses)
+"""
+
+
+@query(f"with {_ERRORS} select " + ", ".join(
+    f"round(avg((r_err < {t})::int) * 100, 4) as racc_{t}, round(avg((t_err < {t})::int) * 100, 4) as tacc_{t}, "
+    f"round(avg(case when greatest(r_err, t_err) <= {t} then ({t} - least(floor(greatest(r_err, t_err)), {t} - 1)) / {t} else 0 end) * 100, 4) as auc_{t}" for t in (5, 15, 30)
+) + ", count(*) as pairs from errors")
 def pose_pairs_auc(spark, sf_dir: str) -> DataFrame:
     return pose_scores(pair_errors(_poses(spark, sf_dir)))
 
 
-@query("""
-with p as (
-  select l_orderkey as seq, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as frame, l_partkey % 13 as x, l_suppkey % 11 as y, l_linenumber as z from lineitem)
-select a.seq, a.frame, (a.x - b.x)::double as dx, (a.y - b.y)::double as dy, (a.z - b.z)::double as dz from p a join p b on b.seq = a.seq and b.frame = 1
+@query(f"""
+with {_POSES}, r as (select a.seq, a.frame, {_list(_PRODUCT, a="b.q", b="a.q")} as rq, a.t as t, b.t as t0 from poses a join poses b on b.seq = a.seq and b.frame = 1), s as (select *, {_gap("rq", "t", "t0")} as d from r)
+select seq, frame, {", ".join(f"round(d[{i + 1}], 6) + 0.0 as {n}" for i, n in enumerate(("dx", "dy", "dz")))}, {", ".join(f"round(case when rq[1] < 0 then -rq[{i + 1}] else rq[{i + 1}] end, 6) + 0.0 as q{n}" for i, n in enumerate("wxyz"))} from s
 """)
 def relative_to_first(spark, sf_dir: str) -> DataFrame:
-    """Shift of each frame against the first of its sequence."""
+    """Each frame's pose after undoing that of the first frame of its sequence."""
     p = _poses(spark, sf_dir)
     w = Window.partitionBy("seq").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = p.withColumn("d", geo.sub(F.col("t"), F.first("t").over(w)))
-    return p.select("seq", "frame", *[F.col("d")[i].alias(n) for i, n in enumerate(("dx", "dy", "dz"))])
+    p = p.select("seq", "frame", geo.matrix(F.first("q").over(w)).alias("m0"), F.first("t").over(w).alias("t0"), geo.matrix(F.col("q")).alias("m"), "t")
+    m, t = geo.relative_pose(F.col("m0"), F.col("t0"), F.col("m"), F.col("t"))
+    p = p.select("seq", "frame", t.alias("d"), geo.quaternion(m).alias("q"))
+    show = lambda c, names: [(F.round(F.col(c)[i], 6) + 0.0).alias(n) for i, n in enumerate(names)]
+    return p.select("seq", "frame", *show("d", ("dx", "dy", "dz")), *show("q", ("qw", "qx", "qy", "qz")))
 
 
 # ---- point clouds
