@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import folder
-from ..streaming import packer
+from ..streaming import packer, rowgroups
 from .common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,24 @@ QUERIES["stream_pack_keys"] = stream_pack_keys
 ORACLES["stream_pack_keys"] = "select event_id from events"
 
 
+def row_group_stream(spark, sf_dir: str) -> DataFrame:
+    """Events read as a stream of row-group slices: one batch, which ends within a row group, then a
+    restart from the checkpoint for the rest."""
+    schema = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").schema
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    for once in (True, False):
+        rows = rowgroups.row_stream(spark, f"{sf_dir}/events.parquet", schema, 7000, 1000)
+        w = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cursor")
+        q = (w.trigger(once=True) if once else w).start()
+        q.awaitTermination() if once else q.processAllAvailable()
+        q.stop()
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
+QUERIES["row_group_stream"] = row_group_stream
+ORACLES["row_group_stream"] = "select event_id, user_id, event_type from events"
+
+
 def epoch_replay(spark, sf_dir: str) -> DataFrame:
     d = packer.epochs(table(spark, sf_dir, "documents").select("doc_id"), 3)
     return packer.resumed(d, 10, "doc_id")
