@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..staging import staged
+from ..staging import dropped, staged
 
 
 def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Add __p, the number of a row's range in the order of `by`, then `order`: a group lies in
     neighbouring ranges, so that a large one is spread. Written before, so that sampling for the
-    ranges doesn't compute the rows once more, and after, as ranges are sampled."""
+    ranges doesn't compute the rows once more, and after, as ranges are sampled; the first is
+    deleted then."""
     rows = staged(rows, "rows")
-    return staged(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    out = staged(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    dropped(rows)
+    return out
 
 
 def number_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
