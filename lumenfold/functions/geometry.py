@@ -136,3 +136,72 @@ def turned_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column, width: Col
     for _ in range(quarters % 4):
         fx, fy, cx, cy, width, height = fy, fx, height - 1 - cy, cx, height, width
     return F.struct(*[c.alias(n) for c, n in zip((fx, fy, cx, cy, width, height), ("fx", "fy", "cx", "cy", "width", "height"), strict=True)])
+
+
+def projection_camera(r: Column, t: Column, scale: float = 1.0) -> tuple[Column, Column]:
+    """Rotation and shift (x right, y down) of a camera given with x left and y up and its rotation by
+    columns; lengths are divided by `scale`."""
+    turned = F.array(*[(-1 if j < 2 else 1) * r[3 * i + j] for j in range(3) for i in range(3)])
+    return turned, F.array(*[(-1 if i < 2 else 1) * t[i] / scale for i in range(3)])
+
+
+def projection_intrinsics(focal: Column, principal: Column, width: Column, height: Column) -> Column:
+    """(fx, fy, cx, cy) in pixels of a focal length and a principal point given in halves of the shorter side."""
+    half = F.least(width, height) / 2.0
+    return F.struct(*[(focal[i] * half).alias(n) for i, n in enumerate(("fx", "fy"))], *[(size / 2.0 - principal[i] * half).alias(n) for i, (size, n) in enumerate(((width, "cx"), (height, "cy")))])
+
+
+def axes_cycled(pose: Column) -> tuple[Column, Column]:
+    """(x, y, z, qx, qy, qz, qw) with z forward and y down from x forward and z down: quaternion (w, x, y, z)
+    and shift with each axis in the place of the one behind it."""
+    return F.array(pose[6], pose[4], pose[5], pose[3]), F.array(pose[1], pose[2], pose[0])
+
+
+#: Axes of a game engine's world (x forward, y right, z up) to a camera's (x right, y down, z forward).
+ENGINE_AXES = (0, 1, 0, 0, 0, -1, 1, 0, 0)
+
+
+def engine_camera(pose: Column, unit_: float = 100.0) -> tuple[Column, Column]:
+    """Rotation and shift of a camera from (x, y, z, qx, qy, qz, qw) in the engine's axes and centimetres."""
+    axes = F.array(*[F.lit(float(v)) for v in ENGINE_AXES])
+    m = matrix(F.array(pose[6], pose[3], pose[4], pose[5]))
+    return matmul(matmul(axes, m), transpose(axes)), rotate(axes, F.array(*[pose[i] / unit_ for i in range(3)]))
+
+
+def cross(a: Column, b: Column) -> Column:
+    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def look_at(camera: Column, target: Column) -> tuple[Column, Column]:
+    """World-to-camera rotation and shift of a camera that looks at a point, y being up in the world and
+    down in the image."""
+
+    def of(z: Column) -> tuple[Column, Column]:
+        x = unit(cross(z, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))), 3)
+        return x, F.transform(unit(cross(x, z), 3), lambda v: -v)
+
+    z = unit(sub(target, camera), 3)
+    x, y = of(z)
+    m = F.concat(x, y, z)
+    return m, let(m, lambda m: F.transform(rotate(m, camera), lambda v: -v))
+
+
+def shifted_intrinsics(k: Column, by: float) -> Column:
+    """(fx, fy, cx, cy) with the principal point moved: by 0.5 from pixel centres at whole numbers to ones
+    at halves, by -0.5 back."""
+    return F.struct(k["fx"].alias("fx"), k["fy"].alias("fy"), (k["cx"] + by).alias("cx"), (k["cy"] + by).alias("cy"))
+
+
+def pixel_grid(width: Column, height: Column, x0: int = 0, y0: int = 0) -> Column:
+    """(x, y) of all pixels, line by line."""
+    lines = F.transform(F.sequence(F.lit(y0), height - 1 + y0), lambda y: F.transform(F.sequence(F.lit(x0), width - 1 + x0), lambda x: F.named_struct(F.lit("x"), x, F.lit("y"), y)))
+    return F.flatten(lines)
+
+
+def transformed(m: Column, p: Column, n: int, norm: bool = False) -> Column:
+    """A point of n numbers under a matrix of n by n or n + 1 by n + 1, by rows; the last column of the
+    larger one shifts. norm: divided by its last number."""
+    larger = F.size(m) == (n + 1) * (n + 1)
+    at = lambda i, j: F.when(larger, F.get(m, F.lit(i * (n + 1) + j))).otherwise(F.get(m, F.lit(i * n + j)))
+    out = [sum((at(i, j) * p[j] for j in range(1, n)), at(i, 0) * p[0]) + F.when(larger, F.get(m, F.lit(i * (n + 1) + n))).otherwise(0.0) for i in range(n)]
+    return let(F.array(*out), lambda v: F.transform(v, lambda x: x / v[n - 1])) if norm else F.array(*out)

@@ -292,3 +292,15 @@ def best_name(names: Column, required: str, wanted: list[str]) -> Column:
     score = lambda x: sum((F.contains(x, F.lit(w)).cast("int") for w in wanted), F.lit(0))
     ranked = F.transform(F.filter(names, lambda x: F.contains(x, F.lit(required))), lambda x: F.struct((-score(x)).alias("s"), F.length(x).alias("n"), x.alias("x")))
     return F.get(F.array_sort(ranked), F.lit(0))["x"]
+
+
+def media_path(path: Column, role: Column, roots: dict[str, str | None]) -> Column:
+    """A path under its role's root; absolute paths and those with a scheme stay. An unknown role, or one
+    without a root, is an error for a relative path, naming both."""
+    own = F.lit(None).cast("string")
+    for name, root in roots.items():
+        if root:
+            own = F.when(role == name, F.lit(root.rstrip("/") + "/")).otherwise(own)
+    explicit = path.startswith("/") | F.contains(path, F.lit("://"))
+    missing = F.raise_error(F.concat(F.lit("no root for role "), F.coalesce(role, F.lit("null")), F.lit(" of "), path)).cast("string")
+    return F.when(path.isNull() | explicit, path).otherwise(F.concat(F.coalesce(own, missing), path))

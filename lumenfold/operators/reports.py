@@ -24,8 +24,9 @@ def facts(wide: DataFrame, model: str, task: str, dataset: str, metrics: Sequenc
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("__r")).select("__r.*")
+    """The last row of each key; of rows of equal order the largest by its columns in turn."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(F.col(order), whole)).alias("__r")).select("__r.*")
 
 
 def pivoted(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -56,3 +57,19 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
 def widened(old: DataFrame, new: DataFrame) -> DataFrame:
     """Appended rows whose columns may have grown; missing ones are null."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def append_rows(new: DataFrame, path: str) -> None:
+    """Add rows to a CSV table with a header, as they are, repeats too. Columns may have grown; all are
+    texts then, and the table is written anew beside the old one before it takes its place."""
+    from ..staging import dropped, staged
+
+    spark = new.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    texts = new.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in new.columns])
+    if files.exists(target):
+        texts = widened(spark.read.option("header", True).csv(path), texts)
+    whole = staged(texts, "appended")
+    whole.write.mode("overwrite").option("header", True).csv(path)
+    dropped(whole)

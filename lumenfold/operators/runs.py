@@ -183,3 +183,20 @@ def paired_overlaps(truths: DataFrame, found: DataFrame) -> DataFrame:
     out = truths.select("image").distinct().join(best, "image", "left")
     n = F.coalesce(F.size("t.a"), F.lit(0))
     return out.select("image", F.when(n > 0, F.col("t.sum") / n).otherwise(0.0).alias("miou"), n.alias("pairs"))
+
+
+def painted(shapes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Canonical runs of what is set after shapes are painted one over another, place by place the last
+    one counting. shapes: by..., label, at (their order), start, end: `flag` paints nothing, a label
+    with `ignore` clears, any other sets."""
+    name = F.lower(F.trim("label"))
+    rows = shapes.where((name != "flag") & (F.col("start") < F.col("end")))
+    rows = rows.select(F.struct(*by).alias("image"), F.col("at").alias("id"), "start", "end", (~F.contains(name, F.lit("ignore"))).alias("sets"))
+    # between two neighbouring ends the same shapes cover every place
+    ends = rows.select("image", F.explode(F.array("start", "end")).alias("start")).distinct()
+    parts = ends.withColumn("end", F.lead("start").over(Window.partitionBy("image").orderBy("start"))).where("end is not null").withColumn("id", F.col("start"))
+    top = overlaps(parts, rows).groupBy("image", "a").agg(F.max("b").alias("id"))
+    value = rows.groupBy("image", "id").agg(F.max("sets").alias("sets"))
+    shown = top.join(value, ["image", "id"]).where("sets").select("image", F.col("a").alias("start"))
+    out = merged(parts.select("image", "start", "end").join(shown, ["image", "start"]), ["image"])
+    return out.select("image.*", "start", "end")

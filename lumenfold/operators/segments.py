@@ -54,6 +54,33 @@ def confusion(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gt", "pred").agg(F.sum("n").cast("long").alias("n"))
 
 
+def distinct_labels(cells: DataFrame, label: str) -> DataFrame:
+    """(image, label, n): each image's labels and their pixels."""
+    return cells.groupBy("image", label).agg(F.sum("n").cast("long").alias("n"))
+
+
+def annotations(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """One record for each image, as panoptic annotation files have them: image_id, file_name,
+    segments_info (id, category_id, area) in order of place, phrases and caption.
+
+    segments: image, place, phrase, category_id, id, n; names: image, file_name, caption. Images
+    without segments have empty lists.
+    """
+    s = segments.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "id", "category_id", F.col("n").alias("area"), "phrase"))).alias("s"))
+    rows = names.join(s, "image", "left").withColumn("s", F.coalesce("s", F.array().cast(s.schema["s"].dataType)))
+    info = F.transform("s", lambda e: F.struct(e["id"].alias("id"), e["category_id"].alias("category_id"), e["area"].alias("area")))
+    return rows.select(F.col("image").alias("image_id"), "file_name", info.alias("segments_info"), F.transform("s", lambda e: e["phrase"]).alias("gcg_phrases"), F.col("caption").alias("gcg_caption"))
+
+
+def class_report(matrix: DataFrame, names: DataFrame) -> DataFrame:
+    """(class, IoU, ACC) of each named class with a figure, and of all: their mean overlap and the share
+    of pixels that are right. matrix: gt, pred, n; names: cls, name."""
+    s = class_scores(matrix)
+    rows = s.join(names, "cls").where("iou is not null or acc is not null").select(F.col("name").alias("class"), F.col("iou").alias("IoU"), F.col("acc").alias("ACC"))
+    whole = s.agg(F.avg("iou").alias("IoU")).crossJoin(matrix.agg(F.try_divide(F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("ACC")))  # one row each
+    return rows.unionByName(whole.select(F.lit("overall").alias("class"), "IoU", "ACC"))
+
+
 def class_scores(matrix: DataFrame) -> DataFrame:
     """(cls, iou, acc) from a confusion table; null where undefined."""
     g = matrix.groupBy(F.col("gt").alias("cls")).agg(F.sum("n").alias("pos_gt"))
