@@ -132,30 +132,48 @@ class ByteTokenizer:
         d = words.dictionary_encode()
         return pa.array(self._ids([lead + x for x in d.dictionary.to_pylist()]), pa.binary()).take(d.indices)
 
+    @staticmethod
+    def _split(texts: pa.Array, without: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Texts at their spaces: offsets of each one's words, and the words; some texts are taken as empty."""
+        split = pc.split_pattern(pc.if_else(pa.array(without), "", texts) if without.any() else texts, " ")
+        offsets = np.asarray(split.offsets)
+        return offsets - offsets[0], split.flatten().dictionary_encode()
+
+    def _odd(self, offsets: np.ndarray, coded: pa.DictionaryArray) -> np.ndarray:
+        """Whether a space of a text follows white space, so that it can't be cut there: a word before the
+        last one is empty but at the start, or ends with white space."""
+        ends = np.asarray(pc.match_substring_regex(coded.dictionary, f"(^|[{self.SPACES}])\\z"))
+        if not ends.any():
+            return np.zeros(len(offsets) - 1, bool)
+        marked = ends[np.asarray(coded.indices)]
+        marked[offsets[1:] - 1] = False
+        starts = offsets[:-1]
+        empty = np.asarray(pc.equal(coded.dictionary, ""))[np.asarray(coded.indices)[starts]]
+        marked[starts[empty]] = False
+        return np.add.reduceat(marked, starts) > 0
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """Little-endian unsigned 32-bit ids of each text; null: none."""
         self.known.turn()
         texts = pc.fill_null(texts, "")
-        whole, odd = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        whole = np.zeros(len(texts), bool)
         for s in self.specials:
             whole |= np.asarray(pc.match_substring(texts, s))
-        if self.cuts:
-            odd = np.asarray(pc.match_substring_regex(texts, f"[{self.SPACES}] ")) & ~whole
-        else:
+        if not self.cuts:
             whole[:] = True
+        offsets, coded = self._split(texts, whole)
+        odd = self._odd(offsets, coded)
         apart = np.flatnonzero(whole | odd)
-        plain = pc.if_else(pa.array(whole | odd), "", texts) if len(apart) else texts
-        split = pc.split_pattern(plain, " ")
-        offsets = np.asarray(split.offsets)
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary
+        if odd.any():
+            offsets, coded = self._split(texts, whole | odd)
         index = np.asarray(coded.indices).astype(np.int64)
+        words = coded.dictionary
         # a text's first word has no space before it
-        first = offsets[:-1] - offsets[0]
+        first = offsets[:-1]
         heads, place = np.unique(index[first], return_inverse=True)
         index[first] = len(words) + place
         ids = pa.concat_arrays([self._words(words, " "), self._words(words.take(pa.array(heads)), "")])
-        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids.take(pa.array(index))), b"")
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.take(pa.array(index))), b"")
         if not len(apart):
             return out
         out = out.to_pylist()
@@ -193,10 +211,10 @@ def tokens(docs: DataFrame, tokenizer_path: str, eos: int = EOS) -> DataFrame:
         for b in regrouped(batches, "text", SLICE_BYTES):
             joined = pc.binary_join_element_wise(tok.encode(b.column("text")), tail, b"")
             n = np.asarray(pc.binary_length(joined), dtype=np.int64) // 4
-            ids = _narrow(np.frombuffer(b"".join(joined.to_pylist()), "<u4"))
+            ids = _narrow(_bytes(joined).view("<u4"))
             width, ends = ids.dtype.itemsize, np.cumsum(n)
-            raw = ids.tobytes()
-            cut = pa.array([raw[(e - k) * width : e * width] for e, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())
+            places = np.concatenate([[0], ends * width]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(ids))])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), cut, pa.array(np.full(len(n), width, np.int32)), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n)],
                 ["doc_id", "ids", "width", "n", "part", "local_start"],
@@ -209,12 +227,17 @@ def tokens(docs: DataFrame, tokenizer_path: str, eos: int = EOS) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind}, ids binary, width int, n long, part int, local_start long")
 
 
+def _bytes(a: pa.Array) -> np.ndarray:
+    """All bytes of a binary array in a row."""
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
 def _joined_ids(b: pa.RecordBatch) -> np.ndarray:
     """The ids of a batch's rows in a row."""
     widths, ids = np.unique(np.asarray(b.column("width"))), b.column("ids")
     if len(widths) == 1:
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-        return np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(f"<u{widths[0]}")
+        return _bytes(ids).view(f"<u{widths[0]}")
     parts = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(ids.to_pylist(), b.column("width").to_pylist(), strict=True)]
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
