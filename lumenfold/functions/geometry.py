@@ -164,8 +164,8 @@ ENGINE_AXES = (0, 1, 0, 0, 0, -1, 1, 0, 0)
 def engine_camera(pose: Column, unit_: float = 100.0) -> tuple[Column, Column]:
     """Rotation and shift of a camera from (x, y, z, qx, qy, qz, qw) in the engine's axes and centimetres."""
     axes = F.array(*[F.lit(float(v)) for v in ENGINE_AXES])
-    m = matrix(F.array(pose[6], pose[3], pose[4], pose[5]))
-    return matmul(matmul(axes, m), transpose(axes)), rotate(axes, F.array(*[pose[i] / unit_ for i in range(3)]))
+    m = let(matrix(F.array(pose[6], pose[3], pose[4], pose[5])), lambda m: let(matmul(axes, m), lambda a: matmul(a, transpose(axes))))
+    return m, let(F.array(*[pose[i] / unit_ for i in range(3)]), lambda t: rotate(axes, t))
 
 
 def cross(a: Column, b: Column) -> Column:
