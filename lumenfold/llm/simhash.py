@@ -1,10 +1,12 @@
 """SimHash near-dedup with pigeonhole blocks.
 
 Fingerprints of 64 bits are cut into six blocks. Two that differ in at most four bits agree on at
-least two blocks, so each pair meets under one of fifteen keys of two blocks (21 bits or more).
-Equal fingerprints are one class from the start. Rows of a key are compared in one sorted run; a
-run gives the edges of a spanning forest, never all its pairs. Runs of more than RUN fingerprints
-are split into tiles, each pair of tiles being a run of its own.
+least two blocks, so each pair meets under one of fifteen keys of two blocks (20 bits or more).
+With more fingerprints there are seven or eight blocks and keys of three or four of them (27 or 32
+bits), so that a key's rows stay few; every pair meets all the same. Equal fingerprints are one
+class from the start. Rows of a key are compared in one sorted run; a run of more than eight gives
+the edges of a spanning forest, a smaller one its few links. Runs of more than RUN fingerprints are
+split into tiles, each pair of tiles being a run of its own.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .components import connected_components
 from .jaccard import keyed, near_groups
 
 BITS, WORDS, SEED, DISTANCE = 64, 4, 42, 4
-#: (shift, width) of the blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Blocks, and the number of fingerprints up to which there are no more.
+BLOCKS = ((6, 1 << 28), (7, 1 << 34), (8, 1 << 64))
 #: Fingerprints of one key that one task compares with one another.
 RUN = 100_000
 #: Shingles whose bits are counted at once.
@@ -54,7 +56,8 @@ def fingerprint(text: str | None, words: int = WORDS, lower: bool = True) -> int
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Add fingerprint (long); a column of this name is replaced."""
+    """Add fingerprint (long); a column of this name is replaced. Texts of any length are taken whole; a
+    null one is like an empty one (0); repeated rows stay; an empty table gives no rows."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
 
@@ -112,19 +115,34 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
 
 
-def near_edges(classes: DataFrame, distance: int = DISTANCE, run: int = RUN) -> DataFrame:
+def cut_points(blocks: int) -> list[tuple[int, int]]:
+    """(shift, width) of so many blocks, the first ones wider by a bit where they can't be equal."""
+    widths = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def near_edges(classes: DataFrame, distance: int = DISTANCE, run: int = RUN, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) over distinct fingerprints that connect all at most `distance` (4 or less) apart.
 
-    classes: one column fingerprint, distinct, not null. A distance that the blocks don't cover is
-    refused.
+    classes: one column fingerprint, distinct, not null; an empty table has none. The number of
+    blocks follows from the number of fingerprints, unless it is given. A distance that leaves less
+    than two blocks for a key is refused.
     """
-    if distance > len(BLOCKS) - 2:
-        raise ValueError(f"pairs of {len(BLOCKS)} blocks cover {len(BLOCKS) - 2} bits at most, not {distance}")
+    if blocks is None:
+        n = classes.count()
+        blocks = next(b for b, most in BLOCKS if n <= most)
+    if distance > blocks - 2:
+        raise ValueError(f"pairs of {blocks} blocks cover {blocks - 2} bits at most, not {distance}")
     ship(classes.sparkSession)
-    keys = [
-        F.struct(F.lit(n).cast("int").alias("pair"), ((_block("fingerprint", i)) * F.lit(1 << BLOCKS[j][1]) + _block("fingerprint", j)).alias("key"))
-        for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
+    places = cut_points(blocks)
+
+    def key(chosen: tuple[int, ...]):
+        out = F.lit(0).cast("long")
+        for shift, width in (places[i] for i in chosen):
+            out = out * F.lit(1 << width) + F.shiftrightunsigned("fingerprint", shift).bitwiseAND(F.lit((1 << width) - 1))
+        return out
+
+    keys = [F.struct(F.lit(n).cast("int").alias("pair"), key(c).alias("key")) for n, c in enumerate(combinations(range(blocks), min(4, blocks - distance)))]
     rows = classes.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("fingerprint", "k.pair", "k.key")
     large = rows.groupBy("pair", "key").agg(F.count("*").alias("n")).where(F.col("n") > run)
     large = large.select("pair", "key", F.ceil(F.col("n") / run).cast("int").alias("tiles"))
@@ -180,11 +198,6 @@ def near_edges(classes: DataFrame, distance: int = DISTANCE, run: int = RUN) ->
     return sorted_runs.mapInPandas(edges, "a long, b long")
 
 
-def _block(column: str, i: int):
-    shift, width = BLOCKS[i]
-    return F.shiftrightunsigned(F.col(column), shift).bitwiseAND(F.lit((1 << width) - 1))
-
-
 def _run_ids(b: pd.DataFrame) -> np.ndarray:
     """A hash of the run that each row belongs to."""
     h = np.zeros(len(b), np.uint64)
@@ -200,7 +213,8 @@ def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", distance: int = D
 
     prints: doc_id and fingerprint (not null) of each document, written, as it is read twice.
     Repeated rows share their component; a null doc_id is never the smallest, and a component of
-    null ids alone has a null component_id. Columns of these names are replaced.
+    null ids alone has a null component_id. Columns of these names are replaced. An empty table gives
+    no rows.
     """
     classes = materialize(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("least")), "classes")
     joined = materialize(near_edges(classes.select("fingerprint"), distance).distinct(), "near")

@@ -66,6 +66,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert split == components.connected_components(simhash.near_edges(classes), "a", "b").count()
 
 
+@pytest.mark.parametrize("blocks,distance", [(6, 4), (7, 4), (8, 4), (8, 2), (6, 1)])
+def test_blocks_of_any_number_cover_the_distance(spark, blocks, distance):
+    assert sum(w for _, w in simhash.cut_points(blocks)) == 64 and simhash.cut_points(6)[-1] == (54, 10)
+    rng = np.random.default_rng(blocks + distance)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 60, dtype=np.uint64)]
+    # pairs at every distance up to two more, bits drawn anywhere
+    fp = sorted({*base, *(b ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in range(1, distance + 3))})
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fp]
+    d = spark.createDataFrame([(x,) for x in signed], "fingerprint long")
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.near_edges(d, distance, blocks=blocks).distinct().collect()]
+    want = [(a, b) for i, a in enumerate(fp) for b in fp[:i] if (a ^ b).bit_count() <= distance]
+    assert union(got, fp) == union(want, fp) and all((a ^ b).bit_count() <= distance for a, b in got)
+    assert simhash.near_edges(d.limit(0), distance).count() == 0
+
+
 def test_forest_joins_what_links_join():
     rng = np.random.default_rng(4)
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
