@@ -101,3 +101,16 @@ def attends(q: dict[str, Column], k: dict[str, Column]) -> Column:
     earlier places and one's own full block, never another document, never another noised block."""
     seen = (k["at"] <= q["at"]) | ((q["full"] == k["full"]) & (q["full"] >= 0))
     return (q["doc"] == k["doc"]) & seen & ~((k["noise"] >= 0) & (k["noise"] != q["noise"]))
+
+
+def visible_counts(places: DataFrame) -> DataFrame:
+    """places (doc, at, full, noise as for attends()) with sees, the number of places that each one sees, by
+    running counts and no pairs: all clean places up to the end of its own full block, or up to itself
+    without one, and those of its own noised block. Blocks are without gaps, at is distinct in a document."""
+    up = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    noised = Window.partitionBy("doc", "noise").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = places.withColumn("__c", F.sum((F.col("noise") < 0).cast("long")).over(up)).withColumn("__n", F.when(F.col("noise") >= 0, F.count("*").over(noised)).otherwise(0))
+    block, own = Window.partitionBy("doc", "full"), Window.partitionBy("doc", "full", "noise")
+    whole = F.col("full") >= 0
+    rows = rows.withColumn("__c", F.when(whole, F.max("__c").over(block)).otherwise(F.col("__c"))).withColumn("__n", F.when(whole, F.max("__n").over(own)).otherwise(F.col("__n")))
+    return rows.withColumn("sees", F.col("__c") + F.col("__n")).drop("__c", "__n")

@@ -256,10 +256,7 @@ def attention_spans(spark, sf_dir: str) -> DataFrame:
     """How many places of its document each place sees."""
     i = F.col("event_id") % 12
     e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 12).alias("doc"), F.col("event_id").alias("at"), F.when(i.between(2, 5), 1).otherwise(-1).alias("full"), F.when(i.between(6, 8), 2).when(i > 8, 3).otherwise(-1).alias("noise"))
-    side = lambda d, p: d.select(F.col("doc").alias("doc"), *[F.col(c).alias(f"{p}{c}") for c in ("event_id", "at", "full", "noise")])
-    r = side(e, "q").join(side(e, "k"), "doc")
-    of = lambda p: {"doc": F.col("doc"), **{c: F.col(f"{p}{c}") for c in ("at", "full", "noise")}}
-    return r.where(selection.attends(of("q"), of("k"))).groupBy(F.col("qevent_id").alias("event_id")).agg(F.count("*").alias("sees"))
+    return selection.visible_counts(e).select("event_id", "sees")
 
 
 @query(f"""

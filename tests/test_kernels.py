@@ -245,3 +245,25 @@ def test_numbers_and_curves_spread_over_ranges(spark):
 def test_shards_grow_with_the_samples(spark):
     assert packing.shards_for(spark.range(0)) == packing.shards_for(spark.range(8 * packing.SHARD_ROWS)) == 8
     assert packing.shards_for(spark.range(8 * packing.SHARD_ROWS + 1)) == 9
+
+
+def test_visible_counts_are_those_of_the_rule(spark):
+    import random
+
+    from lumenfold.operators import selection
+
+    rng, rows = random.Random(2), []
+    for doc in range(30):
+        at = rng.randrange(5)
+        for block in range(rng.randrange(1, 6)):
+            kind = rng.randrange(4)
+            for _ in range(rng.randrange(1, 5)):
+                rows.append((doc, at, block if kind in (1, 3) else -1, block if kind in (2, 3) else -1))
+                at += 1
+    d = spark.createDataFrame(rows, "doc int, at int, full int, noise int")
+    see = lambda q, k: q[0] == k[0] and (k[1] <= q[1] or (q[2] == k[2] and q[2] >= 0)) and not (k[3] >= 0 and k[3] != q[3])
+    got = {(r["doc"], r["at"]): r["sees"] for r in selection.visible_counts(d).collect()}
+    assert got == {q[:2]: sum(see(q, k) for k in rows) for q in rows}
+    of = lambda p: {c: F.col(f"{p}{c}") for c in ("doc", "at", "full", "noise")}
+    pairs = d.select(*[F.col(c).alias(f"q{c}") for c in d.columns]).join(d.select(*[F.col(c).alias(f"k{c}") for c in d.columns]), F.col("qdoc") == F.col("kdoc"))
+    assert pairs.where(selection.attends(of("q"), of("k"))).count() == sum(got.values())
