@@ -120,3 +120,12 @@ def resize_plan(w: Column, h: Column, longest: int, stride: int) -> Column:
 
 def image_tokens(w: Column, h: Column, stride: int) -> Column:
     return F.floor(w * h / (stride * stride))
+
+
+def patch_positions(width: Column, height: Column, patch: int, side: int, interpolated: bool = False) -> Column:
+    """Position ids of an image's patches, line by line, on a square of `side` patches: by their own places,
+    or, interpolated, by the share of the image that lies before them."""
+    rows, cols = F.floor(height / patch).cast("int"), F.floor(width / patch).cast("int")
+    place = lambda i, n: F.least(F.floor(i / n * side + 1e-9), F.lit(side - 1)).cast("int") if interpolated else i
+    lines = F.transform(F.sequence(F.lit(0), rows - 1), lambda y: F.transform(F.sequence(F.lit(0), cols - 1), lambda x: place(y, rows) * side + place(x, cols)))
+    return F.when((rows > 0) & (cols > 0), F.flatten(lines)).otherwise(F.array().cast("array<int>"))

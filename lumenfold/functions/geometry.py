@@ -205,3 +205,12 @@ def transformed(m: Column, p: Column, n: int, norm: bool = False) -> Column:
     at = lambda i, j: F.when(larger, F.get(m, F.lit(i * (n + 1) + j))).otherwise(F.get(m, F.lit(i * n + j)))
     out = [sum((at(i, j) * p[j] for j in range(1, n)), at(i, 0) * p[0]) + F.when(larger, F.get(m, F.lit(i * (n + 1) + n))).otherwise(0.0) for i in range(n)]
     return let(F.array(*out), lambda v: F.transform(v, lambda x: x / v[n - 1])) if norm else F.array(*out)
+
+
+def turned_camera(k: Column, m: Column, width: Column, height: Column, clockwise: bool) -> tuple[Column, Column]:
+    """Intrinsics (fx, fy, cx, cy) and camera-to-world rotation of an image turned by a quarter, pixels being
+    counted from their corners; the camera's place stays."""
+    cx, cy = (height - k["cy"], k["cx"]) if clockwise else (k["cy"], width - k["cx"])
+    s = 1 if clockwise else -1
+    rows = [[s * m[3 + j] for j in range(3)], [-s * m[j] for j in range(3)], [m[6 + j] for j in range(3)]]
+    return F.struct(k["fy"].alias("fx"), k["fx"].alias("fy"), cx.alias("cx"), cy.alias("cy")), F.array(*[v for r in rows for v in r])

@@ -15,18 +15,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..staging import staged
+from ..staging import dropped, staged
 
 XYZ = ("x", "y", "z")
+#: Points of a cell from which the grid is made finer.
+CELL = 2000
 
 
 def _cell(side: float, c: str) -> Column:
     return F.floor(F.col(c) / side)
 
 
+def fine_side(others: DataFrame, side: float, most: int | None = None) -> float:
+    """side, halved until no cell holds more than `most` (CELL) points, or halving no longer helps."""
+    before, most = None, CELL if most is None else most
+    for _ in range(40):
+        top = others.groupBy("seq", *[_cell(side, c) for c in XYZ]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if top <= most or before is not None and top == before[0] and before[1] > 3:
+            break
+        before = (top, before[1] + 1 if before is not None and top == before[0] else 0)
+        side /= 2
+    return side
+
+
 def nearest(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
     """points with nx, ny, nz, distance to the nearest of `others` of the same seq; points of a seq
-    without others are left out. Ties: the smallest (x, y, z)."""
+    without others are left out. Ties: the smallest (x, y, z). Where a cell would hold very many
+    points the search begins with smaller ones, so a point meets a bounded number in a round."""
+    side = fine_side(others, side)
     both = points.select("seq", *XYZ).unionAll(others.select("seq", *XYZ))
     span = both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
     widest = max([v for v in span if v is not None], default=0.0)
@@ -45,9 +61,11 @@ def nearest(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
         got = staged(got, "found")
         rest = staged(todo.join(got.select("__id"), "__id", "left_anti"), "rest")
         out = got if out is None else out.unionAll(got)
+        dropped(todo)
+        todo = rest
         if rest.isEmpty():
             break
-        todo = rest
+    dropped(todo)
     return out.drop("__id")
 
 
@@ -106,12 +124,14 @@ def moved(points: DataFrame, motions: DataFrame) -> DataFrame:
 
 def icp(points: DataFrame, target: DataFrame, side: float, rounds: int = 5, reach: float | None = None) -> DataFrame:
     """Point-to-point refinement: nearest neighbours (within reach), then the best rigid motion."""
-    for _ in range(rounds):
+    for k in range(rounds):
         pairs = nearest(points, target, side)
         if reach is not None:
             pairs = pairs.where(F.col("distance") <= reach)
-        points = moved(points, umeyama(pairs, scaled=False))
-        points = staged(points, "moved")  # else the lineage would grow with the rounds
+        before = points
+        points = staged(moved(points, umeyama(pairs, scaled=False)), "moved")  # else the lineage would grow with the rounds
+        if k:  # the caller's own stay
+            dropped(before)
     return points
 
 

@@ -96,3 +96,15 @@ def normal_bytes(n: Column) -> Column:
 def usable_normal(n: Column, least: float = 0.1) -> Column:
     """Whether a normal has length enough to have a direction."""
     return F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, v: s + v * v)) >= least
+
+
+def sound_images(pixels: DataFrame, by: Sequence[str], good: Column, most: float) -> DataFrame:
+    """Pixels of the images of which at most the share `most` isn't good; null counts as not good."""
+    bad = F.avg(F.when(good, 0.0).otherwise(1.0))
+    kept = pixels.groupBy(*by).agg(bad.alias("__bad")).where(F.col("__bad") <= most).drop("__bad")
+    return pixels.join(kept, list(by), "left_semi")
+
+
+def sound_depth(depth: Column, least: float, most: float) -> Column:
+    """Finite, and within the range, ends included."""
+    return F.coalesce(~F.isnan(depth) & (depth >= least) & (depth <= most), F.lit(False))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from .numbering import dense_ids, number_within
 
 
@@ -118,6 +119,30 @@ def frame_numbers(n: Column, k: int) -> Column:
     return F.when(n <= 0, F.array().cast("array<int>")).when(n < k, short).otherwise(spread)
 
 
+def interval_frames(n: Column, k: int, seed: str | int | None = None, *key: str) -> Column:
+    """k frames of 0..n-1, one from each of k equal intervals: its middle, or, with a seed, one by hash of the
+    key. Fewer frames: each once, the last one repeated up to k; none: empty."""
+    parts = F.least(F.lit(k), n)
+    edge = lambda i: F.floor(i * n / parts)
+
+    def pick(i: Column) -> Column:
+        lo, hi = edge(i), edge(i + 1) - 1
+        return F.floor((lo + hi) / 2) if seed is None else lo + F.floor(uniform(seed, *key, i) * F.greatest(hi - lo + 1, F.lit(1)))
+
+    got = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: pick(F.least(i, parts - 1)).cast("int"))
+    return F.when(n > 0, got).otherwise(F.array().cast("array<int>"))
+
+
+def rate_frames(n: Column, fps: Column, wanted: float, most: int | None = None) -> Column:
+    """Frames of a video of n frames at fps, so that `wanted` are taken a second, each from the middle of its
+    stretch (halves to the even number), at most `most` of them."""
+    gap = 1.0 / wanted
+    count = F.ceil(n / fps / gap).cast("int")
+    at = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.rint((gap / 2 + i * gap) * fps).cast("int"))
+    kept = F.filter(F.when(count > 0, at).otherwise(F.array().cast("array<int>")), lambda f: f < n)
+    return kept if most is None else F.slice(kept, 1, most)
+
+
 def nearby(frames: DataFrame, radius: int, k: int, seed: str | int) -> DataFrame:
     """For each frame up to k others of its sequence within the radius, by hash: (seq, frame, near)."""
     a = frames.select("seq", "frame")
@@ -131,3 +156,19 @@ def local_names(rows: DataFrame, by: Sequence[str], name: str, order: Sequence[s
     """Add local: name-0, name-1, ... in order within the group."""
     w = Window.partitionBy(*by, name).orderBy(*order)
     return rows.withColumn("local", F.concat_ws("-", name, (F.row_number().over(w) - 1).cast("string")))
+
+
+def task_prompt(c: Column, mode: str, templates: list[str], seed: str | int, *key: str) -> Column:
+    """A prompt as it is (raw), without its task mark (plain), or in half of the cases with one of the templates
+    in the mark's place (natural), by hash of the key; {categories} becomes the prompt's tagged names."""
+    if mode == "raw":
+        return c
+    if mode == "plain":
+        return text.strip_task(c)
+    if mode != "natural":
+        raise ValueError(f"no mode {mode}")
+    names = F.array_join(text.phrases(c), ", ")
+    template = choose(F.array(*[F.lit(t) for t in templates]), f"{seed}-template", *key)
+    filled = F.replace(template, F.lit("{categories}"), F.when(names == "", "all relevant objects").otherwise(names))
+    marked = c.rlike(r"^\s*<task:[^>]*>")
+    return F.when(coin(f"{seed}-coin", *key) & marked, F.concat(filled, F.lit(" "), text.strip_task(c))).otherwise(text.strip_task(c))

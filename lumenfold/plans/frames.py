@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import boxes, loose, text
 from ..functions import geometry as geo
-from ..functions import loose, text
-from ..operators import assembly, frames, nested, runs, segments
+from ..operators import assembly, dense, frames, mixture, nested, runs, segments
 from .assembly import _SQL as _ASSEMBLED
 from .assembly import _inputs
 from .common import table
@@ -255,3 +255,71 @@ def category_metadata(spark, sf_dir: str) -> DataFrame:
     lists = n.groupBy(F.col("n_regionkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))).alias("e"))
     values = lists.select("id", F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["e"]), ","), F.lit("]")).alias("value"))
     return nested.categories(values)
+
+
+# ---- samples of frames, positions, images that are sound
+
+
+@query("""
+with v as (select o_orderkey as video, (o_custkey % 40)::int as n from orders), i as (select unnest(range(8)) as i),
+m as (select video, n, i, least(8, n) as k from v, i where n > 0),
+e as (select video, i, floor(least(i, k - 1) * n / k) as lo, floor((least(i, k - 1) + 1) * n / k) - 1 as hi, least(i, k - 1) as j from m),
+r as (select *, ('0x' || substr(md5('3:' || video || ':' || j), 1, 8))::bigint / 4294967296 as u from e),
+g as (select video, list(floor((lo + hi) / 2)::int order by i) as middle, list((lo + floor(u * greatest(hi - lo + 1, 1)))::int order by i) as drawn from r group by 1)
+select v.video, coalesce(middle, []) as middle, coalesce(drawn, []) as drawn,
+  list_filter(list_transform(range(ceil(n / 10 / 0.5)::bigint), lambda k: round_even((0.25 + k * 0.5) * 10, 0)::int), lambda f: f < n)[1:5] as at_rate from v left join g using (video)
+""")
+def sampled_frames(spark, sf_dir: str) -> DataFrame:
+    """Eight frames by intervals, middles and draws, and two a second at ten a second."""
+    v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video"), (F.col("o_custkey") % 40).cast("int").alias("n"))
+    return v.select("video", mixture.interval_frames(F.col("n"), 8).alias("middle"), mixture.interval_frames(F.col("n"), 8, 3, "video").alias("drawn"), mixture.rate_frames(F.col("n"), F.lit(10), 2.0, 5).alias("at_rate"))
+
+
+@query("""
+with p as (select c_custkey, (c_nationkey % 5 + 1) as rows, (c_custkey % 4 + 1) as cols from customer)
+select c_custkey, y * 16 + x as own, floor(y / rows * 16 + 1e-9)::int * 16 + floor(x / cols * 16 + 1e-9)::int as spread from p, lateral (select unnest(range(rows)) as y), lateral (select unnest(range(cols)) as x)
+""")
+def patch_positions(spark, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    w, h = (F.col("c_custkey") % 4 + 1) * 14 + 3, (F.col("c_nationkey") % 5 + 1) * 14 + 5
+    both = F.arrays_zip(boxes.patch_positions(w, h, 14, 16).alias("own"), boxes.patch_positions(w, h, 14, 16, True).alias("spread"))
+    return c.select("c_custkey", F.explode(both).alias("p")).select("c_custkey", F.col("p.own").cast("long").alias("own"), F.col("p.spread").alias("spread"))
+
+
+@query("""
+with p as (select l_suppkey as image, l_orderkey, l_partkey, l_linenumber, l_extendedprice::double as depth, l_discount::double as d, l_tax::double as t from lineitem),
+a as (select image from p group by 1 having avg((not (depth between 2000 and 90000))::int) <= 0.1), b as (select image from p group by 1 having avg((sqrt(d * d + t * t) < 0.02)::int) <= 0.12)
+select l_orderkey, l_partkey, l_linenumber, image, image in (from a) as depth_sound, image in (from b) as normals_sound from p where image in (from a) or image in (from b)
+""")
+def sound_images(spark, sf_dir: str) -> DataFrame:
+    """Images with few invalid depths, and those with few normals of no length."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), "l_orderkey", "l_partkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("depth"), F.array("l_discount", "l_tax").cast("array<double>").alias("n"))
+    key = ["image", "l_orderkey", "l_partkey", "l_linenumber"]
+    a = dense.sound_images(l, ["image"], dense.sound_depth(F.col("depth"), 2000.0, 90000.0), 0.1).select("image").distinct().withColumn("a", F.lit(True))
+    b = dense.sound_images(l, ["image"], dense.usable_normal(F.col("n"), 0.02), 0.12).select("image").distinct().withColumn("b", F.lit(True))
+    out = l.select(*key).join(a, "image", "left").join(b, "image", "left").where("a or b")
+    return out.select(*key[1:], "image", F.coalesce("a", F.lit(False)).alias("depth_sound"), F.coalesce("b", F.lit(False)).alias("normals_sound"))
+
+
+@query(f"""
+with {_CAM} select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(r21, 6) + 0.0 as m11, round(-r12, 6) + 0.0 as m22, round(r33, 6) + 0.0 as m33, round(-r21, 6) + 0.0 as back11, 510.0::double as fx, (480 - 200)::double as cx, (640 - 300)::double as back_cy from m
+""")
+def cameras_turned(spark, sf_dir: str) -> DataFrame:
+    """Cameras of images turned by a quarter, either way."""
+    c = _cameras(spark, sf_dir).withColumn("m", geo.matrix(F.col("q")))
+    k = F.struct(*[F.lit(v).alias(n) for v, n in ((500.0, "fx"), (510.0, "fy"), (300.0, "cx"), (200.0, "cy"))])
+    c = c.withColumn("k", k)
+    (k1, m1), (k2, m2) = (geo.turned_camera(F.col("k"), F.col("m"), F.lit(640.0), F.lit(480.0), w) for w in (True, False))
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *_shown(m11=m1[0], m22=m1[4], m33=m1[8], back11=m2[0]), k1["fx"].alias("fx"), k1["cx"].alias("cx"), k2["cy"].alias("back_cy"))
+
+
+@query("""
+with d as (select conv_id, turn, '<task: x>: find <p>cat</p> and <p>dog</p> ' || turn as t, md5('4-coin:' || conv_id || ':' || turn) as h, ('0x' || substr(md5('4-template:' || conv_id || ':' || turn), 1, 8))::bigint / 4294967296 as u from conversations)
+select conv_id, turn, t as raw, 'find <p>cat</p> and <p>dog</p> ' || turn as plain,
+  case when substr(h, 1, 1) < '8' then case when u < 0.5 then 'Please find cat, dog:' else 'Look.' end || ' ' else '' end || 'find <p>cat</p> and <p>dog</p> ' || turn as natural from d
+""")
+def task_prompts(spark, sf_dir: str) -> DataFrame:
+    """Prompts with their task mark, without it, or with a template in its place."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<task: x>: find <p>cat</p> and <p>dog</p> "), "turn").alias("t"))
+    modes = {m: mixture.task_prompt(F.col("t"), m, ["Please find {categories}:", "Look."], 4, "conv_id", "turn") for m in ("raw", "plain", "natural")}
+    return c.select("conv_id", "turn", *[v.alias(k) for k, v in modes.items()])

@@ -248,8 +248,6 @@ def test_shards_grow_with_the_samples(spark):
 
 
 def test_visible_counts_are_those_of_the_rule(spark):
-    import random
-
     from lumenfold.operators import selection
 
     rng, rows = random.Random(2), []
@@ -267,3 +265,19 @@ def test_visible_counts_are_those_of_the_rule(spark):
     of = lambda p: {c: F.col(f"{p}{c}") for c in ("doc", "at", "full", "noise")}
     pairs = d.select(*[F.col(c).alias(f"q{c}") for c in d.columns]).join(d.select(*[F.col(c).alias(f"k{c}") for c in d.columns]), F.col("qdoc") == F.col("kdoc"))
     assert pairs.where(selection.attends(of("q"), of("k"))).count() == sum(got.values())
+
+
+def test_dense_cells_make_the_grid_finer(spark, monkeypatch):
+    import numpy as np
+
+    from lumenfold.operators import clouds
+
+    rng = np.random.default_rng(6)
+    cloud = lambda n: [(1, *map(float, v)) for v in np.concatenate([rng.normal(0, 0.01, (n, 3)), rng.normal(0, 3, (n // 5, 3))])]
+    a, b = cloud(60), cloud(80) + [(1, 0.5, 0.5, 0.5)] * 30
+    monkeypatch.setattr(clouds, "CELL", 5)
+    d = lambda rows: spark.createDataFrame(rows, "seq int, x double, y double, z double")
+    assert clouds.fine_side(d(b), 4.0) < 0.1  # thirty equal points never part
+    got = {(r["x"], r["y"], r["z"]): r["distance"] for r in clouds.nearest(d(a), d(b), 4.0).collect()}
+    want = {p[1:]: min(sum((u - v) ** 2 for u, v in zip(p[1:], q[1:], strict=True)) ** 0.5 for q in b) for p in a}
+    assert got == pytest.approx(want)
