@@ -142,7 +142,7 @@ def evaluate(
 ) -> DataFrame:
     """The twelve summary figures of scored detections, one row.
 
-    kind: boxes or masks, what `box` holds (runs.as_masks). agnostic: categories don't count.
+    kind: boxes or masks, what `box` holds (runs.overlap_boxes). agnostic: categories don't count.
     negatives, partial: (image, cat), for tables that aren't labelled exhaustively; then detections
     of other categories are left out and all of an image's are matched. truths, detections: as for
     curves.match_detections.

@@ -146,22 +146,24 @@ def suppressed(rows: DataFrame, scores: DataFrame, above: float) -> DataFrame:
 
 
 def mask_area(m: Column) -> Column:
-    """Of a mask as a struct (spans, area)."""
+    """Of a mask of overlap_boxes()."""
     return m["area"]
 
 
-def mask_iou(a: Column, b: Column, crowd: Column) -> Column:
-    """Overlap of two masks as structs (spans, area), over the first one's area where the second is a crowd."""
-    shared = lambda x, y: F.greatest(F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]), F.lit(0).cast("long"))
-    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x))
-    inter = total(a["spans"], lambda x: total(b["spans"], lambda y: shared(x, y)))
-    return F.coalesce(F.try_divide(inter, F.when(crowd, a["area"]).otherwise(a["area"] + b["area"] - inter)), F.lit(0.0))
+def mask_iou(found: Column, truth: Column, crowd: Column) -> Column:
+    """Overlap of two masks of overlap_boxes(), over the found one's area where the truth is a crowd."""
+    inter = F.coalesce(F.get(F.filter(found["hits"], lambda h: h["id"] == truth["id"]), F.lit(0))["inter"], F.lit(0).cast("long"))
+    return F.coalesce(F.try_divide(inter, F.when(crowd, found["area"]).otherwise(found["area"] + truth["area"] - inter)), F.lit(0.0))
 
 
-def as_masks(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., mask): a row for each mask, its runs in order."""
-    m = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("area"))
-    return m.select(*by, F.struct("spans", "area").alias("mask"))
+def overlap_boxes(truths: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image, id, box) of true and of found masks, what curves.match_detections compares by mask_iou: a true
+    mask's box is (id, area), a found one's (area, hits), hits being the true masks that it meets and
+    the places they share, counted once by overlaps(). truths, found: image, id, start, end."""
+    met = overlaps(found, truths).groupBy("image", F.col("a").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("b").alias("id"), "inter"))).alias("hits"))
+    rows = areas(found, ["image", "id"]).join(met, ["image", "id"], "left")
+    rows = rows.withColumn("hits", F.coalesce("hits", F.array().cast(met.schema["hits"].dataType)))
+    return areas(truths, ["image", "id"]).select("image", "id", F.struct("id", "area").alias("box")), rows.select("image", "id", F.struct("area", "hits").alias("box"))
 
 
 def paired_overlaps(truths: DataFrame, found: DataFrame) -> DataFrame:

@@ -41,3 +41,21 @@ def test_answers_without_entries(spark):
     got = [r.asDict(recursive=True) for r in router.answer_rows(spark.createDataFrame(rows, kind)).orderBy(F.length("task")).collect()]
     assert [(r["gt"], r["pred"], r["note"]) for r in got[:2]] == [([], [], "k")] * 2
     assert [e["cat"] for e in got[2]["gt"]] == ["unknown", "unknown"] and got[2]["gt"][1]["box"] == [30.0, 15.0, 40.0, 20.0]
+
+
+def test_masks_by_the_one_entry_point(spark):
+    from lumenfold.operators import runs
+
+    kind = "image int, id long, start long, end long"
+    t = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 200, 260), (2, 0, 0, 50)], kind)
+    d = spark.createDataFrame([(1, 0, 0, 90), (1, 0, 95, 100), (1, 1, 400, 450), (2, 0, 0, 50)], kind)
+    tb, fb = runs.overlap_boxes(t, d)
+    truths = tb.select("image", F.lit("x").alias("cat"), F.col("id").alias("pos"), "box", F.lit(False).alias("crowd"), F.lit(False).alias("ignore"))
+    found = fb.select("image", F.when(F.col("image") == 2, "y").otherwise("x").alias("cat"), F.col("id").alias("pos"), "box", (F.lit(0.9) - F.col("id") / 10).alias("score"), F.lit(False).alias("skip"))
+    # of three truths one is found in its category, at an overlap of 0.95, and the second by another name
+    one = router.evaluate(truths, found, "masks").first()
+    every = router.evaluate(truths, found, "masks", agnostic=True).first()
+    assert round(one["ar100"], 6) == round(1 / 3, 6) and round(every["ar100"], 6) == round(2 / 3, 6) and every["ar1"] == every["ar100"]
+    assert round(every["ap50"], 4) == round(67 / 101, 4)
+    known = spark.createDataFrame([(1, "x")], "image int, cat string")
+    assert router.evaluate(truths, found, "masks", negatives=known).first()["ar100"] == one["ar100"]
