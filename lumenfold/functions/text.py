@@ -260,10 +260,11 @@ def plain_caption(c: Column) -> Column:
 
 
 def lower_keys(m: Column) -> Column:
-    """A map with lower-case keys; of keys that become equal the last one's value stays."""
+    """A map with lower-case keys; of keys that become equal the last one's value stays, at the first one's place."""
     entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = lambda es: F.filter(es, lambda e, i: ~F.exists(_behind(es, i), lambda f: f["key"] == e["key"]))
-    return F.map_from_entries(let(entries, last))
+    keys = lambda es: F.array_distinct(F.transform(es, lambda e: e["key"]))
+    last = lambda es, k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)
+    return F.map_from_entries(let(entries, lambda es: F.transform(keys(es), lambda k: last(es, k))))
 
 
 def resolved(name: Column, aliases: dict[str, str]) -> Column:

@@ -89,6 +89,13 @@ def test_texts(spark):
     assert len(one(spark, text.parse_boxes(F.lit(many)))) == 30
 
 
+def test_lower_keys_keep_the_first_place_and_the_last_value(spark):
+    m = F.create_map(*[F.lit(v) for v in ("A", 1, "b", 2, "a", 3, "C", 4, "B", 5)])
+    assert [tuple(e) for e in one(spark, F.map_entries(text.lower_keys(m)))] == [("a", 3), ("b", 5), ("c", 4)]
+    assert one(spark, F.map_entries(text.lower_keys(F.create_map().cast("map<string,int>")))) == []
+    assert one(spark, text.lower_keys(F.lit(None).cast("map<string,int>"))) is None
+
+
 def test_boxes_masks_and_geometry(spark):
     assert one(spark, boxes.pixels(arr(0.1, 0.2, 0.5, 1), F.lit(10.0), F.lit(20.0))) == [1, 4, 5, 20]
     assert one(spark, boxes.keypoint_visible(F.lit(1.0), F.lit(1.0), F.lit(0))) is False and one(spark, geometry.lerp(arr(0, 2), arr(1, 4), F.lit(0.5))) == [0.5, 3]
