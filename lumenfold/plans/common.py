@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str, each: int = 50_000) -> DataFrame:
+    """Rows of a stored table dealt by key to tasks of about `each` rows, for steps that make many rows of
+    one: tasks that are put together by their bytes before would hold too many."""
+    return rows.repartition(1 + rows.count() // each, key)
+
+
 def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A true box for each line item and, unless returned, a shifted prediction; whole numbers."""
     l = table(spark, sf_dir, "lineitem").select(

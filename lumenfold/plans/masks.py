@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import captions, curves, runs
-from .common import BOXES, box_rows, table
+from .common import BOXES, box_rows, dealt, table
 from .scoring import _AP
 from .shapes import _CAPTIONS, _CIDER
 
@@ -30,7 +30,7 @@ HEIGHT, WIDTH = 48, 64
 
 def _masks(spark, sf_dir: str) -> DataFrame:
     """A line item is a rectangle in its order's image; it begins on a slant, so runs have several lengths."""
-    l = table(spark, sf_dir, "lineitem")
+    l = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     one = l.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(key)).alias("m")).select("image", F.posexplode("m").alias("id", "m"))
     part, supp, n, q = (F.col(f"m.{c}") for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
@@ -131,7 +131,7 @@ def _runs_of(rows: DataFrame, x, y) -> DataFrame:
 
 
 def _grounded(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = box_rows(spark, sf_dir)
+    r = dealt(box_rows(spark, sf_dir), "sample_id")
     keyed = lambda t, *c: t.groupBy(F.col("sample_id").alias("image")).agg(F.array_sort(F.collect_list(F.struct("pos", *c, "w", "h", "cat", "score"))).alias("m")).select("image", F.posexplode("m").alias("id", "m")).select("image", F.col("id").cast("long").alias("id"), "m.*")
     g = keyed(r, "x", "y")
     p = keyed(r.where("has_pred").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")}), "x", "y")
