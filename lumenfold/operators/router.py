@@ -145,7 +145,7 @@ def evaluate(
     kind: boxes or masks, what `box` holds (runs.overlap_boxes). agnostic: categories don't count.
     negatives, partial: (image, cat), for tables that aren't labelled exhaustively; then detections
     of other categories are left out and all of an image's are matched. truths, detections: as for
-    curves.match_detections.
+    curves.match_codes.
     """
     overlap, size = (runs.mask_iou, runs.mask_area) if kind == "masks" else (boxes.crowd_iou, boxes.area)
     if negatives is not None:
@@ -154,5 +154,5 @@ def evaluate(
     if agnostic:
         truths, detections = (t.withColumn("cat", F.lit("")) for t in (truths, detections))
     areas = tuple(curves.AREAS)
-    m = curves.match_detections(truths, detections, curves.THRESHOLDS, areas, top, overlap, size)
+    m = curves.match_codes(truths, detections, curves.THRESHOLDS, areas, top, overlap, size)
     return curves.summary(m, curves.positives(truths, areas, size))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import captions, curves, runs
+from ..staging import staged
 from .common import BOXES, box_rows, dealt, table
 from .scoring import _AP
 from .shapes import _CAPTIONS, _CIDER
@@ -169,13 +170,14 @@ select (select round(avg(v) * 100, 4) from mi) as miou, (select round(ap * 100,
 def grounded_caption_scores(spark, sf_dir: str) -> DataFrame:
     """Of grounded captions: mask overlap of paired masks, mask precision (one category) and the captions' score."""
     g, p = _grounded(spark, sf_dir)
-    miou = runs.paired_overlaps(g.drop("score"), p.drop("score")).agg(F.round(F.avg("miou") * 100, 4).alias("miou"), F.count("*").alias("images"))
-    tb, fb = runs.overlap_boxes(g, p)
+    met = staged(runs.overlaps(p, g), "met")
+    miou = runs.paired_overlaps(g.drop("score"), p.drop("score"), met).agg(F.round(F.avg("miou") * 100, 4).alias("miou"), F.count("*").alias("images"))
+    tb, fb = runs.overlap_boxes(g, p, met)
     mask = lambda t: t.select("image", F.lit("a").alias("cat"), F.col("id").alias("pos"), "box", "id")
     truths = mask(tb).drop("id").withColumns({"crowd": F.lit(False), "ignore": F.lit(False)})
     found = mask(fb).join(p.select("image", "id", "score").distinct(), ["image", "id"]).drop("id").withColumn("skip", F.lit(False))
-    m = curves.match_detections(truths, found, (0.5, 0.75), overlap=runs.mask_iou, size=runs.mask_area)
-    ap = curves.average_precision(m, curves.positives(truths, size=runs.mask_area), (0.5, 0.75))
+    m = curves.match_codes(truths, found, (0.5, 0.75), overlap=runs.mask_iou, size=runs.mask_area)
+    ap = curves.average_precisions(m, curves.positives(truths, size=runs.mask_area), (0.5, 0.75))
     ap = ap.agg(*[F.round(F.max(F.when(F.col("iou") == t, F.col("ap"))) * 100, 4).alias(n) for t, n in ((0.5, "ap50"), (0.75, "ap75"))])
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("candidate"), F.min("turn").alias("t"))

@@ -79,8 +79,8 @@ s as (select cat, iou, sum(env * (ceil(ctp * 100 / npos) - ceil((ctp - tp) * 100
 
 def _ap(spark, sf_dir: str, thresholds=(0.5, 0.75), areas=("all",)) -> DataFrame:
     t = _truths(spark, sf_dir)
-    m = curves.match_detections(t, _detections(spark, sf_dir), thresholds, areas)
-    return curves.average_precision(m, curves.positives(t, areas), thresholds)
+    m = curves.match_codes(t, _detections(spark, sf_dir), thresholds, areas)
+    return curves.average_precisions(m, curves.positives(t, areas), thresholds, areas)
 
 
 @query(_AP + "select n.cat, t.thr as iou, round(coalesce(ap, 0), 6) as ap, round(coalesce(recall, 0), 6) as recall from npos n cross join thr t left join s on s.cat = n.cat and s.iou = t.thr")
@@ -150,7 +150,7 @@ def ap_summary_by_rank(spark, sf_dir: str) -> DataFrame:
     """The twelve summary figures, recall by the first, the first two and the first hundred detections (an image has few)."""
     t = _truths(spark, sf_dir)
     areas = tuple(curves.AREAS)
-    out = curves.summary(curves.match_detections(t, _detections(spark, sf_dir), areas=areas), curves.positives(t, areas), (1, 2, 100))
+    out = curves.summary(curves.match_codes(t, _detections(spark, sf_dir), areas=areas), curves.positives(t, areas), (1, 2, 100))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -177,8 +177,8 @@ def lvis_federated_ap(spark, sf_dir: str) -> DataFrame:
     every = d.select("image").distinct().select("image", F.explode(F.array(F.lit("A"), F.lit("N"))).alias("cat"))
     negative = every.where("image % 3 <> 0 or cat = 'A'")
     kept = curves.federated(d, seen, negative, d.limit(0).select("image", "cat"))
-    m = curves.match_detections(t, kept, (0.5, 0.75), top=None)
-    return curves.average_precision(m, curves.positives(t), (0.5, 0.75)).select("cat", "iou", F.round("ap", 6).alias("ap"))
+    m = curves.match_codes(t, kept, (0.5, 0.75), top=None)
+    return curves.average_precisions(m, curves.positives(t), (0.5, 0.75)).select("cat", "iou", F.round("ap", 6).alias("ap"))
 
 
 # ---- segmentation; events stand for pixels

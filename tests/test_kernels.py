@@ -120,6 +120,30 @@ def test_average_precision_matches_brute_force(spark):
     assert got["c"] == pytest.approx(brute_ap(tp, 11)) and got["none"] == 0.0
 
 
+def test_curves_sort_each_detection_once_and_spread(spark, monkeypatch):
+    """A row a detection, whatever the thresholds and areas; ranges of a few rows give the same figures."""
+    rng = random.Random(3)
+    box = lambda i, d=0.0: [i * 100.0 + d, d, i * 100.0 + d + (20 if i % 2 else 60), d + 30.0]
+    t = spark.createDataFrame([(k, "A", i, box(i), False, i == 3) for k in range(20) for i in range(4)], "image int, cat string, pos int, box array<double>, crowd boolean, ignore boolean")
+    found = [(k, "A", i, box(i, float(rng.randrange(12))), rng.randrange(9) / 9, False) for k in range(20) for i in range(5)]
+    d = spark.createDataFrame(found, "image int, cat string, pos int, box array<double>, score double, skip boolean")
+    grid, areas = (0.5, 0.75, 0.9), tuple(curves.AREAS)
+    codes = curves.match_codes(t, d, grid, areas)
+    rows = codes.collect()
+    assert len(rows) == len(found) and {len(r["codes"]) for r in rows} == {12}
+    npos = curves.positives(t, areas)
+    monkeypatch.setattr(curves, "RANGE", 7)
+    got = {(r["area"], r["iou"]): (r["ap"], r["recall"]) for r in curves.average_precisions(codes, npos, grid, areas).collect()}
+    long = curves.average_precision(curves.match_detections(t, d, grid, areas), npos, grid).collect()
+    rows.sort(key=lambda r: (-r["score"], r["image"], r["rank"]))
+    for n in npos.collect():
+        for i, v in enumerate(grid):
+            c = areas.index(n["area"]) * len(grid) + i
+            tp = [r["codes"][c] - 2 for r in rows if r["codes"][c]]
+            want = (pytest.approx(brute_ap(tp, n["npos"])), pytest.approx(sum(tp) / n["npos"]))
+            assert got[n["area"], v] == want and {(r["ap"], r["recall"]) == want for r in long if (r["area"], r["iou"]) == (n["area"], v)} == {True}
+
+
 @pytest.mark.parametrize(("shared", "rest", "tp"), [(8, 2, 1), (2, 1, 0)])
 def test_panoptic_quality(spark, shared, rest, tp):
     cells = spark.createDataFrame([(1, 1, 1, shared), (1, 1, 2, rest), (1, 2, 1, rest)], "image int, gt int, pred int, n int")
