@@ -1,7 +1,9 @@
 """Near duplicates by Jaccard similarity of word shingles.
 
 A text is the set of its five-word shingles; two texts are near duplicates if their sets have a
-similarity of 4/5 or more. Sets meet in lists: a set has 160 min-hashes in 40 bands of four, and
+similarity of 4/5 or more. Texts whose SimHash fingerprints (of these shingles) are linked over blocks
+are candidates; fingerprints of texts at 4/5 differ in more bits than blocks can cover, so for the
+rest sets meet in lists: a set has 160 min-hashes in 40 bands of four, and
 sets with an equal band are candidates. Two sets of similarity s share no band with probability
 (1 - s^4)^40, which is 7e-10 at 0.8 and falls steeply above. Every link is verified on the whole
 sets, shingled anew from the texts, so no table of shingles is ever written.
@@ -74,6 +76,14 @@ def bands(members: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[b * size : (b + 1) * size], b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
+def set_fingerprint(members: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: a bit is 1 if set in over half of its members."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(members), _MANY):
+        ones += np.unpackbits(members[i : i + _MANY].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(members)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def _name(text):
     return F.xxhash64(text)
 
@@ -92,8 +102,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(texts: DataFrame) -> DataFrame:
-    """(th, n, keys) of each different text with a word: number of its shingles and its band keys;
-    texts: th, text."""
+    """(th, n, fp, keys) of each different text with a word: number of its shingles, their SimHash
+    fingerprint and its band keys; texts: th, text."""
     ship(texts.sparkSession)
     small_batches(texts.sparkSession)
 
@@ -108,11 +118,11 @@ def band_rows(texts: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(th)
                 s = shingles(text)
-                out.append((th, len(s), bands(s)))
-            yield pd.DataFrame(out, columns=["th", "n", "keys"])
+                out.append((th, len(s), set_fingerprint(s), bands(s)))
+            yield pd.DataFrame(out, columns=["th", "n", "fp", "keys"])
         relax()
 
-    rows = texts.where("th <> 0").select("th", "text").mapInPandas(of, "th long, n int, keys array<long>")
+    rows = texts.where("th <> 0").select("th", "text").mapInPandas(of, "th long, n int, fp long, keys array<long>")
     return rows.dropDuplicates(["th"])
 
 
@@ -241,6 +251,23 @@ def _edges(families: DataFrame, texts: DataFrame) -> DataFrame:
     return runs.mapInPandas(edges, "a long, b long")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of texts to be verified by SimHash: of equal fingerprints each with the first, and the first
+    ones of fingerprints that blocks link (a spanning forest). sets: th, n, fp, th distinct."""
+    from .simhash import near_edges
+
+    firsts = materialize(sets.groupBy("fp").agg(F.min(F.struct("th", "n")).alias("f")), "firsts")
+    edges = materialize(near_edges(firsts.select(F.col("fp").alias("fingerprint"))).distinct(), "links")
+    end = lambda c: firsts.select(F.col("fp").alias(c), F.col("f").alias(f"f{c}"))
+    linked = edges.join(end("a"), "a").join(end("b"), "b").select(F.col("fa").alias("x"), F.col("fb").alias("y"))
+    equal = sets.join(firsts, "fp").where("th <> f.th").select(F.col("f").alias("x"), F.struct("th", "n").alias("y"))
+    pairs = linked.unionAll(equal).where(DOWN * F.least("x.n", "y.n") >= UP * F.greatest("x.n", "y.n"))
+    out = materialize(pairs.select(F.col("x.th").alias("a"), F.col("y.th").alias("b")), "by-print")
+    for used in (firsts, edges):
+        discard(used)
+    return out
+
+
 def near_texts(texts: DataFrame, elements: int = ELEMENTS) -> DataFrame:
     """(th, component) of every text that is near another: the components of all near pairs.
 
@@ -255,7 +282,8 @@ def near_texts(texts: DataFrame, elements: int = ELEMENTS) -> DataFrame:
     meet = shared.join(centres, "key").where("th <> c.th")
     meet = meet.where(DOWN * F.least("n", "c.n") >= UP * F.greatest("n", "c.n"))
     # two centres may meet each other either way round
-    star = meet.select(F.col("c.th").alias("a"), F.col("th").alias("b")).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    printed = fingerprint_pairs(sets.select("th", "n", "fp"))
+    star = meet.select(F.col("c.th").alias("a"), F.col("th").alias("b")).unionAll(printed).groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
     star = materialize(star.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "star")
     named = star.select(F.col("a").alias("th")).unionAll(star.select(F.col("b").alias("th")))
     first = materialize(verified(star, _needed(texts, named)), "stars")
@@ -264,7 +292,7 @@ def near_texts(texts: DataFrame, elements: int = ELEMENTS) -> DataFrame:
     families = _families(labelled, elements)
     rest = materialize(_edges(families, _needed(texts, families.select("th"))), "near")
     out = materialize(connected_components(first.unionAll(rest), "a", "b").withColumnRenamed("node", "th"), "parts")
-    for used in (sets, shared, star, first, parts, families, rest):
+    for used in (sets, shared, printed, star, first, parts, families, rest):
         discard(used)
     return out
 

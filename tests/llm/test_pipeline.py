@@ -70,3 +70,25 @@ def test_stages_take_empty_tables(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_takes_simhash_links_and_verifies_them(spark, monkeypatch):
+    """Fingerprints alone find edited copies (no list of min-hashes is there), and no link goes unverified."""
+    from lumenfold.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choice(words, 400).tolist()
+    edited = [*base[:395], *rng.choice(words, 5).tolist()]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(rng.choice(words, 400)))]
+    texts = spark.createDataFrame(rows, "th long, text string")
+    sets = {k: jaccard.shingles(t) for k, t in rows}
+    far = [bin((jaccard.set_fingerprint(sets[1]) ^ jaccard.set_fingerprint(sets[k])) & (1 << 64) - 1).count("1") for k in (2, 3)]
+    assert far[0] <= 4 < far[1]
+    found = jaccard.fingerprint_pairs(jaccard.band_rows(texts))
+    assert {frozenset(map(int, r)) for r in found.collect()} == {frozenset((1, 2))}
+    monkeypatch.setattr(jaccard, "bands", lambda members: np.array([hash(members.tobytes())], np.int64))
+    grouped = lambda: {(r["th"], r["component"]) for r in jaccard.near_texts(texts).collect()}
+    assert grouped() - {(1, 1)} == {(2, 1)}
+    monkeypatch.setattr(jaccard, "set_fingerprint", lambda members: 0)  # all are linked, and the third is near none
+    assert grouped() - {(1, 1)} == {(2, 1)}
