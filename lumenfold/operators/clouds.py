@@ -1,14 +1,13 @@
-"""Point clouds: nearest neighbours on a grid, accuracy and completion, voxels, alignment, ICP.
+"""Point clouds: nearest neighbours by a tree, accuracy and completion, voxels, alignment, ICP.
 
-Points come as rows (seq, x, y, z). A nearest neighbour is sought in the 27 cells around a point;
-it is final once its distance is at most the cell's side, else the point goes on with a side twice
-as long, until a cell spans both clouds. So each round is an equi-join on cells.
+Points come as rows (seq, x, y, z). The others of a large seq are cut into leaves of about CELL
+points by a tree whose cuts come from a bounded sample. A point is first compared with its own leaf,
+which holds a neighbour, and then with the few other leaves whose boxes are no further than that
+one; so rows travel twice, and the pairs that are compared never leave a task.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,8 +17,13 @@ from ..shipping import ship
 from ..staging import dropped, staged
 
 XYZ = ("x", "y", "z")
-#: Points of a cell from which the grid is made finer.
+NXYZ = ("nx", "ny", "nz")
+#: Points of a cell or leaf from which it is cut.
 CELL = 2000
+#: Leaves at most, sampled points of a leaf, and points that are compared with a leaf in one group.
+LEAVES, SAMPLED, GROUP = 1 << 14, 16, 20_000
+#: Points of a task, about.
+DEALT = 10_000
 
 
 def _cell(side: float, c: str) -> Column:
@@ -38,35 +42,162 @@ def fine_side(others: DataFrame, side: float, most: int | None = None) -> float:
     return side
 
 
-def nearest(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
+class _Tree:
+    """Cuts of the large seqs' space: a node's left child has what lies below `at` on `axis`; axis -1 is a leaf."""
+
+    def __init__(self) -> None:
+        self.axis, self.at, self.left, self.right, self.roots = [], [], [], [], {}
+
+    def grow(self, points: np.ndarray, most: int) -> int:
+        """Number of the new node for a sample's points."""
+        me = len(self.axis)
+        for column in (self.axis, self.left, self.right):
+            column.append(-1)
+        self.at.append(0.0)
+        if len(points) > most:
+            axis = int(np.argmax(np.ptp(points, axis=0)))
+            v = np.sort(points[:, axis])
+            if v[-1] > v[0]:
+                at = v[max(len(v) // 2, int(np.searchsorted(v, v[0], "right")))]
+                below = points[:, axis] < at
+                self.axis[me], self.at[me] = axis, float(at)
+                self.left[me], self.right[me] = self.grow(points[below], most), self.grow(points[~below], most)
+        return me
+
+    def close(self) -> None:
+        self.axis, self.left, self.right = (np.array(c, np.int32) for c in (self.axis, self.left, self.right))
+        self.at = np.array(self.at)
+
+    def boxed(self, leaves: dict[int, list[float]]) -> None:
+        """Boxes of all nodes from those of the leaves, children having larger numbers than parents."""
+        n = len(self.axis)
+        self.low, self.high = np.full((n, 3), np.inf), np.full((n, 3), -np.inf)
+        for i in range(n - 1, -1, -1):
+            if i in leaves:
+                self.low[i], self.high[i] = leaves[i][:3], leaves[i][3:]
+            elif self.axis[i] >= 0:
+                kids = [self.left[i], self.right[i]]
+                self.low[i], self.high[i] = self.low[kids].min(0), self.high[kids].max(0)
+
+    def leaf(self, node: np.ndarray, p: np.ndarray) -> np.ndarray:
+        node, rows = node.copy(), np.arange(len(node))
+        while len(rows := rows[self.axis[node[rows]] >= 0]):
+            k = node[rows]
+            node[rows] = np.where(p[rows, self.axis[k]] < self.at[k], self.left[k], self.right[k])
+        return node
+
+    def touched(self, node: np.ndarray, p: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves whose box is no further than the row's d2."""
+        rows, out = np.arange(len(node)), []
+        while len(rows):
+            q = p[rows]
+            gap = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0.0)
+            near = (gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1]) + gap[:, 2] * gap[:, 2] <= d2[rows]
+            rows, node = rows[near], node[near]
+            end = self.axis[node] < 0
+            out.append((rows[end], node[end]))
+            rows, node = rows[~end], node[~end]
+            rows, node = np.concatenate([rows, rows]), np.concatenate([self.left[node], self.right[node]])
+        return np.concatenate([r for r, _ in out] or [rows]), np.concatenate([n for _, n in out] or [node])
+
+
+def _tree(others: DataFrame) -> tuple[_Tree, DataFrame]:
+    """The tree of distinct others, and (seq, root) of the seqs that have more than CELL of them."""
+    counts = others.groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = max(CELL, total // LEAVES)
+    counts = counts.where(F.col("n") > size)
+    share = min(1.0, SAMPLED / size)
+    some = F.pmod(F.xxhash64("seq", *XYZ), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    kept = others.where(some).join(counts.select("seq"), "seq", "left_semi").select("seq", *XYZ).collect()
+    tree, by_seq = _Tree(), {}
+    for r in kept:
+        by_seq.setdefault(r["seq"], []).append(tuple(r)[1:])
+    for seq, points in by_seq.items():
+        tree.roots[seq] = tree.grow(np.array(points), max(1, round(share * size)))
+    tree.close()
+    roots = others.sparkSession.createDataFrame(list(tree.roots.items()), others.select("seq", F.lit(0).alias("root")).schema)
+    return tree, F.broadcast(roots)
+
+
+def _compared(points: DataFrame, others: DataFrame) -> DataFrame:
+    """points (seq, root, leaf, x, y, z) with d2, nx, ny, nz of the nearest of the others in their leaf. A
+    leaf that very many points ask for is held by several groups."""
+    key = ["seq", "leaf", "part"]
+    many = points.groupBy("seq", "leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    on = ["seq", "leaf"]
+    a = points.join(many, on, "left").select("seq", "root", "leaf", F.pmod(F.xxhash64(*XYZ), parts).cast("int").alias("part"), *XYZ)
+    b = others.join(many, on, "left").select("seq", "leaf", *NXYZ, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    tasks = min(10_000, 1 + points.count() // DEALT)
+    out = points.select("seq", "root", "leaf", *XYZ, F.lit(0.0).alias("d2"), *[F.lit(0.0).alias(c) for c in NXYZ]).schema
+
+    def search(q: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(o):
+            return pd.DataFrame(columns=out.names)
+        o = o.sort_values(list(NXYZ))  # the first of equal distances is the smallest
+        x, y, z = (o[c].to_numpy() for c in NXYZ)
+        p, step = q[list(XYZ)].to_numpy(), max(1, (1 << 18) // len(o))
+        at, d2 = np.empty(len(q), np.int64), np.empty(len(q))
+        for k in range(0, len(q), step):
+            u, v, w = (p[k : k + step, i, None] for i in range(3))
+            d = (u - x) ** 2
+            d += (v - y) ** 2
+            d += (w - z) ** 2
+            at[k : k + step] = best = d.argmin(1)
+            d2[k : k + step] = d[np.arange(len(d)), best]
+        return q.assign(d2=d2, nx=x[at], ny=y[at], nz=z[at])[out.names]
+
+    return a.repartition(tasks, *key).groupBy(*key).cogroup(b.repartition(tasks, *key).groupBy(*key)).applyInPandas(search, out)
+
+
+def nearest(points: DataFrame, others: DataFrame, side: float | None = None) -> DataFrame:
     """points with nx, ny, nz, distance to the nearest of `others` of the same seq; points of a seq
-    without others are left out. Ties: the smallest (x, y, z). Where a cell would hold very many
-    points the search begins with smaller ones, so a point meets a bounded number in a round."""
-    side = fine_side(others, side)
-    both = points.select("seq", *XYZ).unionAll(others.select("seq", *XYZ))
-    span = both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    widest = max([v for v in span if v is not None], default=0.0)
-    rounds = 1 + max(0, math.ceil(math.log2(max(widest, side) / side)) + 1)
-    todo = points.join(others.select("seq").distinct(), "seq", "left_semi").withColumn("__id", F.monotonically_increasing_id())
-    todo, out = staged(todo, "points"), None  # written, as the numbers must not change
-    shift = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(d, XYZ)]) for d in [(a, b, e) for a in (-1, 0, 1) for b in (-1, 0, 1) for e in (-1, 0, 1)]]))
-    for k in range(rounds):
-        s = side * 2**k
-        held = others.select("seq", *[F.col(c).alias(f"n{c}") for c in XYZ], *[F.floor(F.col(c) / s).alias(f"c{c}") for c in XYZ])
-        probe = todo.select("*", shift.alias("__d")).select("*", *[(_cell(s, c) + F.col(f"__d.d{c}")).alias(f"c{c}") for c in XYZ]).drop("__d")
-        d2 = sum((F.pow(F.col(c) - F.col(f"n{c}"), F.lit(2.0)) for c in XYZ), F.lit(0.0))
-        near = probe.join(held, ["seq", "cx", "cy", "cz"]).groupBy("__id").agg(F.min(F.struct(d2.alias("d2"), "nx", "ny", "nz")).alias("__n"))
-        got = todo.join(near, "__id").where((F.sqrt("__n.d2") <= s) | F.lit(k == rounds - 1))
-        got = got.select(*points.columns, F.col("__n.nx").alias("nx"), F.col("__n.ny").alias("ny"), F.col("__n.nz").alias("nz"), F.sqrt("__n.d2").alias("distance"), "__id")
-        got = staged(got, "found")
-        rest = staged(todo.join(got.select("__id"), "__id", "left_anti"), "rest")
-        out = got if out is None else out.unionAll(got)
-        dropped(todo)
-        todo = rest
-        if rest.isEmpty():
-            break
-    dropped(todo)
-    return out.drop("__id")
+    without others are left out, as are those with a null coordinate. Ties: the smallest (x, y, z).
+    Equal points are searched once. The search needs no cell's side; it is taken for older callers."""
+    ship(points.sparkSession)
+    sound = lambda d: d.where(" and ".join(f"{c} is not null" for c in XYZ))
+    whole = sound(points)
+    given = staged(sound(others).select("seq", *[F.col(c).cast("double").alias(c) for c in XYZ]).distinct(), "others")
+    tree, roots = _tree(given)
+    asked = whole.select("seq", *[F.col(c).cast("double").alias(c) for c in XYZ]).distinct().join(given.select("seq").distinct(), "seq", "left_semi")
+
+    @F.pandas_udf("int")
+    def leaf(root: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series(tree.leaf(root.to_numpy(), np.column_stack([x, y, z])))
+
+    @F.pandas_udf("array<int>")
+    def further(root: pd.Series, own: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, d2: pd.Series) -> pd.Series:
+        rows, leaves = tree.touched(root.to_numpy(), np.column_stack([x, y, z]), d2.to_numpy())
+        new = leaves != own.to_numpy()[rows]
+        rows, leaves = rows[new], leaves[new]
+        order = np.argsort(rows, kind="stable")
+        return pd.Series(np.split(leaves[order], np.searchsorted(rows[order], np.arange(1, len(root)))))
+
+    def homed(d: DataFrame, label: str) -> DataFrame:
+        rooted = d.join(roots, "seq", "left")
+        if not tree.roots:
+            return staged(rooted.withColumn("leaf", F.lit(-1)), label)
+        large = rooted.where("root is not null").withColumn("leaf", leaf("root", *XYZ))
+        return staged(large.unionByName(rooted.where("root is null").withColumn("leaf", F.lit(-1))), label)
+
+    held, asked = homed(given, "held"), homed(asked, "asked")
+    dropped(given)
+    boxes = held.where("root is not null").groupBy("leaf").agg(*[F.min(c) for c in XYZ], *[F.max(c) for c in XYZ]).collect()
+    tree.boxed({r["leaf"]: list(r)[1:] for r in boxes})
+    leaves = held.select("seq", "leaf", *[F.col(c).alias(n) for c, n in zip(XYZ, NXYZ, strict=True)])
+    first = staged(_compared(asked, leaves), "first")
+    found = first
+    if tree.roots:
+        more = first.where("root is not null").select("seq", "root", F.explode(further("root", "leaf", *XYZ, "d2")).alias("leaf"), *XYZ)
+        more = staged(more, "more")
+        second = _compared(more, leaves)
+        n = F.min(F.struct("d2", *NXYZ)).alias("n")
+        found = first.unionByName(second).groupBy("seq", *XYZ).agg(n).select("seq", *XYZ, "n.*")
+    found = staged(found.select("seq", *XYZ, *NXYZ, F.sqrt("d2").alias("distance")), "found")
+    for t in (held, asked, first, *([more] if tree.roots else [])):
+        dropped(t)
+    return whole.join(found, ["seq", *XYZ]).select(*points.columns, *NXYZ, "distance")
 
 
 def accuracy_completion(pred: DataFrame, gt: DataFrame, side: float, threshold: float) -> DataFrame:

@@ -305,3 +305,30 @@ def test_dense_cells_make_the_grid_finer(spark, monkeypatch):
     got = {(r["x"], r["y"], r["z"]): r["distance"] for r in clouds.nearest(d(a), d(b), 4.0).collect()}
     want = {p[1:]: min(sum((u - v) ** 2 for u, v in zip(p[1:], q[1:], strict=True)) ** 0.5 for q in b) for p in a}
     assert got == pytest.approx(want)
+
+
+def test_nearest_takes_as_many_steps_for_far_clouds(spark, monkeypatch):
+    """Leaves, groups, copies and ties against brute force; far clouds need no more jobs than near ones."""
+    import numpy as np
+
+    from lumenfold.operators import clouds
+
+    monkeypatch.setattr(clouds, "CELL", 6)
+    monkeypatch.setattr(clouds, "GROUP", 4, raising=False)
+    rng = np.random.default_rng(3)
+    whole = lambda n, s, at: [(s, *(float(v) for v in r)) for r in rng.integers(0, 6, (n, 3)) + at]  # noqa: E731  # many ties
+    d = lambda rows: spark.createDataFrame(rows, "seq string, x double, y double, z double")
+    jobs = {}
+    for at in (0, 5000):
+        a = whole(90, "a", at) + whole(3, "b", 0) + whole(2, "c", 0) + [("a", None, 1.0, 1.0)]
+        b = whole(120, "a", 0) + whole(4, "b", 0) + [("a", None, None, 1.0)]
+        spark.sparkContext.setJobGroup(f"clouds{at}", "")
+        got = sorted(tuple(r) for r in clouds.nearest(d(a), d(b), 0.5).collect())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[at] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"clouds{at}"))
+        want = []
+        for p in a:
+            near = [(sum((u - v) ** 2 for u, v in zip(p[1:], q[1:], strict=True)), *q[1:]) for q in b if q[0] == p[0] and None not in (*p, *q)]
+            want += [(*p, *min(near)[1:], min(near)[0] ** 0.5)] if near else []
+        assert got == sorted(want)
+    assert jobs[5000] <= jobs[0] + 3
