@@ -40,12 +40,12 @@ ORACLES["stream_pack_keys"] = "select event_id from events"
 
 
 def row_group_stream(spark, sf_dir: str) -> DataFrame:
-    """Events read as a stream of row-group slices: one batch, which ends within a row group, then a
-    restart from the checkpoint for the rest."""
+    """Events read as a stream of row-group slices: one small batch, which ends within a row group, then a
+    restart from the checkpoint for the rest, in batches of the stream's own size."""
     schema = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").schema
     at = f"{folder(spark)}/{uuid.uuid4().hex}"
     for once in (True, False):
-        rows = rowgroups.row_stream(spark, f"{sf_dir}/events.parquet", schema, 7000, 1000)
+        rows = rowgroups.row_stream(spark, f"{sf_dir}/events.parquet", schema, *((7000, 1000) if once else ()))
         w = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cursor")
         q = (w.trigger(once=True) if once else w).start()
         q.awaitTermination() if once else q.processAllAvailable()

@@ -125,9 +125,19 @@ def read_slices(slices: DataFrame, schema: StructType) -> DataFrame:
         for b in batches:
             for s in b.to_pylist():
                 with _open(s["src"]) as f:
-                    t = f.read_row_group(s["grp"], columns=[n for n in names if n in f.schema_arrow.names]).slice(s["first"], s["last"] - s["first"])
-                columns = [t[n].cast(kinds.field(n).type) if n in t.column_names else pa.nulls(t.num_rows, kinds.field(n).type) for n in names]
-                yield from pa.table(columns, schema=kinds).to_batches(max_chunksize=10_000)
+                    there, at = [n for n in names if n in f.schema_arrow.names], 0
+                    # a row group is read piece by piece and no further than the slice; without columns there is nothing to read
+                    pieces = f.iter_batches(10_000, row_groups=[s["grp"]], columns=there) if there else [None]
+                    for piece in pieces:
+                        n = piece.num_rows if there else s["last"]
+                        first, last = max(s["first"], at), min(s["last"], at + n)
+                        if last > first:
+                            t = {c: piece.column(c).slice(first - at, last - first) for c in there}
+                            columns = [t[c].cast(kinds.field(c).type) if c in t else pa.nulls(last - first, kinds.field(c).type) for c in names]
+                            yield from pa.table(columns, schema=kinds).to_batches(max_chunksize=10_000)
+                        at += n
+                        if at >= s["last"]:
+                            break
 
     return slices.mapInArrow(run, schema)
 

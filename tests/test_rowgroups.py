@@ -68,3 +68,17 @@ def test_slices_are_bounded_and_replayed(tmp_path):
             got += [(s[1], r) for s in part for r in range(s[2], s[3])]
             at = end
         assert got == [(g, r) for g, n in enumerate((30, 30, 30, 10)) for r in range(n)]
+
+
+def test_the_query_takes_few_batches(spark, tmp_path, monkeypatch):
+    """One batch that stops within a row group; the rest isn't cut into batches of that size."""
+    from lumenfold.plans import streams
+
+    n = 40_000
+    source = tmp_path / "events.parquet"
+    pq.write_table(pa.table({"event_id": list(range(n)), "user_id": [i % 7 for i in range(n)], "event_type": ["t"] * n}), source, row_group_size=15_000)
+    monkeypatch.setattr(streams, "folder", lambda _: str(tmp_path / "out"))
+    got = streams.row_group_stream(spark, str(tmp_path))
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(n))
+    commits = [p.name for p in tmp_path.glob("out/*/cursor/commits/*") if p.name.isdigit()]
+    assert sorted(commits) == ["0", "1"]
