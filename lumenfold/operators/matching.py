@@ -43,6 +43,25 @@ def greedy(matrix: Column, threshold: Column) -> Column:
     return F.aggregate(matrix, start, step, lambda acc: acc["out"])
 
 
+def candidates(matrix: Column, least: float) -> Column:
+    """The cells of a score matrix that a threshold of `least` or more can take, in the order in which
+    greedy() takes them: (g, k, i) with k the score's negative, -inf for NaN, which counts as largest."""
+    cell = lambda g: lambda v, i: F.named_struct(F.lit("g"), g, F.lit("k"), F.when(F.isnan(v), float("-inf")).otherwise(-v), F.lit("i"), i)
+    cells = F.flatten(F.transform(matrix, lambda row, g: F.transform(row, cell(g))))
+    return F.array_sort(F.filter(cells, lambda c: (c["k"] < 0) & (c["k"] <= -least)))
+
+
+def n_taken(cells: Column, threshold: Column) -> Column:
+    """n_matched() from a matrix's candidates, for a threshold not below theirs: only cells that reach it
+    are walked, so many thresholds cost little more than one."""
+    start = F.struct(F.lit(-1).alias("g"), F.array().cast("array<int>").alias("used"))
+    take = lambda a, c: F.when(
+        (a["g"] != c["g"]) & ~F.array_contains(a["used"], c["i"]), F.named_struct(F.lit("g"), c["g"], F.lit("used"), F.array_append(a["used"], c["i"]))
+    ).otherwise(a)
+    walk = lambda h: F.when(F.size(h) <= 1, F.size(h)).otherwise(F.aggregate(h, start, take, lambda a: F.size(a["used"])))
+    return let(F.filter(cells, lambda c: c["k"] <= -threshold), walk)
+
+
 def n_matched(matrix: Column, threshold: Column) -> Column:
     return F.size(F.filter(greedy(matrix, threshold), lambda i: i >= 0))
 
@@ -75,13 +94,14 @@ def detection_counts(
     gt = F.coalesce(F.col("gt"), F.array().cast(samples.schema["gt"].dataType))
     pred = F.filter(F.coalesce(F.col("pred"), F.array().cast(samples.schema["pred"].dataType)), lambda p: p["box"].isNotNull())
     rows = samples.withColumn("gt", gt).withColumn("pred", pred)
-    rows = rows.withColumn("__m", score_matrix(F.col("gt"), F.col("pred"), score or box_score(mode, F.col("gt"))))
+    m = score_matrix(F.col("gt"), F.col("pred"), score or box_score(mode, F.col("gt")))
+    rows = rows.withColumn("__m", candidates(m, min(thresholds)))
     # the explode ends the projection, so that the matrix is computed once for all thresholds
     grid = F.array(*[F.lit(t) for t in thresholds])
     rows = rows.select(*keep, F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), "__m", F.explode(grid).alias("iou"))
     none = F.lit(0.0) if mode == "by_category" else F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)
     ratio = lambda n: F.when(F.col("n_gt") == 0, none).when(F.col("n_pred") == 0, 0.0).otherwise(F.col("matches") / F.col(n))
-    rows = rows.select(*keep, "iou", n_matched(F.col("__m"), F.col("iou")).alias("matches"), "n_gt", "n_pred")
+    rows = rows.select(*keep, "iou", n_taken(F.col("__m"), F.col("iou")).alias("matches"), "n_gt", "n_pred")
     return rows.withColumn("recall", ratio("n_gt")).withColumn("precision", ratio("n_pred"))
 
 

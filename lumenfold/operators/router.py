@@ -111,8 +111,10 @@ def sample_scores(samples: DataFrame, thresholds: Sequence[float] = matching.THR
     hit = F.exists("found", lambda p: boxes.point_in_box(F.when(F.size(p["box"]) == 2, p["box"]).otherwise(boxes.centre(p["box"])), target))
     n_gt = F.when(task == HALLUCINATION, 0).when(task == GUI, 1).otherwise(F.size("truth"))
     matrix = F.when(task.isin(HALLUCINATION, GUI), F.array().cast("array<array<double>>")).otherwise(matching.score_matrix(F.col("truth"), F.col("found"), lambda g, p: _score(g, p, kind)))
-    rows = rows.select("task", "dataset", "follows", "refused", n_gt.alias("n_gt"), F.size("found").alias("n_pred"), F.coalesce(hit, F.lit(False)).alias("hit"), matrix.alias("m"), F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("iou"))
-    rows = rows.withColumn("n", matching.n_matched(F.col("m"), F.when(task.isin(POINTING, POINTING_REFERRING), 0.5).otherwise(F.col("iou"))))
+    rows = rows.select("task", "dataset", "follows", "refused", n_gt.alias("n_gt"), F.size("found").alias("n_pred"), F.coalesce(hit, F.lit(False)).alias("hit"), matching.candidates(matrix, min(0.5, *thresholds)).alias("m"))
+    # in a step of its own: what stands beside an explode is computed for each of its rows
+    rows = rows.select(*rows.columns, F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("iou"))
+    rows = rows.withColumn("n", matching.n_taken(F.col("m"), F.when(task.isin(POINTING, POINTING_REFERRING), 0.5).otherwise(F.col("iou"))))
     whole = F.when(task == HALLUCINATION, (F.col("n_pred") == 0).cast("double")).when(task == GUI, F.col("hit").cast("double"))
     ratio = lambda n: whole.when(F.col("n_gt") == 0, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)).when(F.col("n_pred") == 0, 0.0).otherwise(F.col("n") / F.col(n))
     return rows.select("task", "dataset", "iou", ratio("n_gt").alias("recall"), ratio("n_pred").alias("precision"), "n_gt", "n_pred", "refused", "follows")

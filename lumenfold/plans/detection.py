@@ -226,7 +226,8 @@ def oks_prf1(spark, sf_dir: str) -> DataFrame:
     s = _keypoints(spark, sf_dir)
     m = matching.score_matrix(F.col("gt"), F.col("pred"), lambda g, p: F.round(matching.oks_aligned(g["kpts"], p["kpts"], g["area"]), 9))
     grid = F.array(*[F.lit(t) for t in matching.THRESHOLDS])
-    s = s.select(F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), m.alias("m"), F.explode(grid).alias("t")).withColumn("n", matching.n_matched(F.col("m"), F.col("t")))
+    s = s.select(F.size("gt").alias("n_gt"), F.size("pred").alias("n_pred"), matching.candidates(m, matching.THRESHOLDS[0]).alias("m"))
+    s = s.select("n_gt", "n_pred", "m", F.explode(grid).alias("t")).withColumn("n", matching.n_taken(F.col("m"), F.col("t")))
     p = F.when(F.col("n_pred") == 0, 0.0).otherwise(F.col("n") / F.col("n_pred"))
     return s.groupBy(F.col("t").alias("oks_threshold")).agg(
         F.round(F.avg(F.col("n") / F.col("n_gt")), 6).alias("recall"), F.round(F.avg(p), 6).alias("precision"), F.count("*").alias("samples")

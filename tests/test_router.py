@@ -1,5 +1,6 @@
 """The router's plan and its rules for odd samples."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import router
@@ -59,3 +60,28 @@ def test_masks_by_the_one_entry_point(spark):
     assert round(every["ap50"], 4) == round(67 / 101, 4)
     known = spark.createDataFrame([(1, "x")], "image int, cat string")
     assert router.evaluate(truths, found, "masks", negatives=known).first()["ar100"] == one["ar100"]
+
+
+@pytest.mark.parametrize("name", ["oks_prf1", "routed_tasks"])
+def test_scores_are_computed_once_for_all_thresholds(spark, tmp_path, name):
+    """Keypoint similarities stand below the step that makes a row for each threshold."""
+    from lumenfold.plans import catalogue
+
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string"
+    spark.createDataFrame([(1, 1, 5, 6, 7.0, 0.1, "A")], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = lambda mark: min(i for i, line in enumerate(plan) if mark in line)
+    assert first("explode([0.5,") < first("EXP(")
+
+
+def test_candidates_match_as_the_whole_matrix_does(spark):
+    import random
+
+    from lumenfold.operators import matching
+
+    rnd = random.Random(5)
+    value = lambda: rnd.choice([0.0, 0.3, 0.5, 0.5, 0.7, 0.7, 0.9, float("nan"), None])
+    rows = [([[value() for _ in range(p)] for _ in range(g)],) for g in range(5) for p in range(5) for _ in range(8)]
+    d = spark.createDataFrame(rows, "m array<array<double>>")
+    for t in (0.5, 0.7, 0.95):
+        assert d.where(matching.n_matched(F.col("m"), F.lit(t)) != matching.n_taken(matching.candidates(F.col("m"), 0.5), F.lit(t))).count() == 0
