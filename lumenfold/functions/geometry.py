@@ -176,13 +176,11 @@ def look_at(camera: Column, target: Column) -> tuple[Column, Column]:
     """World-to-camera rotation and shift of a camera that looks at a point, y being up in the world and
     down in the image."""
 
-    def of(z: Column) -> tuple[Column, Column]:
-        x = unit(cross(z, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))), 3)
-        return x, F.transform(unit(cross(x, z), 3), lambda v: -v)
-
-    z = unit(sub(target, camera), 3)
-    x, y = of(z)
-    m = F.concat(x, y, z)
+    # each axis is named, as the next ones use it many times
+    named = lambda v: lambda body: let(unit(v, 3), body)
+    down = lambda x, z: lambda y: F.concat(x, F.transform(y, lambda v: -v), z)
+    aside = lambda z: lambda x: named(cross(x, z))(down(x, z))
+    m = named(sub(target, camera))(lambda z: named(cross(z, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))))(aside(z)))
     return m, let(m, lambda m: F.transform(rotate(m, camera), lambda v: -v))
 
 

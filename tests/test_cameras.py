@@ -117,3 +117,11 @@ def test_small_functions_that_queries_lack(spark, tmp_path):
     reports.append_rows(one, path)
     reports.append_rows(one.withColumn("w", F.lit(3)), path)
     assert spark.read.option("header", True).csv(path).count() == 4 and spark.read.option("header", True).csv(path).columns == ["k", "v", "w"]
+
+
+def test_looking_cameras_compute_each_axis_once(spark, tmp_path):
+    from lumenfold.plans import frames
+
+    spark.createDataFrame([(1, 1, 5, 6)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = frames.look_at_cameras(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") <= 12
