@@ -46,7 +46,7 @@ def pixel_point(v: Column, width: Column, height: Column) -> Column:
 def known_name(name: Column, names: Sequence[str] = _NAMES) -> Column:
     """The longest of the names that a cleaned text ends with; null if none."""
     every = F.array(*[F.lit(n) for n in sorted(names, key=lambda n: (-len(n), n))])
-    return F.get(F.filter(every, lambda n: name.endswith(n)), F.lit(0))
+    return let(name, lambda c: F.get(F.filter(every, lambda n: c.endswith(n)), F.lit(0)))  # else it would be cleaned for each name
 
 
 def _clean(c: Column) -> Column:

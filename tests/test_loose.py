@@ -83,3 +83,10 @@ def test_prompts(spark):
         loose.parse_as("mask", F.col("q"))
     same = spark.createDataFrame([("<p>a</p><bbox>[0.1,0.1,0.2,0.2]</bbox>",)], "t string").select(loose.parse_as("bbox", F.col("t")).alias("p")).first()["p"]
     assert same[0]["label"] == "a"
+
+
+def test_a_name_is_cleaned_once_for_the_whole_vocabulary(spark):
+    d = spark.createDataFrame([("The  left WRIST:",), ("none",), (None,)], "t string").select(loose.known_name(loose._clean(F.col("t"))).alias("n"))
+    assert [r["n"] for r in d.collect()] == ["left wrist", None, None]
+    plan = d._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert "lower(" in plan and "lower(" not in plan[plan.index("filter(") :]
