@@ -55,8 +55,7 @@ def answer_rows(answers: DataFrame, case_kept: Sequence[str] = ()) -> DataFrame:
     points = F.coalesce(F.transform(_flat(text.parse_points(F.col("answer"))), lambda e: e.withField("box", scaled(e["box"]))), none)
     pointing = task.isin(POINTING, POINTING_REFERRING)
     last = lambda es: F.slice(F.filter(es, lambda e: e["cat"] == F.element_at(es, -1)["cat"]), 1, 1)
-    truth = boxed("truth")
-    gt = F.when((task == GUI) & (F.size(truth) > 0), let(truth, last)).otherwise(truth)
+    gt = let(boxed("truth"), lambda es: F.when((task == GUI) & (F.size(es) > 0), last(es)).otherwise(es))
     kept = [c for c in answers.columns if c not in ("truth", "answer")]
     return answers.select(*kept, gt.alias("gt"), F.when(pointing, points).otherwise(boxed("answer")).alias("pred"))
 

@@ -103,6 +103,7 @@ def detection_rows(spark, sf_dir: str) -> DataFrame:
     task = F.element_at(F.array(F.lit("common_object_detection"), F.lit("gui"), F.lit("visual_prompt_detection")), (F.col("sample_id") % 3 + 1).cast("int"))
     rows = s.select("sample_id", task.alias("task"), F.lit("The-Thing").alias("category"), F.lit(640).alias("width"), F.lit(480).alias("height"), rendered("gt").alias("truth"), rendered("pred").alias("answer"))
     built = router.answer_rows(rows)
-    side = lambda c: built.select("sample_id", F.lit(c).alias("side"), F.explode(c).alias("e"))
-    e = side("gt").unionAll(side("pred"))
+    side = lambda c: F.transform(c, lambda e: F.struct(F.lit(c).alias("side"), e.alias("e")))
+    # both sides in one pass; outer, as explode() would test the sizes first and parse all texts twice
+    e = built.select("sample_id", F.explode_outer(F.concat(side("gt"), side("pred"))).alias("s")).where("s is not null").select("sample_id", "s.side", "s.e")
     return e.groupBy("sample_id", "side", F.col("e.cat").alias("cat"), *[F.round(F.col("e.box")[i], 2).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]).agg(F.count("*").alias("n"))

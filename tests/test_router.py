@@ -85,3 +85,14 @@ def test_candidates_match_as_the_whole_matrix_does(spark):
     d = spark.createDataFrame(rows, "m array<array<double>>")
     for t in (0.5, 0.7, 0.95):
         assert d.where(matching.n_matched(F.col("m"), F.lit(t)) != matching.n_taken(matching.candidates(F.col("m"), 0.5), F.lit(t))).count() == 0
+
+
+def test_answers_are_parsed_in_one_pass(spark, tmp_path):
+    """Neither side has a scan of its own, and no test of sizes parses the texts before."""
+    from lumenfold.plans import routing
+
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string"
+    spark.createDataFrame([(1, 1, 5, 6, 7.0, 0.1, "A")], kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = routing.detection_rows(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert not [line for line in plan.split("\n") if "Filter" in line and "split(" in line]
