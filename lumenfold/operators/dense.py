@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +98,15 @@ def usable_normal(n: Column, least: float = 0.1) -> Column:
     return F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, v: s + v * v)) >= least
 
 
+def soundness(pixels: DataFrame, by: Sequence[str], rules: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """For each image, by rule (good, most), whether at most the share `most` of its pixels isn't good; null
+    counts as not good. All rules in one aggregate."""
+    return pixels.groupBy(*by).agg(*[(F.avg(F.when(good, 0.0).otherwise(1.0)) <= most).alias(name) for name, (good, most) in rules.items()])
+
+
 def sound_images(pixels: DataFrame, by: Sequence[str], good: Column, most: float) -> DataFrame:
     """Pixels of the images of which at most the share `most` isn't good; null counts as not good."""
-    bad = F.avg(F.when(good, 0.0).otherwise(1.0))
-    kept = pixels.groupBy(*by).agg(bad.alias("__bad")).where(F.col("__bad") <= most).drop("__bad")
+    kept = soundness(pixels, by, {"__sound": (good, most)}).where("__sound").drop("__sound")
     return pixels.join(kept, list(by), "left_semi")
 
 

@@ -295,10 +295,10 @@ def sound_images(spark, sf_dir: str) -> DataFrame:
     """Images with few invalid depths, and those with few normals of no length."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), "l_orderkey", "l_partkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("depth"), F.array("l_discount", "l_tax").cast("array<double>").alias("n"))
     key = ["image", "l_orderkey", "l_partkey", "l_linenumber"]
-    a = dense.sound_images(l, ["image"], dense.sound_depth(F.col("depth"), 2000.0, 90000.0), 0.1).select("image").distinct().withColumn("a", F.lit(True))
-    b = dense.sound_images(l, ["image"], dense.usable_normal(F.col("n"), 0.02), 0.12).select("image").distinct().withColumn("b", F.lit(True))
-    out = l.select(*key).join(a, "image", "left").join(b, "image", "left").where("a or b")
-    return out.select(*key[1:], "image", F.coalesce("a", F.lit(False)).alias("depth_sound"), F.coalesce("b", F.lit(False)).alias("normals_sound"))
+    rules = {"depth_sound": (dense.sound_depth(F.col("depth"), 2000.0, 90000.0), 0.1), "normals_sound": (dense.usable_normal(F.col("n"), 0.02), 0.12)}
+    sound = dense.soundness(l, ["image"], rules).where("depth_sound or normals_sound")
+    # an image whose number is null is none
+    return l.select(*key).join(sound, "image").select(*key[1:], "image", "depth_sound", "normals_sound")
 
 
 @query(f"""

@@ -81,3 +81,14 @@ def test_a_report_never_drops_rows(spark):
     with pytest.raises(ValueError, match="more than 5 rows"):
         reports.markdown(spark.range(6), 5)
     assert reports.markdown(spark.range(5), 5).count("\n") == 6
+
+
+def test_images_are_judged_by_one_aggregate_and_one_join(spark, tmp_path):
+    from lumenfold.plans import frames
+
+    rows = [(1, 1, 1, 1, 5000.0, 0.1, 0.1), (2, 1, 1, 1, None, 0.1, 0.1), (3, 1, 2, 1, 1.0, 0.0, 0.0), (4, 1, None, 1, 5000.0, 0.1, 0.1)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = frames.sound_images(spark, str(tmp_path))
+    assert sorted((r["l_orderkey"], r["depth_sound"], r["normals_sound"]) for r in d.collect()) == [(1, False, True), (2, False, True)]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
