@@ -29,16 +29,25 @@ def query(sql: str | None = None):
 HEIGHT, WIDTH = 48, 64
 
 
-def _masks(spark, sf_dir: str) -> DataFrame:
-    """A line item is a rectangle in its order's image; it begins on a slant, so runs have several lengths."""
+def _rectangles(spark, sf_dir: str) -> DataFrame:
+    """A line item is a rectangle in its order's image: image, id, score, x0, y0, w, h."""
     l = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey")
     key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
     one = l.groupBy(F.col("l_orderkey").alias("image")).agg(F.array_sort(F.collect_list(key)).alias("m")).select("image", F.posexplode("m").alias("id", "m"))
     part, supp, n, q = (F.col(f"m.{c}") for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
-    x0, y0, w, h = part % 50, supp % 30, 4 + n, 5 + q.cast("int") % 12
-    cols = one.withColumn("k", F.explode(F.sequence(F.lit(0), w - 1)))
-    start = (x0 + F.col("k")) * HEIGHT + y0 + F.col("k") % 3
-    return cols.select("image", F.col("id").cast("long").alias("id"), F.col("m.l_discount").cast("double").alias("score"), start.cast("long").alias("start"), (start + h).cast("long").alias("end"))
+    sides = {"x0": part % 50, "y0": supp % 30, "w": 4 + n, "h": 5 + q.cast("int") % 12}
+    return one.select("image", F.col("id").cast("long").alias("id"), F.col("m.l_discount").cast("double").alias("score"), *[c.alias(k) for k, c in sides.items()])
+
+
+def _slanted(rectangles: DataFrame) -> DataFrame:
+    """It begins on a slant, so runs have several lengths."""
+    cols = rectangles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    start = (F.col("x0") + F.col("k")) * HEIGHT + F.col("y0") + F.col("k") % 3
+    return cols.select("image", "id", "score", start.cast("long").alias("start"), (start + F.col("h")).cast("long").alias("end"))
+
+
+def _masks(spark, sf_dir: str) -> DataFrame:
+    return _slanted(_rectangles(spark, sf_dir))
 
 
 _PIXELS = f"""
@@ -117,8 +126,8 @@ select r.image, r.id, list_contains(kept, r.id) as kept from ranked r join walk
 """)
 def mask_suppression(spark, sf_dir: str) -> DataFrame:
     """Of masks that overlap by more than a fifth the better one stays."""
-    m = _masks(spark, sf_dir)
-    return runs.suppressed(m.select("image", "id", "start", "end"), m.select("image", "id", "score").distinct(), 0.2)
+    r = _rectangles(spark, sf_dir)
+    return runs.suppressed(_slanted(r).select("image", "id", "start", "end"), r.where("w > 0").select("image", "id", "score"), 0.2)
 
 
 # ---- grounded captions: boxes of the detection queries as masks, all of one category
