@@ -67,10 +67,11 @@ def coloured_spans(c: Column) -> Column:
     """(phrase, r, g, b) of each `<p>phrase<color>(r, g, b)</color></p>`, in order, repeats kept."""
     colour = ",".join([r"\s*([0-9]+)\s*"] * 3)
     pattern = rf"(?is)<p>(.*?)<color>\s*\({colour}\)\s*</color>\s*</p>"
-    part = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in range(1, 5)]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(part, "prgb", strict=True)])
     bare = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)<.*?>", ""), r"^\s+|\s+$", "")
-    return F.transform(zipped, lambda z: F.struct(bare(z["p"]).alias("phrase"), *[z[n].cast("int").alias(n) for n in "rgb"]))
+    # the text is searched once; the parts of what was found follow, the phrase as the last
+    parts = lambda f: F.split(F.regexp_replace(f, pattern, "$2,$3,$4,$1"), ",", 4)
+    span = lambda p: F.struct(bare(p[3]).alias("phrase"), *[p[i].cast("int").alias(n) for i, n in enumerate("rgb")])
+    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda f: let(parts(f), span))
 
 
 def tagged_phrases(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.binding import let
+from ..staging import staged
 from .numbering import dense_ids
 
 #: Fixed value: ids of a category's segments start at its id times this.
@@ -28,24 +29,26 @@ def coloured_phrases(captions: DataFrame) -> DataFrame:
     return found.select("image", "place", "c.phrase", "c.r", "c.g", "c.b")
 
 
-def classed(colours: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Adds place, the phrase of the nearest colour (the first of equals), to (image, r, g, b, n); null
-    for black, which always is background, where black is nearest, and in images without phrases."""
-    palette = phrases.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "r", "g", "b"))).alias("palette"))
-    gap = lambda c: sum((((F.col(x) - c[x]) * (F.col(x) - c[x])).cast("long") for x in "rgb"), F.lit(0).cast("long"))
-    near = F.array_min(F.transform("palette", lambda c: F.struct(gap(c).alias("d"), c["place"].alias("place"))))
-    black = sum((F.col(x).cast("long") * F.col(x) for x in "rgb"), F.lit(0).cast("long"))
-    rows = colours.join(palette, "image", "left").withColumn("__n", near)
-    return rows.select("image", "r", "g", "b", "n", F.when((black > 0) & (F.col("__n.d") <= black), F.col("__n.place")).alias("place"))
-
-
 def grounded_segments(captions: DataFrame, colours: DataFrame) -> DataFrame:
     """(image, place, phrase, r, g, b, n) of the phrases that have pixels.
 
     captions: image, caption; colours: image, r, g, b, n, the mask's pixels by colour."""
-    phrases = coloured_phrases(captions)
-    pixels = classed(colours, phrases).where("place is not null").groupBy("image", "place").agg(F.sum("n").cast("long").alias("n"))
-    return phrases.join(pixels, ["image", "place"])
+    return _grounded(coloured_phrases(captions), colours)
+
+
+def _grounded(phrases: DataFrame, colours: DataFrame, needed: str = "place") -> DataFrame:
+    """The phrases (image, place, r, g, b and whatever they have) whose `needed` isn't null, with their
+    pixels n. A pixel is the phrase's of the nearest colour (the first of equals); black, which always
+    is background, and what is nearer to it belong to none. Palette and colours meet once, by image."""
+    have = ["place", *[c for c in phrases.columns if c not in ("image", "place")]]
+    palette = phrases.groupBy("image").agg(F.collect_list(F.struct(*have)).alias("palette"))
+    gap = lambda c: sum((((F.col(x) - c[x]) * (F.col(x) - c[x])).cast("long") for x in "rgb"), F.lit(0).cast("long"))
+    near = F.array_min(F.transform("palette", lambda c: F.struct(gap(c).alias("d"), *[c[x].alias(x) for x in have])))
+    black = sum((F.col(x).cast("long") * F.col(x) for x in "rgb"), F.lit(0).cast("long"))
+    rows = colours.join(palette, "image").select("image", "n", let(near, lambda m: F.when((black > 0) & (m["d"] <= black), m)).alias("m"))
+    # a count instead of a filter, which Spark would put before, where it looks for the nearest once more
+    pixels = rows.groupBy("image", *[F.col(f"m.{c}").alias(c) for c in have]).agg(F.sum("n").cast("long").alias("n"), F.count(f"m.{needed}").alias("__found"))
+    return pixels.where("__found > 0").select(*phrases.columns, "n")
 
 
 def named_base(phrase: Column) -> tuple[Column, Column]:
@@ -93,16 +96,19 @@ def panoptic_segments(captions: DataFrame, colours: DataFrame, known: DataFrame,
     categories before the caption's do. strict: phrases of unknown categories are skipped, and none
     is registered. Phrases without pixels register their category but make no segment.
     """
-    spans = coloured_phrases(captions)
+    # all phrases of an image in one pass over its texts, written, as three steps read them
+    empty = F.array().cast("array<struct<stage:int,place:int,phrase:string,r:int,g:int,b:int>>")
+    found = F.transform(text.coloured_spans(F.col("caption")), lambda c, i: F.struct(F.lit(1).alias("stage"), i.alias("place"), c["phrase"].alias("phrase"), *[c[x].alias(x) for x in "rgb"]))
+    asked = F.transform(text.tagged_phrases(F.col("question")), lambda p, i: F.struct(F.lit(0).alias("stage"), i.alias("place"), p.alias("phrase"), *[F.lit(None).cast("int").alias(x) for x in "rgb"]))
+    every = F.coalesce(found, empty) if strict else F.concat(F.coalesce(asked, empty), F.coalesce(found, empty))
     base, local = named_base(F.col("phrase"))
-    if strict:
-        names = captions.sparkSession.createDataFrame([], "name string, image long, stage int, place int")
-    else:
-        asked = captions.select("image", F.posexplode(text.tagged_phrases(F.col("question"))).alias("place", "phrase"))
-        names = asked.select(base.alias("name"), "image", F.lit(0).alias("stage"), "place").unionByName(spans.select(base.alias("name"), "image", F.lit(1).alias("stage"), "place"))
+    named = captions.select("image", F.explode(every).alias("p")).select("image", "p.*").withColumns({"name": base, "local": local})
+    named = staged(named.withColumn("key", text.normalize_category(F.col("name"))), "phrases")
+    names = named.where("false" if strict else "true").select("name", "image", "stage", "place")
     registry = register_categories(known, names, ("image", "stage", "place"))
-    found = grounded_segments(captions, colours).withColumn("key", text.normalize_category(base)).withColumn("local", local)
-    rows = found.join(registry.select("key", F.col("id").alias("category_id")), "key")
+    spans = named.where("stage = 1").select("image", "place", "phrase", "r", "g", "b", "local", "key")
+    spans = spans.join(registry.select("key", F.col("id").alias("category_id")), "key", "left").drop("key")
+    rows = _grounded(spans, colours, "category_id")
     one = F.struct("place", "phrase", "category_id", "local", "n")
     images = rows.groupBy("image").agg(F.array_sort(F.collect_list(one)).alias("s"))
     out = images.select("image", F.explode(_placed(F.col("s"))).alias("s")).select("image", "s.*")

@@ -38,9 +38,12 @@ def number_within(rows: DataFrame, by: Sequence[str], order: Sequence[Column | s
 
 def dense_ids(rows: DataFrame, order: str | list[str], start: int = 0, name: str = "id") -> DataFrame:
     """Running ids from `start` in order: rows are dealt out by range and the partitions counted, whose
-    sums (one number each) give every partition its first id. The dealt rows are written, as rows
-    of equal order could be dealt otherwise by a task that runs again."""
+    sums (one number each) give every partition its first id. The rows are written before, so that
+    sampling for the ranges doesn't compute them once more, and the dealt rows after, as rows of
+    equal order could be dealt otherwise by a task that runs again."""
+    rows = staged(rows, "rows")
     sorted_ = staged(rows.sort(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    dropped(rows)
     n = sorted_.groupBy("__p").agg(F.count("*").alias("n")).collect()
     upto, bases = start, {}
     for r in sorted(n, key=lambda r: r["__p"]):
