@@ -139,13 +139,15 @@ def three_places(v: Column) -> Column:
     With n the whole thousandths, v * 2000 - (2n + 1) tells up from down. v is split into two parts
     of half its digits each, whose products with 2000 are exact, so the sign is exact too.
     """
-    a = F.abs(v)
-    n = F.floor(a * 1000)
-    high = a * 134217729.0 - (a * 134217729.0 - a)
-    side = (high * 2000 - (n * 2 + 1)) + (a - high) * 2000
-    up = F.when((side > 0) | ((side == 0) & (n % 2 == 1)), 1).otherwise(0)
-    digits = F.lpad((n + up).cast("string"), F.greatest(F.length((n + up).cast("string")), F.lit(4)), F.lit("0"))
-    return F.concat(F.when(v < 0, "-").otherwise(""), F.regexp_replace(digits, "([0-9]{3})$", ".$1"))
+
+    def rounded(a: Column, n: Column) -> Column:
+        high = lambda c: c - (c - a)
+        side = lambda h: (h * 2000 - (n * 2 + 1)) + (a - h) * 2000
+        up = lambda s: n + F.when((s > 0) | ((s == 0) & (n % 2 == 1)), 1).otherwise(0)
+        return let(let(side(high(a * 134217729.0)), up), lambda k: F.lpad(k.cast("string"), F.greatest(F.length(k.cast("string")), F.lit(4)), F.lit("0")))
+
+    digits = let(F.abs(v), lambda a: let(F.floor(a * 1000), lambda n: rounded(a, n)))
+    return let(digits, lambda d: F.concat(F.when(v < 0, "-").otherwise(""), F.substr(d, F.lit(1), F.length(d) - 3), F.lit("."), F.right(d, F.lit(3))))
 
 
 def _labelled(c: Column) -> Column:

@@ -170,7 +170,7 @@ def instruction_records(spark, sf_dir: str) -> DataFrame:
     b, at = _boxes(spark, sf_dir), _place(spark)
     flat = b.select(F.lpad(F.col("sample_id").cast("string"), 9, "0").alias("image"), F.lit(200).alias("width"), F.lit(200).alias("height"), F.col("k").alias("pos"), F.col("cat").alias("phrase"), F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).cast("array<double>").alias("bbox"))
     r = records.instructions(flat, F.lit("Find {categories}"))
-    records.write_checked(r, at, b.select("sample_id").distinct().count())
+    records.write_checked(r, at, box_rows(spark, sf_dir).select("sample_id").distinct().count())
     got = spark.read.schema(r.schema).json(at)
     return got.select("id", F.col("image")[0].alias("image"), F.col("conversations")[0]["value"].alias("prompt"), F.col("conversations")[1]["value"].alias("answer"))
 

@@ -114,7 +114,8 @@ def instructions(flat: DataFrame, template: Column, start: int = 0) -> DataFrame
     """Conversations from (image, width, height, pos, phrase, bbox): phrases in order of first sight,
     boxes normalised, clipped and rendered with three places; ids from `start` in order of image."""
     b = F.struct("pos", F.transform(F.array("bbox"), lambda x: F.array(x[0] / F.col("width"), x[1] / F.col("height"), x[2] / F.col("width"), x[3] / F.col("height")))[0].alias("box"))
-    g = flat.groupBy("image", "phrase").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(b)).alias("bs"))
+    # dealt by image, for both groupings
+    g = flat.repartition("image").groupBy("image", "phrase").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(b)).alias("bs"))
     e = F.struct("first", F.col("phrase").alias("label"), F.transform("bs", lambda x: F.transform(x["box"], boxes.clamp)).alias("items"))
     r = g.groupBy("image").agg(F.array_sort(F.collect_list(e)).alias("es"))
     phrases = F.array_join(F.transform("es", lambda x: x["label"]), ", ")
