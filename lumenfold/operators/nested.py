@@ -31,9 +31,9 @@ def _member(v: Column, name: str, kind: str) -> Column:
 
 def _members(v: Column, kind: Column) -> Column:
     """(at, key, v) of a container's members; key is null in an array."""
-    pairs = F.array_sort(F.transform(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), lambda k: k))
-    opened = F.try_variant_get(v, "$", "map<string,variant>")
-    named = F.transform(pairs, lambda k, i: F.named_struct(F.lit("at"), i, F.lit("key"), k, F.lit("v"), F.element_at(opened, k)))
+    member = lambda opened: lambda k, i: F.named_struct(F.lit("at"), i, F.lit("key"), k, F.lit("v"), F.element_at(opened, k))
+    # opened once, not for each name
+    named = let(F.try_variant_get(v, "$", "map<string,variant>"), lambda opened: F.transform(F.array_sort(F.map_keys(opened)), member(opened)))
     listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.named_struct(F.lit("at"), i, F.lit("key"), F.lit(None).cast("string"), F.lit("v"), x))
     return F.when(kind == "object", named).otherwise(listed)
 
@@ -113,7 +113,14 @@ def primitives(values: DataFrame, fallback: str = "object") -> DataFrame:
     w, h = F.col("width"), F.col("height")
     kept = ["id", "width", "height"]
     first = _start(values).where("v is not null").select(*kept, F.array().cast("array<string>").alias("path"), F.lit(fallback).alias("label"), F.lit(0).alias("color"), "v")
-    frontier = staged(first, "frontier")
+
+    def told_apart(rows: DataFrame) -> DataFrame:
+        """The rows written with their kind, k, which each step of a round filters by: else it would be found out for each."""
+        has = lambda *names: sum(((F.try_variant_get("v", f"$.{n}", "variant").isNotNull()).cast("int") for n in names), F.lit(0))
+        object_ = F.when(has("type", "coords") == 2, "typed").when(has("bbox", "keypoints") > 0, "instance").when(has("size", "counts") == 2, "mask").otherwise("object")
+        return staged(rows.withColumn("k", _kind(F.col("v"))).withColumn("k", F.when(F.col("k") == "object", object_).otherwise(F.col("k"))), "frontier")
+
+    frontier = told_apart(first)
     leaves, used = None, [frontier]
     number = lambda name: F.try_variant_get(F.col("v"), f"$.{name}", "array<double>")
     none = {c.split()[0]: F.lit(None).cast(" ".join(c.split()[1:])) for c in ("coords array<double>", "keypoints map<string,array<double>>", "rle string")}
@@ -123,9 +130,7 @@ def primitives(values: DataFrame, fallback: str = "object") -> DataFrame:
         return rows.select("id", "path", kind.alias("kind"), F.col("label"), F.col("color"), cols["coords"].alias("coords"), cols["keypoints"].alias("keypoints"), cols["rle"].alias("rle"))
 
     while True:
-        rows = frontier.withColumn("k", _kind(F.col("v")))
-        has = lambda *names: sum(((F.try_variant_get("v", f"$.{n}", "variant").isNotNull()).cast("int") for n in names), F.lit(0))
-        rows = rows.withColumn("k", F.when(F.col("k") != "object", F.col("k")).when(has("type", "coords") == 2, "typed").when(has("bbox", "keypoints") > 0, "instance").when(has("size", "counts") == 2, "mask").otherwise("object"))
+        rows = frontier
         told = rows.where("k = 'string'").select(*kept, "path", F.posexplode(_texts(F.try_variant_get("v", "$", "string"))).alias("at", "t"))
         told = told.select(*kept, F.array_append("path", F.col("at").cast("string")).alias("path"), F.col("t.label").alias("label"), F.col("t.color").alias("color"), F.col("t.coords").alias("c"))
         plain = rows.where("k = 'numbers'").select(*kept, "path", "label", "color", F.try_variant_get("v", "$", "array<double>").alias("c"))
@@ -145,7 +150,7 @@ def primitives(values: DataFrame, fallback: str = "object") -> DataFrame:
         inner = rows.where("k in ('object', 'array')").select(*kept, "path", "label", F.explode(_members(F.col("v"), F.col("k"))).alias("m"))
         inner = inner.select(*kept, F.array_append("path", F.coalesce("m.key", F.col("m.at").cast("string"))).alias("path"), F.coalesce("m.key", "label").alias("label"), F.col("m.at").alias("color"), F.col("m.v").alias("v"))
         typed = rows.where("k = 'typed'").select(*kept, F.array_append("path", F.lit("coords")).alias("path"), F.coalesce(F.nullif("label", F.lit("")), F.lower(_member(F.col("v"), "type", "string"))).alias("label"), "color", F.try_variant_get("v", "$.coords", "variant").alias("v"))
-        frontier = staged(inner.unionByName(typed), "frontier")
+        frontier = told_apart(inner.unionByName(typed))
         used.append(frontier)
         if frontier.isEmpty():
             break

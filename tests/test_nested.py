@@ -59,3 +59,14 @@ def test_primitives(spark):
     assert [(k, l, b, kp) for _, k, l, _, b, kp, _ in got[2]] == [("keypoint", "p", [10.0, 10.0, 20.0, 20.0], {"left eye": [50.0, 25.0]}), ("bbox", "object", [1.0, 1.0, 9.0, 9.0], None)]
     assert got[3][0][1:3] == ("mask", "m") and json.loads(got[3][0][6]) == {"size": [2, 2], "counts": "04"}
     assert [g[4] for g in got[9]] == [[3.0, 1.0], [99.0, 49.0]] and set(got) == {0, 1, 2, 3, 9}
+
+
+def test_a_round_opens_each_value_once(spark, monkeypatch):
+    """The kind of a value is written with it, not found out for each step of the round."""
+    plans, write = [], nested.staged
+    monkeypatch.setattr(nested, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    got = nested.primitives(rows_of(spark, [{"things": [[1, 2, 9, 9], [5, 6]], "name": "a"}], True)).collect()
+    assert sorted((".".join(r["path"]), r["kind"]) for r in got) == [("things.0", "bbox"), ("things.1", "point")]
+    leaves = [p for label, p in plans if label == "leaves"]
+    assert leaves and not any("schema_of_variant" in p.lower() or "schemaofvariant" in p.lower() for p in leaves)
+    assert any("schemaofvariant" in p.lower() or "schema_of_variant" in p.lower() for label, p in plans if label == "frontier")
