@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import captions, curves, runs
 from ..staging import staged
@@ -133,19 +134,19 @@ def mask_suppression(spark, sf_dir: str) -> DataFrame:
 # ---- grounded captions: boxes of the detection queries as masks, all of one category
 
 _ONE = BOXES.replace("l_returnflag as cat", "l_returnflag as flag, 'a' as cat").replace("from rows_ where cat <> 'R'", "from rows_ where flag <> 'R'")
-def _runs_of(rows: DataFrame, x, y) -> DataFrame:
-    h = 256
-    out = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    start = ((x + F.col("k")) * h + y).cast("long")
-    return out.select("image", "id", "score", start.alias("start"), (start + F.col("h")).alias("end"))
+def _grounded(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """True and found masks, one row each: image, id, score and the lists of their runs, one for each column."""
+    r, h = dealt(box_rows(spark, sf_dir), "sample_id"), 256
 
+    def masks(t: DataFrame, *at: str) -> DataFrame:
+        order = Window.partitionBy("sample_id").orderBy("pos", *at, "w", "h", "cat", "score")
+        start = (F.col(at[0]) * h + F.col(at[1])).cast("long")
+        every = lambda s: F.sequence(s, s + (F.col("w") - 1) * h, F.lit(h).cast("long"))
+        rows = t.withColumn("id", (F.row_number().over(order) - 1).cast("long"))
+        return rows.select(F.col("sample_id").alias("image"), "id", "score", every(start).alias("starts"), every(start + F.col("h")).alias("ends"))
 
-def _grounded(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = dealt(box_rows(spark, sf_dir), "sample_id")
-    keyed = lambda t, *c: t.groupBy(F.col("sample_id").alias("image")).agg(F.array_sort(F.collect_list(F.struct("pos", *c, "w", "h", "cat", "score"))).alias("m")).select("image", F.posexplode("m").alias("id", "m")).select("image", F.col("id").cast("long").alias("id"), "m.*")
-    g = keyed(r, "x", "y")
-    p = keyed(r.where("has_pred").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")}), "x", "y")
-    return tuple(_runs_of(t, F.col("x"), F.col("y")) for t in (g, p))
+    moved = r.where("has_pred").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
+    return masks(r, "x", "y"), masks(moved, "x", "y")
 
 
 @query(f"""
@@ -179,8 +180,9 @@ select (select round(avg(v) * 100, 4) from mi) as miou, (select round(ap * 100,
 def grounded_caption_scores(spark, sf_dir: str) -> DataFrame:
     """Of grounded captions: mask overlap of paired masks, mask precision (one category) and the captions' score."""
     g, p = _grounded(spark, sf_dir)
-    met = staged(runs.overlaps(p, g), "met")
-    miou = runs.paired_overlaps(g.drop("score"), p.drop("score"), met).agg(F.round(F.avg("miou") * 100, 4).alias("miou"), F.count("*").alias("images"))
+    hits = staged(runs.mask_hits(p, g), "hits")
+    met = hits.select("image", F.explode("hits").alias("h")).select("image", "h.*").where("a is not null and b is not null")
+    miou = runs.paired_overlaps(hits=hits).agg(F.round(F.avg("miou") * 100, 4).alias("miou"), F.count("*").alias("images"))
     tb, fb = runs.overlap_boxes(g, p, met)
     mask = lambda t: t.select("image", F.lit("a").alias("cat"), F.col("id").alias("pos"), "box", "id")
     truths = mask(tb).drop("id").withColumns({"crowd": F.lit(False), "ignore": F.lit(False)})
