@@ -20,6 +20,8 @@ from .numbering import dense_ids
 
 #: Fixed value: ids of a category's segments start at its id times this.
 ID_STEP = 1000
+#: Categories that are sent to all tasks; more are shuffled.
+NAMES = 100_000
 
 
 def coloured_phrases(captions: DataFrame) -> DataFrame:
@@ -107,7 +109,10 @@ def panoptic_segments(captions: DataFrame, colours: DataFrame, known: DataFrame,
     names = named.where("false" if strict else "true").select("name", "image", "stage", "place")
     registry = register_categories(known, names, ("image", "stage", "place"))
     spans = named.where("stage = 1").select("image", "place", "phrase", "r", "g", "b", "local", "key")
-    spans = spans.join(registry.select("key", F.col("id").alias("category_id")), "key", "left").drop("key")
+    ids = staged(registry.select("key", F.col("id").alias("category_id")), "registry")
+    # by rows, as a file of names is small for what it holds: many don't go through the driver
+    ids = ids.hint("broadcast" if ids.count() <= NAMES else "merge")
+    spans = spans.join(ids, "key", "left").drop("key")
     rows = _grounded(spans, colours, "category_id")
     one = F.struct("place", "phrase", "category_id", "local", "n")
     images = rows.groupBy("image").agg(F.array_sort(F.collect_list(one)).alias("s"))

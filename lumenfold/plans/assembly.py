@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly
+from ..staging import staged
 from .common import table
 
 QUERIES: dict = {}
@@ -28,15 +29,22 @@ _RGB = ("(40 + l_linenumber * 37) % 256", "l_partkey * 11 % 256", "l_suppkey * 2
 
 
 def _inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An order is an image, its items are the caption's phrases; one in five has no pixels."""
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """An order is an image, its items are the caption's phrases; one in five has no pixels. Parts meet items
+    by a shuffle, once: their file is small for its rows, which all would go through the driver else."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     l = l.select(F.col("l_orderkey").alias("image"), *_ORDER, F.expr(_PHRASE.format(text="string")).alias("phrase"), *[F.expr(e).cast("int").alias(c) for e, c in zip(_RGB, "rgb", strict=True)])
     span = F.concat(F.lit("<p> "), "phrase", F.lit("<color>("), F.concat_ws(" , ", "r", "g", "b"), F.lit(")</color></p>"))
-    caption = l.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, span.alias("span")))), lambda e: e["span"]), " beside ").alias("caption"))
-    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.format_string("<P>%s</P> or <p>x<color>(1,2,3)</color></p>", "o_orderpriority").alias("question"))
-    seen = l.where("l_partkey % 5 <> 0").select("image", F.least(F.lit(255), F.col("r") + F.col("l_partkey") % 7).cast("int").alias("r"), "g", "b", F.col("l_quantity").cast("long").alias("n"))
-    rest = l.groupBy("image").agg(F.count("*").alias("n")).select("image", F.explode(F.array(F.lit(0), F.lit(128))).alias("r"), "n").select("image", "r", F.col("r").alias("g"), F.col("r").alias("b"), "n")
-    return caption.join(asked, "image", "left"), seen.unionByName(rest), table(spark, sf_dir, "part").where("p_partkey < 3").select((F.col("p_partkey") + 1).alias("id"), F.col("p_name").alias("name"))
+    colour = lambda r, g, b, n: F.struct(r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"), n.cast("long").alias("n"))
+    seen = F.when(F.expr("l_partkey % 5 <> 0"), colour(F.least(F.lit(255), F.col("r") + F.col("l_partkey") % 7), F.col("g"), F.col("b"), F.col("l_quantity")))
+    n = F.count("*")
+    images = l.groupBy("image").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, span.alias("span")))), lambda e: e["span"]), " beside ").alias("caption"),
+        F.concat(F.collect_list(seen), F.array(*[colour(F.lit(v), F.lit(v), F.lit(v), n) for v in (0, 128)])).alias("colours"),
+    )
+    images = staged(images, "images")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.format_string("<P>%s</P> or <p>x<color>(1,2,3)</color></p>", "o_orderpriority").alias("question")).hint("merge")
+    colours = images.select("image", F.explode("colours").alias("c")).select("image", "c.*")
+    return images.select("image", "caption").join(asked, "image", "left"), colours, table(spark, sf_dir, "part").where("p_partkey < 3").select((F.col("p_partkey") + 1).alias("id"), F.col("p_name").alias("name"))
 
 
 def _key(name: str) -> str:

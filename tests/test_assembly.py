@@ -37,3 +37,22 @@ def test_the_nearest_colour_is_looked_for_once(spark, given):
     assert plan(assembly.grounded_segments(*given)).count("array_min") == 1
     known = spark.createDataFrame([(3, "Dog")], "id long, name string")
     assert "regexp_extract_all" not in plan(assembly.panoptic_segments(*given, known)[0])
+
+
+def test_no_table_that_grows_goes_through_the_driver(spark, monkeypatch):
+    from lumenfold.plans import assembly as plans
+
+    monkeypatch.setattr(plans, "staged", lambda t, label: t, raising=False)
+    captions, colours, _ = plans._inputs(spark, "/root/testdata/sf0.001")
+    for t in (captions, colours):
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("p_partkey") and plan.count("SortMergeJoin") >= 1
+
+
+def test_many_categories_are_shuffled(spark, given, monkeypatch):
+    known = spark.createDataFrame([(3, "Dog")], "id long, name string")
+    few = sorted(map(tuple, assembly.panoptic_segments(*given, known)[0].collect()))
+    monkeypatch.setattr(assembly, "NAMES", 2, raising=False)
+    many = assembly.panoptic_segments(*given, known)[0]
+    assert "SortMergeJoin [key#" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == few and few
