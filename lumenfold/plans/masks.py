@@ -181,12 +181,11 @@ def grounded_caption_scores(spark, sf_dir: str) -> DataFrame:
     """Of grounded captions: mask overlap of paired masks, mask precision (one category) and the captions' score."""
     g, p = _grounded(spark, sf_dir)
     hits = staged(runs.mask_hits(p, g), "hits")
-    met = hits.select("image", F.explode("hits").alias("h")).select("image", "h.*").where("a is not null and b is not null")
     miou = runs.paired_overlaps(hits=hits).agg(F.round(F.avg("miou") * 100, 4).alias("miou"), F.count("*").alias("images"))
-    tb, fb = runs.overlap_boxes(g, p, met)
+    tb, fb = runs.overlap_boxes(hits=hits)
     mask = lambda t: t.select("image", F.lit("a").alias("cat"), F.col("id").alias("pos"), "box", "id")
     truths = mask(tb).drop("id").withColumns({"crowd": F.lit(False), "ignore": F.lit(False)})
-    found = mask(fb).join(p.select("image", "id", "score").distinct(), ["image", "id"]).drop("id").withColumn("skip", F.lit(False))
+    found = mask(fb).join(p.select("image", "id", "score"), ["image", "id"]).drop("id").withColumn("skip", F.lit(False))
     m = curves.match_codes(truths, found, (0.5, 0.75), overlap=runs.mask_iou, size=runs.mask_area)
     ap = curves.average_precisions(m, curves.positives(truths, size=runs.mask_area), (0.5, 0.75))
     ap = ap.agg(*[F.round(F.max(F.when(F.col("iou") == t, F.col("ap"))) * 100, 4).alias(n) for t, n in ((0.5, "ap50"), (0.75, "ap75"))])
