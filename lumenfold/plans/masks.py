@@ -134,6 +134,8 @@ def mask_suppression(spark, sf_dir: str) -> DataFrame:
 # ---- grounded captions: boxes of the detection queries as masks, all of one category
 
 _ONE = BOXES.replace("l_returnflag as cat", "l_returnflag as flag, 'a' as cat").replace("from rows_ where cat <> 'R'", "from rows_ where flag <> 'R'")
+
+
 def _grounded(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """True and found masks, one row each: image, id, score and the lists of their runs, one for each column."""
     r, h = dealt(box_rows(spark, sf_dir), "sample_id"), 256
